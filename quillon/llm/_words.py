@@ -66,3 +66,17 @@ def window_hashes(words: np.ndarray, size: int, base: int = 0) -> np.ndarray:
         total *= _BASES[base]
         total += words[j : j + n]
     return mixed(total)
+
+
+def laid_out(texts: list[bytes | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of a chunk's texts end to end; and for each word its text, its place there, and the words left from it on."""
+    words: list[bytes] = []
+    lengths = np.zeros(len(texts), dtype=np.int64)
+    for i, text in enumerate(texts):
+        own = split_words(text)
+        lengths[i] = len(own)
+        words += own
+    ends = np.cumsum(lengths)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    at = np.arange(len(words), dtype=np.int64)
+    return hashes.of(words), owner, at - (ends - lengths)[owner], ends[owner] - at
