@@ -1,15 +1,66 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from quillon.llm._stage import staged
+from quillon.llm.ngram_jaccard_join import ngram_jaccard_join
+from quillon.llm.packing import pack
+from quillon.llm.quality_classifier import fit_quality_model, score_quality
+from quillon.llm.secret_scan import redact_secrets
+from quillon.llm.source_mixing import mix_sources, repeat_documents, word_count
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on their own labels, keeps."""
+    model = fit_quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, model).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each group of near duplicates; of rows repeated whole one, rows without an id all."""
+    found = ngram_jaccard_join(docs)
+    out = staged(found.where("doc_id is not null and doc_id <> class_id").select("doc_id").distinct(), "duplicates")
+    kept = docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return kept
+    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return once.unionByName(kept.where("doc_id is null"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mask."""
+    return redact_secrets(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    columns = [c for c in docs.columns if c != "size"]
+    sized = docs.select(*columns).withColumn("size", word_count(F.col("text")))
+    return repeat_documents(mix_sources(sized), columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of fixed length, as pieces of documents."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", mixing),
+    ("packing", packing),
+]
+#: The classifier and the MinHash join have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), "stage-" + name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)

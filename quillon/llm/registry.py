@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .html_extraction import extract_articles
+from .nearest_neighbours import nearest_neighbours
 from .ngram_jaccard_join import ngram_jaccard_join
 from .packing import pack
+from .pii import pseudonymize
 from .quality_classifier import fit_quality_model, score_quality
+from .quality_rules import quality_rules
 from .secret_scan import secret_scan, span_text
 from .source_mixing import mix_sources, word_count
 from .substring_dedup import substring_dedup
@@ -32,6 +36,24 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_articles(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+#: The key of the query; a real run passes its own secret.
+PSEUDONYM_KEY = b"quillon example key"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymize(docs, PSEUDONYM_KEY)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents")).drop("ids")
 
@@ -44,6 +66,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(_table(spark, sf_dir, "documents"))
 
@@ -64,8 +90,12 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_pii": op5_pii,
+    "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_source_mixing": op8_source_mixing,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
