@@ -2,6 +2,396 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.operators import crowding, exposure, rates
+from quillon.operators import position_index as index
+
+from .proxy import POSITIONS_SQL, positions
+
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "position_index"
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that the order of a sum does not show."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.add_position_key(index.final_rates(positions(spark, sf_dir)))
+
+
+_KEEP = ("cik", "position_key", "cal_q", "qsort", "borrower", "family", "lien", "FV", "COST", "PAR", "PIC_Final", "PIK_Final", "IR_Final")
+
+
+def _aggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of a lender in one borrower and lien; ``qsort`` and ``family`` are constant within the key."""
+    rows = _rated(spark, sf_dir).select(*_KEEP)
+    return index.aggregate_positions(rows, keys=("cik", "position_key"), ties=("borrower",))
+
+
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.market_weights(index.position_flows(_aggregated(spark, sf_dir)))
+
+
+AGGREGATED_SQL = POSITIONS_SQL + """,
+agg AS (
+  SELECT cik, borrower || ' | ' || lien AS position_key, cal_q, max(qsort) AS qsort, max(borrower) AS borrower, max(family) AS family, max(lien) AS lien,
+    sum(FV) AS FV, sum(COST) AS COST, sum(PAR) AS PAR, CAST(count(*) AS BIGINT) AS n_rows,
+    sum(PIC_Final * PAR) / sum(PAR) AS PIC_Final, sum(PIK_Final * PAR) / sum(PAR) AS PIK_Final, sum(IR_Final * PAR) / sum(PAR) AS IR_Final
+  FROM final GROUP BY cik, borrower, lien, cal_q
+),
+lagged AS (
+  SELECT *, lag(FV) OVER w AS FV_prev, lag(COST) OVER w AS COST_prev, lag(PAR) OVER w AS PAR_prev,
+    lag(PIC_Final) OVER w AS PIC_Final_prev, lag(PIK_Final) OVER w AS PIK_Final_prev
+  FROM agg WINDOW w AS (PARTITION BY cik, position_key ORDER BY qsort)
+),
+flows AS (
+  SELECT *, FV - FV_prev AS dFV, COST - COST_prev AS dCOST,
+    coalesce(PIC_Final_prev, 0) * coalesce(PAR_prev, 0) / 4 AS cash_income, coalesce(PIK_Final_prev, 0) * coalesce(PAR_prev, 0) / 4 AS pik_income
+  FROM lagged
+),
+returns AS (
+  SELECT *, CASE WHEN FV_prev IS NULL OR FV_prev = 0 THEN 0 ELSE (dFV - dCOST + cash_income + pik_income) / FV_prev END AS ret_pos_flow FROM flows
+),
+weighted AS (
+  SELECT *, CASE WHEN tot IS NULL OR tot = 0 THEN 0 ELSE base / tot END AS w_mkt FROM (
+    SELECT *, CASE WHEN FV_prev > 0 THEN FV_prev ELSE 0 END AS base, sum(CASE WHEN FV_prev > 0 THEN FV_prev ELSE 0 END) OVER (PARTITION BY cal_q) AS tot
+    FROM returns)
+),
+idx AS (
+  SELECT cal_q, coalesce(sum(CASE WHEN w_mkt > 0 THEN w_mkt * ret_pos_flow END), 0) AS index_return FROM weighted GROUP BY cal_q
+),
+levels AS (
+  SELECT cal_q, index_return, 100 * exp(sum(ln(1 + index_return)) OVER (ORDER BY cal_q)) AS index_level FROM idx
+)"""
+
+
+@query(f"""WITH {AGGREGATED_SQL}
+SELECT cal_q, round(index_return, 6) AS index_return, round(index_level, 6) AS index_level FROM levels""")
+def position_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(index.market_index(_weighted(spark, sf_dir)))
+
+
+@query(f"""WITH {AGGREGATED_SQL}
+SELECT cik, position_key, cal_q, n_rows, round(FV, 4) AS FV, round(PIC_Final, 6) AS PIC_Final, round(dFV, 4) AS dFV, round(cash_income, 6) AS cash_income,
+  round(ret_pos_flow, 6) AS ret_pos_flow FROM returns""")
+def position_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flows = index.position_flows(_aggregated(spark, sf_dir))
+    return flows.select(
+        "cik",
+        "position_key",
+        "cal_q",
+        "n_rows",
+        F.round("FV", 4).alias("FV"),
+        F.round("PIC_Final", 6).alias("PIC_Final"),
+        F.round("dFV", 4).alias("dFV"),
+        F.round("cash_income", 6).alias("cash_income"),
+        F.round("ret_pos_flow", 6).alias("ret_pos_flow"),
+    )
+
+
+@query(f"""WITH {POSITIONS_SQL}
+SELECT row_a, row_b, cal_q, round(PIC_Final, 6) AS PIC_Final, round(PIK_Final, 6) AS PIK_Final, round(IR_Final, 6) AS IR_Final FROM final""")
+def final_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(index.final_rates(positions(spark, sf_dir)).select("row_a", "row_b", "cal_q", "PIC_Final", "PIK_Final", "IR_Final"))
+
+
+@query(f"""WITH {AGGREGATED_SQL}
+SELECT cal_q,
+  round(coalesce(sum(CASE WHEN w_mkt > 0 THEN w_mkt * (dFV - dCOST) / FV_prev END), 0), 6) AS contrib_price,
+  round(coalesce(sum(CASE WHEN w_mkt > 0 THEN w_mkt * cash_income / FV_prev END), 0), 6) AS contrib_cash,
+  round(coalesce(sum(CASE WHEN w_mkt > 0 THEN w_mkt * pik_income / FV_prev END), 0), 6) AS contrib_pik,
+  CAST(count(CASE WHEN w_mkt > 0 THEN 1 END) AS BIGINT) AS n_investments,
+  round(coalesce(sum(CASE WHEN w_mkt > 0 THEN w_mkt * PIC_Final END), 0), 6) AS avg_rate_cash,
+  round(coalesce(sum(CASE WHEN w_mkt > 0 THEN w_mkt * PIK_Final END), 0), 6) AS avg_rate_pik
+FROM weighted GROUP BY cal_q""")
+def return_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(index.return_decomposition(_weighted(spark, sf_dir)))
+
+
+@query(f"""WITH {AGGREGATED_SQL},
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY cal_q) AS n, max(index_level) OVER (ORDER BY cal_q) AS peak, lag(index_return) OVER (ORDER BY cal_q) AS b FROM levels
+),
+used AS (SELECT *, CASE WHEN n > 2 THEN b END AS before FROM numbered WHERE n > 1),
+th AS (SELECT corr(index_return, before) AS autocorrelation, greatest(least(coalesce(corr(index_return, before), 0), 0.95), 0) AS theta FROM used),
+f AS (SELECT *, (index_return - theta * before) / (1 - theta) AS free FROM used, th)
+SELECT round(exp(sum(ln(1 + index_return)) * 4.0 / count(*)) - 1, 6) AS annual_return, round(stddev_samp(index_return) * 2, 6) AS annual_volatility,
+  round(max(autocorrelation), 6) AS autocorrelation, round(exp(sum(ln(1 + free)) * 4.0 / count(free)) - 1, 6) AS unsmoothed_return,
+  round(stddev_samp(free) * 2, 6) AS unsmoothed_volatility, round(min((index_level - peak) / peak), 6) AS max_drawdown, CAST(count(*) AS BIGINT) AS n_quarters
+FROM f""")
+def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(index.index_statistics(index.market_index(_weighted(spark, sf_dir))))
+
+
+@query(f"""WITH {AGGREGATED_SQL}
+SELECT CAST(substr(cal_q, 1, 4) AS INT) AS year, round(exp(sum(ln(1 + index_return))) - 1, 6) AS year_return, CAST(count(*) AS BIGINT) AS n_quarters
+FROM levels GROUP BY 1""")
+def calendar_year_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(index.calendar_year_returns(index.market_index(_weighted(spark, sf_dir))))
+
+
+def _senior(weighted: DataFrame) -> DataFrame:
+    """The index over one lien alone, weighed anew."""
+    flows = weighted.drop("w_mkt", "FV_prev_sum_q", "is_valid").where(F.col("lien").startswith("STANDARD"))
+    return index.market_index(index.market_weights(flows))
+
+
+@query(f"""WITH {AGGREGATED_SQL},
+sen AS (SELECT *, CASE WHEN FV_prev > 0 THEN FV_prev ELSE 0 END AS base FROM returns WHERE lien LIKE 'STANDARD%'),
+sidx AS (SELECT cal_q, coalesce(sum(base * ret_pos_flow) / nullif(sum(base), 0), 0) AS r FROM sen GROUP BY cal_q),
+both_ AS (SELECT i.cal_q, index_return, r, r - index_return AS gap FROM sidx JOIN idx i ON i.cal_q = sidx.cal_q)
+SELECT round(corr(r, index_return), 6) AS correlation, round(stddev_samp(gap) * 2, 6) AS tracking_error, round(avg(gap), 6) AS mean_gap, CAST(count(*) AS BIGINT) AS n_quarters
+FROM both_""")
+def senior_against_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighted = _weighted(spark, sf_dir)
+    market = index.market_index(weighted).select("cal_q", F.col("index_return").alias("benchmark_return"))
+    return rounded(index.benchmark_statistics(_senior(weighted), market))
+
+
+def pct_sql(column: str, group: str = "cal_q", total: str | None = None) -> str:
+    """Average-tie percent rank in SQL."""
+    return (
+        f"CASE WHEN {column} IS NOT NULL THEN (rank() OVER (PARTITION BY {group}, {column} IS NULL ORDER BY {column})"
+        f" + (count(*) OVER (PARTITION BY {group}, {column}) - 1) / 2.0) / {total or f'count({column}) OVER (PARTITION BY {group})'} END"
+    )
+
+
+@query(f"""WITH {POSITIONS_SQL},
+fam AS (SELECT cal_q, upper(trim(borrower)) AS borrower, family, sum(PAR) AS par, count(DISTINCT cik) AS ciks FROM pos WHERE PAR > 0 AND FV > 0 GROUP BY ALL),
+b AS (
+  SELECT cal_q, borrower, CAST(count(*) AS BIGINT) AS n_families, CAST(sum(ciks) AS BIGINT) AS n_ciks, sum(par * par) / (sum(par) * sum(par)) AS lender_hhi,
+    max(par) / sum(par) AS top_share, sum(par) AS total_par, CAST(substr(cal_q, 1, 4) AS INT) * 4 + CAST(substr(cal_q, 6, 1) AS INT) AS q
+  FROM fam GROUP BY cal_q, borrower
+),
+d AS (
+  SELECT b.*, CASE WHEN b.q - 4 >= (SELECT min(q) FROM b) THEN b.n_families - coalesce(o.n_families, 0) END AS d_families_4q
+  FROM b LEFT JOIN b o ON o.borrower = b.borrower AND o.q = b.q - 4
+)
+SELECT cal_q, borrower, n_families, n_ciks, round(lender_hhi, 6) AS lender_hhi, round(top_share, 6) AS top_share, d_families_4q,
+  round(100 * {pct_sql("n_families")}, 4) AS C1_pct, round(100 * {pct_sql("d_families_4q")}, 4) AS C4_pct FROM d""")
+def crowding_hhi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crowding.borrower_crowding(positions(spark, sf_dir))
+    return found.select(
+        "cal_q",
+        "borrower",
+        "n_families",
+        "n_ciks",
+        F.round("lender_hhi", 6).alias("lender_hhi"),
+        F.round("top_share", 6).alias("top_share"),
+        "d_families_4q",
+        F.round("C1_pct", 4).alias("C1_pct"),
+        F.round("C4_pct", 4).alias("C4_pct"),
+    )
+
+
+def _tranches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = positions(spark, sf_dir)
+    return rows.select("cal_q", F.concat_ws("|", "cal_q", "borrower", "lien").alias("xb_id"), "family", "cik", "FV", "PAR", F.lit(1).alias("xb_tier"))
+
+
+_DISPERSION_SQL = f"""{POSITIONS_SQL},
+tr AS (SELECT cal_q, cal_q || '|' || borrower || '|' || lien AS xb_id, family, cik, FV, PAR FROM pos),
+many AS (SELECT xb_id FROM tr GROUP BY xb_id HAVING count(DISTINCT family) >= 2),
+fam AS (
+  SELECT * FROM (SELECT cal_q, xb_id, family, sum(FV) / sum(PAR) AS price, sum(PAR) AS PAR, count(DISTINCT cik) AS n_bdcs FROM tr
+    WHERE xb_id IN (SELECT xb_id FROM many) GROUP BY ALL) WHERE price <= 1.2
+),
+disp AS (
+  SELECT cal_q, xb_id, CAST(count(*) AS BIGINT) AS n_families, CAST(sum(n_bdcs) AS BIGINT) AS n_bdcs, quantile_cont(price, 0.5) AS V4_consensus,
+    stddev_samp(price) AS V1_std, quantile_cont(price, 0.75) - quantile_cont(price, 0.25) AS V1_iqr, min(price) AS p_min, max(price) AS p_max
+  FROM fam GROUP BY cal_q, xb_id HAVING count(*) >= 2
+)"""
+
+
+@query(f"""WITH {_DISPERSION_SQL}
+SELECT cal_q, xb_id, n_families, n_bdcs, round(V4_consensus, 6) AS V4_consensus, round(V1_std, 6) AS V1_std, round(V1_iqr, 6) AS V1_iqr,
+  round(p_max - p_min, 6) AS V1_range, round(p_min - V4_consensus, 6) AS V2_low_mark FROM disp""")
+def family_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crowding.tranche_dispersion(_tranches(spark, sf_dir))
+    return rounded(found.select("cal_q", "xb_id", "n_families", "n_bdcs", "V4_consensus", "V1_std", "V1_iqr", "V1_range", "V2_low_mark"))
+
+
+@query(f"""WITH {_DISPERSION_SQL}
+SELECT f.cal_q, f.xb_id, f.family, round(price, 6) AS price, round(price - V4_consensus, 6) AS mark_vs_consensus, round(abs(price - V4_consensus), 6) AS mark_distance
+FROM fam f JOIN disp d ON d.xb_id = f.xb_id""")
+def family_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crowding.family_marks(_tranches(spark, sf_dir))
+    return rounded(found.select("cal_q", "xb_id", "family", "price", "mark_vs_consensus", "mark_distance"))
+
+
+@query(f"""WITH {AGGREGATED_SQL},
+s AS (
+  SELECT cik, position_key, cal_q, qsort, PIK_Final, CASE WHEN IR_Final IS NULL OR IR_Final = 0 THEN 0 ELSE least(greatest(coalesce(PIK_Final, 0) / IR_Final, 0), 1) END AS pik_share
+  FROM agg
+),
+l AS (
+  SELECT *, first_value(cal_q) OVER w AS q_incept, lag(PIK_Final) OVER w AS PIK_prev, lag(pik_share) OVER w AS share_prev FROM s
+  WINDOW w AS (PARTITION BY cik, position_key ORDER BY qsort)
+),
+k AS (
+  SELECT *, coalesce(PIK_Final, 0) >= 0.0025 AS now_, coalesce(PIK_prev, 0) >= 0.0025 AS before_, cal_q = q_incept AS starts,
+    coalesce(pik_share - coalesce(share_prev, 0) >= 0.10, false) AS risen FROM l
+),
+t AS (SELECT *, (NOT starts AND now_ AND (NOT before_ OR risen)) AS is_distress_amendment FROM k)
+SELECT cik, position_key, cal_q, round(pik_share, 6) AS pik_share,
+  CASE WHEN starts AND now_ THEN 'contractual_pik' WHEN starts THEN 'stable_cash' WHEN is_distress_amendment THEN 'distress_amendment_pik'
+    WHEN before_ AND NOT now_ THEN 'cured_pik' WHEN NOT now_ THEN 'stable_cash' ELSE 'seasoned_pik_continuation' END AS pik_transition_state,
+  is_distress_amendment, (now_ AND max(is_distress_amendment) OVER (PARTITION BY cik, position_key ORDER BY qsort)) AS pik_acquired
+FROM t""")
+def pik_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crowding.pik_transitions(_aggregated(spark, sf_dir), keys=("cik", "position_key"))
+    return rounded(found.select("cik", "position_key", "cal_q", "pik_share", "pik_transition_state", "is_distress_amendment", "pik_acquired"))
+
+
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = index.final_rates(positions(spark, sf_dir))
+    rows = rows.withColumn("borrower", F.concat_ws("|", "borrower", "lien"))
+    rows = rows.withColumn("pik_share", F.when(F.col("IR_Final") > 0, F.col("PIK_Final") / F.col("IR_Final")))
+    return rows
+
+
+PANEL_SQL = f"""{POSITIONS_SQL},
+rows_ AS (SELECT * EXCLUDE (borrower), borrower || '|' || lien AS borrower, CASE WHEN IR_Final > 0 THEN PIK_Final / IR_Final END AS pik_share FROM final),
+panel0 AS (
+  SELECT borrower, cal_q, qsort, sum(PAR) AS PAR, sum(FV) AS FV, sum(COST) AS COST, CAST(count(DISTINCT family) AS BIGINT) AS n_families,
+    CAST(count(DISTINCT cik) AS BIGINT) AS n_ciks,
+    sum(CASE WHEN pik_share IS NOT NULL AND PAR > 0 THEN pik_share * PAR END) / sum(CASE WHEN pik_share IS NOT NULL AND PAR > 0 THEN PAR END) AS pik_share,
+    sum(CASE WHEN non_accrual IS NOT NULL THEN COST END) AS known_cost, sum(CASE WHEN non_accrual = 1 THEN COST END) AS bad_cost
+  FROM rows_ GROUP BY borrower, cal_q, qsort
+),
+panel AS (
+  SELECT *, CASE WHEN FV / PAR <= 1.5 THEN FV / PAR END AS price, CASE WHEN known_cost > 0 THEN coalesce(bad_cost, 0) / known_cost END AS na_cost_share FROM panel0
+),
+held AS (SELECT cal_q, cik, borrower, sum(COST) AS cost FROM rows_ GROUP BY ALL),
+books AS (SELECT cal_q, cik, sum(cost) AS book, count(*) AS n_borrowers FROM held GROUP BY ALL),
+lw AS (
+  SELECT h.cal_q, borrower, max(cost / book) AS max_weight, sum(cost / book * cost) / sum(cost) AS mean_weight
+  FROM held h JOIN books b ON b.cal_q = h.cal_q AND b.cik = h.cik GROUP BY h.cal_q, borrower
+),
+signs AS (
+  SELECT p.*, max_weight,
+    CASE WHEN price IS NOT NULL THEN CAST((count(price) OVER (PARTITION BY p.cal_q) - rank() OVER (PARTITION BY p.cal_q, price IS NULL ORDER BY 1 - price) + 1) / count(price) OVER (PARTITION BY p.cal_q) <= 0.1 AS INT) END AS sign_low_mark,
+    CASE WHEN pik_share IS NOT NULL THEN CAST((count(pik_share) OVER (PARTITION BY p.cal_q) - rank() OVER (PARTITION BY p.cal_q, pik_share IS NULL ORDER BY pik_share) + 1) / count(pik_share) OVER (PARTITION BY p.cal_q) <= 0.1 AS INT) END AS sign_high_pik,
+    CASE WHEN max_weight IS NOT NULL THEN CAST((count(max_weight) OVER (PARTITION BY p.cal_q) - rank() OVER (PARTITION BY p.cal_q, max_weight IS NULL ORDER BY max_weight) + 1) / count(max_weight) OVER (PARTITION BY p.cal_q) <= 0.1 AS INT) END AS sign_heavy,
+    CAST(n_families = 1 AS INT) AS sign_single, CASE WHEN na_cost_share IS NOT NULL THEN CAST(na_cost_share > 0 AS INT) END AS distress
+  FROM panel p LEFT JOIN lw ON lw.cal_q = p.cal_q AND lw.borrower = p.borrower
+)"""
+SIGNS = ("sign_low_mark", "sign_high_pik", "sign_heavy", "sign_single")
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _panel(spark, sf_dir)
+    panel = exposure.borrower_quarters(rows).join(exposure.lender_weights(rows), ["cal_q", "borrower"], "left")
+    return exposure.warning_flags(panel)
+
+
+@query(f"""WITH {PANEL_SQL}
+SELECT borrower, cal_q, n_families, n_ciks, round(PAR, 2) AS PAR, round(price, 6) AS price, round(pik_share, 6) AS pik_share, round(na_cost_share, 6) AS na_cost_share FROM panel""")
+def borrower_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exposure.borrower_quarters(_panel(spark, sf_dir))
+    return rounded(found.select("borrower", "cal_q", "n_families", "n_ciks", F.round("PAR", 2).alias("PAR"), "price", "pik_share", "na_cost_share"))
+
+
+@query(f"""WITH {PANEL_SQL}
+SELECT cal_q, borrower, round(max_weight, 6) AS max_weight, round(mean_weight, 6) AS mean_weight FROM lw""")
+def lender_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(exposure.lender_weights(_panel(spark, sf_dir)))
+
+
+@query(f"""WITH {PANEL_SQL}
+SELECT borrower, cal_q, {", ".join(SIGNS)}, distress FROM signs""")
+def warning_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flags(spark, sf_dir).select("borrower", "cal_q", *SIGNS, "distress")
+
+
+@query(f"""WITH {PANEL_SQL},
+long_ AS ({" UNION ALL ".join(f"SELECT '{s}' AS sign, cal_q, PAR, {s} AS on_ FROM signs" for s in SIGNS)})
+SELECT sign, cal_q, CAST(count(*) AS BIGINT) AS measured, CAST(sum(on_) AS BIGINT) AS flagged, round(avg(on_), 6) AS share_count, round(sum(on_ * PAR) / sum(PAR), 6) AS share_par
+FROM long_ WHERE on_ IS NOT NULL GROUP BY sign, cal_q""")
+def warning_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(exposure.warning_tail(_flags(spark, sf_dir), SIGNS))
+
+
+@query(f"""WITH {PANEL_SQL}
+SELECT borrower, cal_q, CAST(greatest(1, ceil(round(5.0 * (row_number() OVER (PARTITION BY cal_q ORDER BY PAR, borrower) - 1)
+  / greatest(count(*) OVER (PARTITION BY cal_q) - 1, 1), 9))) AS INT) AS size_group FROM panel""")
+def size_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exposure.size_groups(exposure.borrower_quarters(_panel(spark, sf_dir))).select("borrower", "cal_q", "size_group")
+
+
+@query(f"""WITH {PANEL_SQL},
+p AS (SELECT cal_q, CASE WHEN n_families <= 3 THEN CAST(n_families AS VARCHAR) WHEN n_families <= 5 THEN '4-5' ELSE '6+' END AS bucket, count(*) AS n, sum(PAR) AS par FROM panel GROUP BY ALL)
+SELECT cal_q, bucket, CAST(n AS BIGINT) AS n_borrowers, round(par, 2) AS par, round(n / sum(n) OVER (PARTITION BY cal_q), 6) AS share_n, round(par / sum(par) OVER (PARTITION BY cal_q), 6) AS share_par FROM p""")
+def crowding_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exposure.crowding_distribution(exposure.borrower_quarters(_panel(spark, sf_dir)))
+    return rounded(found.withColumn("par", F.round("par", 2)))
+
+
+@query(f"""WITH {PANEL_SQL},
+v AS (SELECT cal_q, price AS x, sum(PAR) AS w FROM panel WHERE price IS NOT NULL AND PAR > 0 GROUP BY ALL),
+c AS (SELECT *, sum(w) OVER (PARTITION BY cal_q ORDER BY x) / sum(w) OVER (PARTITION BY cal_q) AS share FROM v)
+SELECT cal_q, round(min(CASE WHEN share >= 0.5 - 1e-12 THEN x END), 6) AS p50, round(min(CASE WHEN share >= 0.9 - 1e-12 THEN x END), 6) AS p90,
+  round(min(CASE WHEN share >= 0.95 - 1e-12 THEN x END), 6) AS p95 FROM c GROUP BY cal_q""")
+def weighted_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(exposure.weighted_quantiles(exposure.borrower_quarters(_panel(spark, sf_dir)), "price", "PAR", (0.5, 0.9, 0.95)))
+
+
+_EXPOSURE_SQL = f"""{PANEL_SQL},
+e AS (
+  SELECT h.cik, h.cal_q, h.borrower, h.cost / book AS weight, book, n_borrowers, sign_low_mark, sign_high_pik, sign_heavy, sign_single
+  FROM held h JOIN books b ON b.cik = h.cik AND b.cal_q = h.cal_q AND n_borrowers >= 20
+  LEFT JOIN signs s ON s.cal_q = h.cal_q AND s.borrower = h.borrower
+),
+x AS (
+  SELECT cik, cal_q, CAST(max(n_borrowers) AS BIGINT) AS n_borrowers, sum(weight * weight) AS cost_hhi,
+    {", ".join(f"sum(CASE WHEN {s} = 1 THEN weight ELSE 0 END) AS exposure_{s}" for s in SIGNS)} FROM e GROUP BY cik, cal_q
+)"""
+
+
+@query(f"""WITH {_EXPOSURE_SQL}
+SELECT cik, cal_q, n_borrowers, round(cost_hhi, 6) AS cost_hhi, round(1 / cost_hhi, 4) AS effective_n, {", ".join(f"round(exposure_{s}, 6) AS exposure_{s}" for s in SIGNS)} FROM x""")
+def lender_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exposure.lender_exposure(_panel(spark, sf_dir), _flags(spark, sf_dir), SIGNS)
+    found = found.withColumn("effective_n", F.round("effective_n", 4))
+    return rounded(found.select("cik", "cal_q", "n_borrowers", "cost_hhi", "effective_n", *[f"exposure_{s}" for s in SIGNS]))
+
+
+@query(f"""WITH {_EXPOSURE_SQL}
+SELECT cal_q, CAST(count(*) AS BIGINT) AS n_lenders, round(quantile_cont(exposure_sign_low_mark, 0.5), 6) AS median_exposure,
+  CAST(sum(CAST(exposure_sign_low_mark > 0.2 AS INT)) AS BIGINT) AS n_over_20, round(avg(CAST(exposure_sign_low_mark > 0.2 AS INT)), 6) AS share_over_20,
+  CAST(sum(CAST(exposure_sign_low_mark > 0.05 AS INT)) AS BIGINT) AS n_over_5, round(avg(CAST(exposure_sign_low_mark > 0.05 AS INT)), 6) AS share_over_5
+FROM x GROUP BY cal_q""")
+def exposure_by_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exposure.lender_exposure(_panel(spark, sf_dir), _flags(spark, sf_dir), SIGNS)
+    return rounded(exposure.exposure_by_quarter(found, "exposure_sign_low_mark"))
+
+
+@query("""SELECT l_orderkey AS row_a, l_linenumber AS row_b, round(CASE WHEN x BETWEEN 0.02 AND 0.5 THEN x
+  WHEN s100 AND (NOT s10k OR abs(x / 100 - 0.26) <= abs(x / 10000 - 0.26)) THEN x / 100 WHEN s10k THEN x / 10000 ELSE x END, 8) AS value,
+  CASE WHEN x BETWEEN 0.02 AND 0.5 THEN 'unchanged' WHEN s100 AND (NOT s10k OR abs(x / 100 - 0.26) <= abs(x / 10000 - 0.26)) THEN 'div100' WHEN s10k THEN 'div10000' ELSE 'unresolved' END AS done
+FROM (SELECT *, x / 100 BETWEEN 0.02 AND 0.5 AS s100, x / 10000 BETWEEN 0.02 AND 0.5 AS s10k FROM
+  (SELECT l_orderkey, l_linenumber, l_quantity * CASE WHEN l_linenumber % 3 = 0 THEN 0.01 WHEN l_linenumber % 3 = 1 THEN 1 ELSE 100 END AS x FROM lineitem))""")
+def rescale_to_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    n = F.col("l_linenumber") % 3
+    x = F.col("l_quantity") * F.when(n == 0, 0.01).when(n == 1, 1.0).otherwise(100.0)
+    value, done = rates.rescale(F.col("x"), 0.02, 0.5)
+    out = line.select(F.col("l_orderkey").alias("row_a"), F.col("l_linenumber").alias("row_b"), x.alias("x"))
+    return out.select("row_a", "row_b", F.round(value, 8).alias("value"), done.alias("done"))
