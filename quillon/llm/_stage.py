@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows per Arrow batch: a batch stays small even when texts are long.
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BATCH_ROWS = 500
+#: A join whose smaller side has partitions of at most this size hashes them, by their measured size, instead of sorting both.
+_HASH_JOIN = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+_HASH_JOIN_SIZE = "48m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,9 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers for the plans made from now on."""
+    """Bound the memory of Python workers, and let small measured partitions be hashed, in the plans made from now on."""
     if int(spark.conf.get(_BATCH)) > _BATCH_ROWS:
         spark.conf.set(_BATCH, str(_BATCH_ROWS))
+    spark.conf.set(_HASH_JOIN, _HASH_JOIN_SIZE)
 
 
 @contextmanager
@@ -59,3 +65,8 @@ def drop(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table._quillon_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def worker_state() -> dict:
+    """What a Python worker keeps from task to task (Spark reuses workers); called in tasks."""
+    return vars(sys.modules.setdefault("quillon_worker_state", types.ModuleType("quillon_worker_state")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from ._stage import drop, small_batches, staged
-from ._words import WordHashes, chunks, split_words, window_hashes
+from ._words import Texts, Words, window_hashes
 from .components import connected_components
 
 #: Members of a block when one group's pairs are dealt to tasks.
@@ -23,13 +23,18 @@ def choose_bands(threshold: float, recall: float, rows: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
-def shingle_sets(texts: list[bytes | None], n: int, hashes: WordHashes) -> list[np.ndarray]:
+def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
     """The set of n-gram hashes of each text, sorted; a text of fewer than n words is one shorter n-gram."""
+    grams = window_hashes(words.hashes, n)
+    ends = np.cumsum(words.counts)
     out = []
-    for text in texts:
-        words = hashes.of(split_words(text))
-        grams = window_hashes(words, min(n, len(words))) if len(words) else words
-        out.append(np.unique(grams))
+    for begin, end in zip((ends - words.counts).tolist(), ends.tolist(), strict=True):
+        if end - begin >= n:
+            out.append(np.unique(grams[begin : end - n + 1]))
+        elif end > begin:
+            out.append(window_hashes(words.hashes[begin:end], end - begin))
+        else:
+            out.append(words.hashes[:0])
     return out
 
 
@@ -60,11 +65,10 @@ def _signatures(n: int, bands: int, rows: int, seed: int):
     )
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                sets = shingle_sets(texts[a:b], n, hashes)
+            ids, texts = batch.column("doc_id"), Texts(batch.column("text"))
+            for a, b in texts.runs():
+                sets = shingle_sets(texts.words(a, b), n)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 band = {}
                 if full:
@@ -87,11 +91,10 @@ def _sets(n: int):
     schema = pa.schema([("cls", pa.int64()), ("grp", pa.int64()), ("size", pa.int64()), ("copies", pa.int64()), ("digest", pa.binary()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                sets = [s.view(np.int64) for s in shingle_sets(texts[a:b], n, hashes)]
+            texts = Texts(batch.column("text"))
+            for a, b in texts.runs():
+                sets = [s.view(np.int64) for s in shingle_sets(texts.words(a, b), n)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(a, b - a) for c in ("cls", "grp", "size", "copies")]
                     + [pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))],

@@ -4,39 +4,39 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._stage import drop, small_batches, staged
-from ._words import WordHashes, chunks, laid_out, split_words, window_hashes
+from ._words import Texts, Words, chunks, split_words, window_hashes
 
 
-def _edges_of(texts: list[bytes | None], k: int, m: int, hashes: WordHashes):
-    """Text, place, fingerprints and anchor of each edge (k-word window); the anchor is the least hash of its m-word runs."""
-    words, owner, place, left = laid_out(texts, hashes)
-    n = len(words) - k + 1
+def _edges_of(words: Words, k: int, m: int):
+    """Which words begin an edge (a k-word window within one text), and the anchor of each: the least hash of its m-word runs."""
+    n = len(words.hashes) - k + 1
     if n <= 0:
-        return None
-    keep = left[:n] >= k
-    runs = window_hashes(words, m)
+        return np.zeros(0, dtype=bool), np.zeros(0, dtype=np.uint64)
+    runs = window_hashes(words.hashes, m)
     anchor = runs[:n].copy()
     for j in range(1, k - m + 1):
         np.minimum(anchor, runs[j : j + n], out=anchor)
-    return words, owner[:n][keep], place[:n][keep], anchor[keep], keep
+    whole = words.left[:n] >= k
+    return whole, anchor[whole]
 
 
 def _anchors(k: int, m: int):
     schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                if (found := _edges_of(texts[a:b], k, m, hashes)) is None or not len(found[1]):
+            texts = Texts(batch.column("text"))
+            for a, b in texts.runs():
+                words = texts.words(a, b)
+                whole, anchor = _edges_of(words, k, m)
+                if not len(anchor):
                     continue
-                _, owner, _, anchor, _ = found
+                owner = words.owner[: len(whole)][whole]
                 fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor[fresh].view(np.int64)), pa.array(ids[a:b][owner[fresh]])], schema=schema
@@ -47,36 +47,35 @@ def _anchors(k: int, m: int):
 
 def _edges(k: int, m: int):
     schema = pa.schema(
-        [("edge", pa.int64()), ("check", pa.int32()), ("doc_id", pa.int64()), ("version", pa.int64()), ("pos", pa.int32())]
+        [("edge", pa.int64()), ("check", pa.int16()), ("doc_id", pa.int64()), ("version", pa.int32()), ("pos", pa.int32())]
     )
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             ids, version = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "version"))
-            texts, wanted = batch.column("text").to_pylist(), batch.column("anchors").to_pylist()
-            for a, b in chunks(texts):
-                if (found := _edges_of(texts[a:b], k, m, hashes)) is None or not len(found[1]):
+            wanted = batch.column("anchors")
+            texts = Texts(batch.column("text"))
+            for a, b in texts.runs():
+                words = texts.words(a, b)
+                whole, anchor = _edges_of(words, k, m)
+                if not len(anchor):
                     continue
-                words, owner, place, anchor, keep = found
-                hit = np.zeros(len(owner), dtype=bool)
-                bounds = np.searchsorted(owner, np.arange(b - a + 1))
-                for i in range(b - a):
-                    x, y = bounds[i], bounds[i + 1]
-                    if x < y:
-                        hit[x:y] = np.isin(anchor[x:y].view(np.int64), np.array(wanted[a + i], dtype=np.int64))
+                own = np.unique(wanted.slice(a, b - a).flatten().to_numpy(zero_copy_only=False))
+                at = np.searchsorted(own, anchor.view(np.int64))
+                hit = own[np.minimum(at, len(own) - 1)] == anchor.view(np.int64) if len(own) else np.zeros(len(anchor), bool)
                 if not hit.any():
                     continue
-                edge = window_hashes(words, k)[keep][hit]
-                check = (window_hashes(words, k, base=1)[keep][hit] >> np.uint64(32)).astype(np.uint32)
-                owner = owner[hit] + a
+                start = np.flatnonzero(whole)[hit]
+                edge = window_hashes(words.hashes, k)[start]
+                check = (window_hashes(words.hashes, k, base=1)[start] >> np.uint64(48)).astype(np.uint16)
+                owner = words.owner[start] + a
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(edge.view(np.int64)),
-                        pa.array(check.view(np.int32)),
+                        pa.array(check.view(np.int16)),
                         pa.array(ids[owner]),
                         pa.array(version[owner]),
-                        pa.array(place[hit].astype(np.int32)),
+                        pa.array(words.place[start].astype(np.int32)),
                     ],
                     schema=schema,
                 )
@@ -84,57 +83,60 @@ def _edges(k: int, m: int):
     return run
 
 
-def _keep(k: int):
+def _keep(batches):
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())]
+        [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("spans", pa.list_(span))]
     )
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id")
-            texts, starts = batch.column("text").to_pylist(), batch.column("starts").to_pylist()
-            for a, b in chunks(texts):
-                total, removed, kept = [], [], []
-                for text, cut in zip(texts[a:b], starts[a:b], strict=True):
-                    words = split_words(text)
-                    total.append(len(words))
-                    if cut:
-                        gone = np.zeros(len(words) + 1, dtype=np.int64)
-                        cut = np.unique(np.array(cut))
-                        np.add.at(gone, cut, 1)
-                        np.subtract.at(gone, cut + k, 1)
-                        stay = np.cumsum(gone[:-1]) == 0
-                        words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
-                    removed.append(total[-1] - len(words))
-                    kept.append(b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-                    schema=schema,
-                )
-
-    return run
+    for batch in batches:
+        texts, spans = batch.column("text").to_pylist(), batch.column("spans")
+        for a, b in chunks(texts):
+            total, removed, kept = [], [], []
+            for text, cut in zip(texts[a:b], spans.slice(a, b - a).to_pylist(), strict=True):
+                words = split_words(text)
+                total.append(len(words))
+                if cut:
+                    edges = np.zeros(len(words) + 1, dtype=np.int64)
+                    np.add.at(edges, [c["start"] for c in cut], 1)
+                    np.subtract.at(edges, [c["end"] for c in cut], 1)
+                    stay = np.cumsum(edges[:-1]) == 0
+                    words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
+                removed.append(total[-1] - len(words))
+                kept.append(b" ".join(words).decode())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").slice(a, b - a),
+                    pa.array(total, pa.int64()),
+                    pa.array(removed, pa.int64()),
+                    pa.array(kept, pa.string()),
+                    spans.slice(a, b - a),
+                ],
+                schema=schema,
+            )
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("text").alias("version"),
+        F.hash("text").alias("version"),
         F.col("text").cast("binary").alias("text"),
     )
 
 
 def repeated_edges(docs: DataFrame, k: int = 13, anchor_words: int = 6) -> DataFrame:
-    """Every place of every k-word window that stands in two documents or more.
-
-    Rows ``(doc_id, version, pos, edge, source_doc, n_places, ...)``;
-    ``version`` tells apart different texts under one doc_id.  A k-mer is an
-    edge of the de Bruijn graph.  First each window is reduced to its anchor,
-    the least hash of its m-word runs, which neighbouring windows share; only
-    windows whose anchor occurs in two documents are hashed in full (64 bits,
-    and 32 more that check them) and counted.  Null doc_ids take no part.
+    """Every place of a k-word window that also stands in a document of smaller doc_id.
+
+    Rows ``(edge, check, doc_id, version, pos, source_doc, n_places)``: ``pos``
+    is the window's first word, ``source_doc`` the least document that holds
+    it.  ``version`` tells apart different texts under one doc_id.
+
+    A k-mer is an edge of the de Bruijn graph.  First each window is reduced to
+    its anchor, the least hash of its runs of ``anchor_words``, which
+    neighbouring windows share; only windows whose anchor occurs in two
+    documents are hashed in full (64 bits, and 16 more of another polynomial
+    that verify it at its source) and counted.  Null doc_ids take no part.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     plain = _rows(docs).where("doc_id is not null")
     anchors = plain.select("doc_id", "text").mapInArrow(_anchors(k, anchor_words), "anchor long, doc_id long")
     common = (
@@ -143,78 +145,62 @@ def repeated_edges(docs: DataFrame, k: int = 13, anchor_words: int = 6) -> DataF
     wanted = staged(anchors.join(common, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "anchors")
     places = staged(
         plain.join(wanted, "doc_id").mapInArrow(
-            _edges(k, anchor_words), "edge long, check int, doc_id long, version long, pos int"
+            _edges(k, anchor_words), "edge long, check smallint, doc_id long, version int, pos int"
         ),
         "edges",
     )
     drop(wanted)
-    edges = (
-        places.groupBy("edge", "check")
-        .agg(
-            F.min("doc_id").alias("source_doc"),
-            F.max("doc_id").alias("hi"),
-            F.count("*").alias("n_places"),
-            F.sum("pos").alias("pos_sum"),
-            F.sum(F.shiftrightunsigned(F.xxhash64("doc_id", "version"), 32)).alias("doc_sum"),
-        )
-        .where("source_doc < hi")
-        .drop("hi")
+    edges = staged(
+        places.groupBy("edge", "check").agg(F.min("doc_id").alias("source_doc"), F.count(F.lit(1)).alias("n_places")).where("n_places > 1"),
+        "sources",
     )
-    return places.join(edges, ["edge", "check"])
+    return places.join(edges, ["edge", "check"]).where("source_doc < doc_id")
 
 
 def repeated_paths(docs: DataFrame, k: int = 13, anchor_words: int = 6) -> DataFrame:
-    """Repeated passages: nonbranching paths of repeated edges, compacted, at each of their places.
+    """Repeated passages: nonbranching paths of repeated edges, compacted, at each place but those in their source.
 
-    Rows ``(doc_id, version, start, n_words, path_id, source_doc, n_places)``.
-    Two edges that follow each other in a text lie on one nonbranching path if
-    they have the same places, shifted by one word; this is told from the
-    number of places, their documents and the sum of their positions, joined
-    from the edge table.  ``path_id`` is the first edge, ``source_doc`` the least document.
+    Rows ``(doc_id, version, start, n_words, source_doc)``.  Edges that follow
+    each other in a text lie on one nonbranching path if they have the same
+    source and equally many places, as joined from the edge table: a branch
+    brings or loses places.  A path's interval is gathered by (document, path);
+    intervals of one path that do not touch are told apart.
     """
-    w = Window.partitionBy("doc_id", "version").orderBy("pos")
-    same = (
-        (F.lag("pos").over(w) + 1 == F.col("pos"))
-        & (F.lag("source_doc").over(w) == F.col("source_doc"))
-        & (F.lag("n_places").over(w) == F.col("n_places"))
-        & (F.lag("doc_sum").over(w) == F.col("doc_sum"))
-        & (F.lag("pos_sum").over(w) + F.col("n_places") == F.col("pos_sum"))
+    edges = repeated_edges(docs, k, anchor_words).select(
+        "doc_id", "version", "pos", "source_doc", "n_places"
+    )
+    paths = edges.groupBy("doc_id", "version", "source_doc", "n_places").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    heads = F.filter("at", lambda p, i: (i == 0) | (F.get("at", i - 1) < p - 1))
+    tails = F.filter("at", lambda p, i: F.coalesce(F.get("at", i + 1), p + 2) > p + 1)
+    spans = paths.select("doc_id", "version", "source_doc", F.explode(F.arrays_zip(heads.alias("head"), tails.alias("tail"))).alias("s"))
+    return spans.select(
+        "doc_id", "version", F.col("s.head").alias("start"), (F.col("s.tail") - F.col("s.head") + k).alias("n_words"), "source_doc"
     )
-    edges = repeated_edges(docs, k, anchor_words)
-    once = F.coalesce(F.lag("pos").over(w) < F.col("pos"), F.lit(True))  # a row repeated whole has each place twice
-    edges = edges.withColumn("once", once).where("once")
-    marked = edges.withColumn("head", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
-    paths = marked.withColumn("path", F.sum("head").over(w))
-    return paths.groupBy("doc_id", "version", "path").agg(
-        F.min("pos").alias("start"),
-        (F.count("*") + k - 1).alias("n_words"),
-        F.min_by("edge", "pos").alias("path_id"),
-        F.min("source_doc").alias("source_doc"),
-        F.min("n_places").alias("n_places"),
-    ).drop("path")
 
 
 def substring_dedup(docs: DataFrame, k: int = 13, anchor_words: int = 6) -> DataFrame:
     """Remove every word covered by a k-word window that also starts in a document of smaller doc_id.
 
     One row per input row: ``doc_id, n_words, n_removed, kept_text`` (the words
-    left, joined by one space).  Windows are judged on the input.  Paths of the
-    compacted graph carry the decision: all edges of a nonbranching path have
-    the same documents, so the path's source decides for all its words.
+    left, joined by one space) and ``spans`` (start and end in words of the
+    repeated passages).  Windows are judged on the input.  Paths of the
+    compacted graph carry the decision: the edges of a path have one source,
+    which decides for all their words.
 
     Null and empty texts: no words, nothing removed.  A null doc_id is kept
     whole and is no one's source.  Rows of equal doc_id are no source for each
     other, so rows repeated whole keep their words.  Texts under ``k`` words
     are kept.  Other columns are ignored; an empty table gives no rows.
     """
-    paths = repeated_paths(docs, k, anchor_words).where("source_doc < doc_id")
-    cuts = paths.groupBy("doc_id", "version").agg(
-        F.flatten(F.collect_list(F.sequence("start", (F.col("start") + F.col("n_words") - k).cast("int")))).alias("starts")
+    spans = staged(
+        repeated_paths(docs, k, anchor_words)
+        .groupBy("doc_id", "version")
+        .agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n_words")).alias("end"))).alias("spans")),
+        "spans",
     )
-    cuts = staged(cuts, "cuts")
     return (
         _rows(docs)
-        .join(cuts, ["doc_id", "version"], "left")
-        .select("doc_id", "text", "starts")
-        .mapInArrow(_keep(k), "doc_id long, n_words long, n_removed long, kept_text string")
+        .join(spans, ["doc_id", "version"], "left")
+        .select("doc_id", "text", "spans")
+        .mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>")
     )
