@@ -168,6 +168,9 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", reach: int = 200) ->
         out = []
         for t, own in zip(text, spans, strict=True):
             at, bits = 0, []
+            if t is None:
+                out.append(None)
+                continue
             for start, end in sorted((s["start"], s["end"]) for s in own):
                 if start >= at:
                     bits += [t[at:start], mask]
