@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -10,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._stage import small_batches, staged
-from ._words import chunks, split_words
+from ._stage import small_batches, staged, worker_state
+from ._words import Texts, Words
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -21,53 +23,101 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Texts are tokenized in runs of about this many bytes, so that words repeat within one.
+RUN_BYTES = 1 << 20
+#: The vocabulary's own split of lower-case words: contractions, letters, single digits, other signs.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+|\n")
+#: Words that split and lower-case like this: printable ASCII, and Latin-1 letters.
+PLAIN = re.compile(r"[!-~\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: The signs that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from 256 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_REST = [b for b in range(256) if b not in _PRINTABLE]
+BYTE_SIGNS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(_REST)}
+
+
+class Pieces(dict):
+    """piece -> its ids as bytes; the tokenizer's BPE model is asked for new ones."""
+
+    def __init__(self, model, kind: str) -> None:
+        super().__init__({"\n": b""})
+        self.model, self.sign = model, "H" if kind == "<u2" else "I"
+
+    def __missing__(self, piece: str) -> bytes:
+        signs = piece if piece.isascii() else "".join(BYTE_SIGNS[b] for b in piece.encode())
+        ids = [t.id for t in self.model.tokenize(signs)]
+        value = self[piece] = struct.pack(f"<{len(ids)}{self.sign}", *ids)
+        return value
+
+
 class WordTokens:
-    """Token ids word by word: the vocabulary's rules never join words across white space, so a text's ids are its words' ids.
+    """Token ids word by word: the vocabulary's rules never join what white space parts, so a text's ids are its words' ids.
 
-    Ids of up to ``limit`` different words are kept.
+    Each different word of a run of texts, told by its 64-bit hash, is looked up
+    once.  New words of ASCII and Latin-1 letters are split into pieces for the
+    tokenizer's BPE model, all others go to the whole tokenizer.  Ids of up to
+    ``limit`` words and as many pieces are kept.
     """
 
-    limit = 400_000
+    limit = 500_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.starts = np.zeros(0, dtype=np.int64)
-        self.lengths = np.zeros(0, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.uint32)
-
-    def of(self, texts: list[bytes | None], end_id: int) -> list[np.ndarray]:
-        """The ids of each text, ``end_id`` last."""
-        split = [split_words(t) for t in texts]
-        fresh = list(dict.fromkeys(w for words in split for w in words if w not in self.slot))
-        if len(self.slot) + len(fresh) > self.limit and self.slot:
-            self._clear()
-            fresh = list(dict.fromkeys(w for words in split for w in words))
-        if fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)]
-            lengths = np.array([len(f) for f in found], dtype=np.int64)
-            self.slot.update(zip(fresh, range(len(self.lengths), len(self.lengths) + len(fresh)), strict=True))
-            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lengths) - lengths)
-            self.lengths = np.append(self.lengths, lengths)
-            self.ids = np.append(self.ids, np.array([i for f in found for i in f], dtype=np.uint32))
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.slot.__getitem__, words), dtype=np.int64, count=len(words))
-            lengths = self.lengths[at]
-            before = np.cumsum(lengths)
-            total = int(before[-1]) if len(before) else 0
-            own = np.empty(total + 1, dtype=np.uint32)
-            own[:total] = self.ids[np.arange(total) + np.repeat(self.starts[at] - before + lengths, lengths)]
-            own[total] = end_id
-            out.append(own)
+        self.known: dict[int, bytes] = {}
+        self.pieces = Pieces(self.tokenizer.model, self.kind)
+
+    def _by_pieces(self, text: str) -> list[bytes]:
+        """The ids of each line's word, in lower case."""
+        found = PIECES.findall(text.lower())
+        if len(self.pieces) > self.limit:
+            self.pieces = Pieces(self.tokenizer.model, self.kind)
+        out, own = [], b""
+        for ids in map(self.pieces.__getitem__, found):
+            if ids:
+                own += ids
+            else:
+                out.append(own)
+                own = b""
+        out.append(own)
         return out
 
+    def _look_up(self, words: Words, which: np.ndarray) -> list[bytes]:
+        text = words.joined(which).decode()
+        if PLAIN.fullmatch(text):
+            return self._by_pieces(text)
+        split = text.split("\n")
+        plain = [PLAIN.fullmatch(w) is not None for w in split]
+        easy = [w for w, p in zip(split, plain, strict=True) if p]
+        found = iter(self._by_pieces("\n".join(easy)) if easy else [])
+        rest = iter(self._whole([w for w, p in zip(split, plain, strict=True) if not p]))
+        return [next(found) if p else next(rest) for p in plain]
+
+    def _whole(self, split: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(split, add_special_tokens=False) if split else []
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
+
+    def of(self, words: Words, end_id: int) -> list[bytes]:
+        """The ids of each text as little-endian integers, followed by ``end_id``."""
+        end = np.array([end_id], dtype=self.kind).tobytes()
+        keys, where, at = np.unique(words.hashes, return_index=True, return_inverse=True)
+        keys = keys.tolist()
+        if len(self.known) > self.limit:
+            self.known = {}
+        ids = list(map(self.known.get, keys))
+        fresh = [i for i, x in enumerate(ids) if x is None]
+        if fresh:
+            for i, found in zip(fresh, self._look_up(words, where[fresh]), strict=True):
+                ids[i] = self.known[keys[i]] = found
+        every = list(map(ids.__getitem__, at.tolist()))
+        stops = np.cumsum(words.counts).tolist()
+        return [b"".join(every[a:b]) + end for a, b in zip([0, *stops], stops, strict=False)]
+
 
 def _tokenize(path: str, end_id: int):
     schema = pa.schema(
@@ -75,22 +125,25 @@ def _tokenize(path: str, end_id: int):
     )
 
     def run(batches):
-        tokens, before = WordTokens(path), 0
+        kept = worker_state()
+        if (tokens := kept.get(path)) is None:
+            tokens = kept[path] = WordTokens(path)
+        before, wide = 0, int(tokens.kind[-1])
         part = TaskContext.get().partitionId()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                found = tokens.of(texts[a:b], end_id)
-                sizes = np.array([len(f) for f in found], dtype=np.int64)
-                places = before + np.cumsum(sizes) - sizes
-                before += int(sizes.sum())
+            texts = Texts(batch.column("text"))
+            for a, b in texts.runs(RUN_BYTES):
+                ids = tokens.of(texts.words(a, b), end_id)
+                counts = np.array([len(i) // wide for i in ids], dtype=np.int64)
+                places = before + np.cumsum(counts) - counts
+                before += int(counts.sum())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
                         pa.array([part] * (b - a), pa.int32()),
                         pa.array(places),
-                        pa.array(sizes),
-                        pa.array([f.astype("<u2" if int(f.max()) < 65536 else "<u4").tobytes() for f in found], pa.binary()),
+                        pa.array(counts),
+                        pa.array(ids, pa.binary()),
                     ],
                     schema=schema,
                 )
@@ -159,7 +212,7 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, end_id: int
     )
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("total").over(w), F.lit(0)).alias("base"))
+    bases = staged(totals.select("part", F.coalesce(F.sum("total").over(w), F.lit(0)).alias("base")), "bases")
     return (
         tokens.join(bases, "part")
         .select("doc_id", (F.col("base") + F.col("before")).alias("at"), "doc_tokens", "ids")
