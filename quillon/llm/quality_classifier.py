@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from ._words import chunks, split_words
 #: Hash buckets for words and for word shapes; together with the length features the size of the model.
 BUCKETS = 1 << 18
 SHAPES = 1 << 12
-EXTRA = 2
+EXTRA = 3
+PREFIX = 5
 _LOWER, _UPPER, _DIGIT = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[A-Z]+"), re.compile(rb"[0-9]+")
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -33,15 +35,28 @@ def shape_slot(word: bytes) -> int:
     return BUCKETS + xxh3_64_intdigest(shape[:12]) % SHAPES
 
 
+def prefix_slot(word: bytes) -> int:
+    """Bucket of a word's first letters, shared with the words."""
+    own = word.decode(errors="replace").lower().strip(_EDGE.decode())
+    return xxh3_64_intdigest(own[:PREFIX] + "*") % BUCKETS
+
+
+def _whole(words: list[bytes], own: dict) -> tuple[float, float, float]:
+    """Share of repeated words, share of words equal to the one before, log length."""
+    n = len(words)
+    return 1 - len(own) / n, sum(map(eq, words, words[1:])) / n, float(np.log1p(n))
+
+
 def features(text: bytes | None) -> tuple[list[int], list[float]]:
-    """Different words count 1 each, their shapes by share; then the share of repeated words and the log length."""
+    """Different words and their beginnings count 1 each, their shapes by share; then what holds for the whole text."""
     words = split_words(text)
     own = dict.fromkeys(words)
     if not own:
         return [], []
     share = 1.0 / len(own)
-    slots = [word_slot(w) for w in own] + [shape_slot(w) for w in own] + [BUCKETS + SHAPES, BUCKETS + SHAPES + 1]
-    values = [1.0] * len(own) + [share] * len(own) + [1 - len(own) / len(words), float(np.log1p(len(words)))]
+    last = BUCKETS + SHAPES
+    slots = [word_slot(w) for w in own] + [prefix_slot(w) for w in own] + [shape_slot(w) for w in own] + [last, last + 1, last + 2]
+    values = [1.0] * (2 * len(own)) + [share] * len(own) + list(_whole(words, own))
     return slots, values
 
 
@@ -89,12 +104,12 @@ def fit_cumulative_link(
     return OrdinalModel(weights.astype(np.float32), theta)
 
 
-def fit_quality_model(docs: DataFrame, labels: DataFrame, sample: int = 16_384, least_documents: int = 5, seed: int = 1) -> OrdinalModel:
+def fit_quality_model(docs: DataFrame, labels: DataFrame, sample: int = 16_384, least_share: float = 0.005, seed: int = 1) -> OrdinalModel:
     """The model fitted on at most ``sample`` labelled documents, drawn by seeded hash of doc_id.
 
     A rating is graded 0 to 2: one point for quality, one for not being toxic;
     of several ratings of a document the lowest counts, ratings with a null do not.  Word
-    buckets of fewer than ``least_documents`` sampled documents get no weight.
+    buckets of fewer than 5 sampled documents, or ``least_share`` of them, get no weight.
     The sample bounds what reaches the driver: (bucket, value) pairs of its texts.
     """
     small_batches(docs.sparkSession)
@@ -133,7 +148,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, sample: int = 16_384,
     values = np.concatenate([c.flatten().to_numpy() for c in rows.column("values").chunks] or [np.zeros(0, np.float32)])
     owner = np.repeat(np.arange(len(grades)), offsets)
     size = BUCKETS + SHAPES + EXTRA
-    known = np.bincount(slots, minlength=size)[slots] >= least_documents
+    known = np.bincount(slots, minlength=size)[slots] >= max(5, least_share * len(grades))
     return fit_cumulative_link(owner[known], slots[known], values[known].astype(np.float64), grades, size)
 
 
@@ -157,7 +172,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5)
         def __missing__(self, word: bytes) -> complex:
             if len(self) >= 400_000:
                 self.clear()
-            value = self[word] = complex(weights[word_slot(word)], weights[shape_slot(word)])
+            value = self[word] = complex(weights[word_slot(word)] + weights[prefix_slot(word)], weights[shape_slot(word)])
             return value
 
     def run(batches):
@@ -173,7 +188,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5)
                         empty[i] = True
                         continue
                     both = sum(map(held.__getitem__, own))
-                    scores[i] = both.real + both.imag / len(own) + (1 - len(own) / len(words)) * weights[-2] + np.log1p(len(words)) * weights[-1]
+                    scores[i] = both.real + both.imag / len(own) + np.dot(_whole(words, own), weights[-EXTRA:])
                 tails = model.tails(scores)
                 tails[empty] = 0
                 columns = [batch.column(c).slice(a, b - a) for c in names]
