@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pandas as pd
@@ -57,25 +58,40 @@ def _strong_looking(token: str) -> bool:
     return -sum(c / len(token) * math.log2(c / len(token)) for c in counts.values()) >= LEAST_ENTROPY
 
 
-def credential_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, bool]]:
-    """(role, start, end, scope, weak): identifiers, secrets and endpoints of a text that holds any secret."""
+class Taken:
+    """Intervals of a text; tells whether another is clear of all of them."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
 
-    def free(start: int, end: int) -> bool:
-        return all(end <= s or start >= e for _, s, e in base)
+    def clear_of(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i == 0 or self.ends[i - 1] <= start
 
-    weak = [(_SECRET, m.start(), m.end(), True) for m in WEAK_SECRET.finditer(text) if _strong_looking(m[0]) and free(*m.span())]
+
+def credential_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, bool]]:
+    """(role, start, end, scope, weak): identifiers, secrets and endpoints of a text that holds any secret."""
+    taken = Taken([(s, e) for _, s, e in base])
+    weak = [(_SECRET, m.start(), m.end(), True) for m in WEAK_SECRET.finditer(text) if _strong_looking(m[0]) and taken.clear_of(*m.span())]
     parts = weak + [(_ID if k == 1 else _SECRET, s, e, False) for k, s, e in base]
     if not any(p[0] == _SECRET for p in parts):
         return []
-    taken = [(s, e) for _, s, e, _ in parts]
+    taken = Taken([(s, e) for _, s, e, _ in parts])
     for role, pattern, group in ((_ID, WEAK_ID, 1), (_ENDPOINT, ENDPOINT, 0)):
         for m in pattern.finditer(text):
-            if all(m.end(group) <= s or m.start(group) >= e for s, e in taken):
-                parts.append((role, m.start(group), m.end(group), True))
+            if taken.clear_of(*m.span(group)):
+                parts.append((role, *m.span(group), True))
     if not any(p[3] for p in parts):
         return []
     breaks = [m.start() for m in BLANK_LINE.finditer(text)]
-    return [(r, s, e, sum(b < s for b in breaks), w) for r, s, e, w in sorted(parts)]
+    return [(r, s, e, bisect_left(breaks, s), w) for r, s, e, w in sorted(parts)]
 
 
 def _scan(carry: list[str]):
