@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ._stage import small_batches
+from ._stage import drop, small_batches, staged
 from ._words import chunks, split_words
 
 #: Hash buckets for words and for word shapes; together with the length features the size of the model.
 BUCKETS = 1 << 18
 SHAPES = 1 << 12
-EXTRA = 3
+EXTRA = 7
+#: Signs that prose seldom holds, digits and capitals, whose shares of a text are features.
+SIGNS = (b"#*$%&|<>@^~{}[]\\=+_/", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 PREFIX = 5
 _LOWER, _UPPER, _DIGIT = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[A-Z]+"), re.compile(rb"[0-9]+")
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -41,10 +45,11 @@ def prefix_slot(word: bytes) -> int:
     return xxh3_64_intdigest(own[:PREFIX] + "*") % BUCKETS
 
 
-def _whole(words: list[bytes], own: dict) -> tuple[float, float, float]:
-    """Share of repeated words, share of words equal to the one before, log length."""
+def _whole(text: bytes, words: list[bytes], own: dict) -> tuple[float, ...]:
+    """Share of repeated words, share of words equal to the one before, log length, shortness, and roots of the shares of SIGNS."""
     n = len(words)
-    return 1 - len(own) / n, sum(map(eq, words, words[1:])) / n, float(np.log1p(n))
+    shares = [float(np.sqrt((len(text) - len(text.translate(None, signs))) / len(text))) for signs in SIGNS]
+    return 1 - len(own) / n, sum(map(eq, words, words[1:])) / n, float(np.log1p(n)), n**-0.5, *shares
 
 
 def features(text: bytes | None) -> tuple[list[int], list[float]]:
@@ -53,10 +58,10 @@ def features(text: bytes | None) -> tuple[list[int], list[float]]:
     own = dict.fromkeys(words)
     if not own:
         return [], []
-    share = 1.0 / len(own)
     last = BUCKETS + SHAPES
-    slots = [word_slot(w) for w in own] + [prefix_slot(w) for w in own] + [shape_slot(w) for w in own] + [last, last + 1, last + 2]
-    values = [1.0] * (2 * len(own)) + [share] * len(own) + list(_whole(words, own))
+    shapes = Counter(map(shape_slot, own))
+    slots = [word_slot(w) for w in own] + [prefix_slot(w) for w in own] + list(shapes) + [last + i for i in range(EXTRA)]
+    values = [1.0] * (2 * len(own)) + [n / len(own) for n in shapes.values()] + list(_whole(text, words, own))
     return slots, values
 
 
@@ -73,7 +78,7 @@ class OrdinalModel:
 
 
 def fit_cumulative_link(
-    rows: np.ndarray, slots: np.ndarray, values: np.ndarray, grades: np.ndarray, size: int, l2: float = 1e-3, steps: int = 300, rate: float = 0.05
+    rows: np.ndarray, slots: np.ndarray, values: np.ndarray, grades: np.ndarray, size: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.05
 ) -> OrdinalModel:
     """Maximum likelihood with an L2 penalty, by full-batch Adam; ``rows``, ``slots``, ``values`` are the sparse matrix."""
     n, levels = len(grades), int(grades.max()) + 1 if len(grades) else 1
@@ -104,22 +109,37 @@ def fit_cumulative_link(
     return OrdinalModel(weights.astype(np.float32), theta)
 
 
-def fit_quality_model(docs: DataFrame, labels: DataFrame, sample: int = 16_384, least_share: float = 0.005, seed: int = 1) -> OrdinalModel:
+def telling(n: np.ndarray, total: np.ndarray, docs: int, grades: float, variance: float, least_z: float) -> np.ndarray:
+    """Whether the ``n`` texts with a feature, of grade sum ``total``, have another mean grade than the rest of the ``docs``."""
+    inside, outside = np.maximum(n, 1), np.maximum(docs - n, 1)
+    gap = total / inside - (grades - total) / outside
+    error = np.sqrt(max(variance, 1e-12) * (1 / inside + 1 / outside))
+    return (n < docs) & (np.abs(gap) >= least_z * error)
+
+
+def fit_quality_model(docs: DataFrame, labels: DataFrame, sample: int = 16_384, least_share: float = 0.005, least_z: float = 4.0, seed: int = 1) -> OrdinalModel:
     """The model fitted on at most ``sample`` labelled documents, drawn by seeded hash of doc_id.
 
     A rating is graded 0 to 2: one point for quality, one for not being toxic;
     of several ratings of a document the lowest counts, ratings with a null do not.  Word
-    buckets of fewer than 5 sampled documents, or ``least_share`` of them, get no weight.
-    The sample bounds what reaches the driver: (bucket, value) pairs of its texts.
+    buckets of fewer than 5 sampled documents, or ``least_share`` of them, get no weight,
+    nor do those whose texts are graded like the rest (``least_z`` standard errors):
+    a long text holds hundreds of words that say nothing.
+    What reaches the driver is bounded by the sample and the model: three sums
+    for each bucket, and the sample's (bucket, value) pairs in those that get a weight.
+
+    Of several texts under one doc_id the least counts; null texts do not.
     """
     small_batches(docs.sparkSession)
-    graded = (
+    graded = staged(
         labels.where("doc_id is not null and quality is not null and toxic is not null")
         .groupBy("doc_id")
         .agg(F.min(F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade"))
         .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-        .limit(sample)
+        .limit(sample),
+        "graded",
     )
+    pairs = "grade int, slots array<int>, values array<float>"
     schema = pa.schema([("grade", pa.int32()), ("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))])
 
     def run(batches):
@@ -134,22 +154,49 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, sample: int = 16_384,
                 schema=schema,
             )
 
-    rows = (
-        graded.join(docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null"), "doc_id")
-        .orderBy(F.xxhash64(F.lit(seed), "doc_id", "text"))
-        .limit(sample)
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null")
+    rows = staged(
+        texts.join(F.broadcast(graded), "doc_id")  # ``sample`` rows at most
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.min("grade").alias("grade"))
         .select("grade", "text")
-        .mapInArrow(run, "grade int, slots array<int>, values array<float>")
+        .mapInArrow(run, pairs),
+        "features",
+    )
+    whole = rows.agg(F.count("*").alias("docs"), F.sum("grade").alias("grades"), F.var_pop("grade").alias("variance")).first()
+    counts = (
+        rows.select("grade", F.explode("slots").alias("slot"))
+        .groupBy("slot")
+        .agg(F.count("*").alias("n"), F.sum("grade").alias("total"))
+        .where(F.col("n") >= max(5, least_share * whole.docs))
         .toArrow()
     )
-    grades = rows.column("grade").to_numpy().astype(np.int64)
-    offsets = np.array([len(s) for s in rows.column("slots")], dtype=np.int64)
-    slots = np.concatenate([c.flatten().to_numpy() for c in rows.column("slots").chunks] or [np.zeros(0, np.int32)])
-    values = np.concatenate([c.flatten().to_numpy() for c in rows.column("values").chunks] or [np.zeros(0, np.float32)])
-    owner = np.repeat(np.arange(len(grades)), offsets)
+    slot, n, total = (counts.column(c).to_numpy() for c in ("slot", "n", "total"))
     size = BUCKETS + SHAPES + EXTRA
-    known = np.bincount(slots, minlength=size)[slots] >= max(5, least_share * len(grades))
-    return fit_cumulative_link(owner[known], slots[known], values[known].astype(np.float64), grades, size)
+    known = np.zeros(size, dtype=bool)
+    known[slot[(slot >= BUCKETS) | telling(n, total, whole.docs, whole.grades or 0, whole.variance or 0.0, least_z)]] = True
+
+    def weighted(batches):
+        for batch in batches:
+            slots, values = [], []
+            for own, value in zip(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("slots", "values")), strict=True):
+                use = known[own] if len(own) else np.zeros(0, dtype=bool)
+                slots.append(own[use])
+                values.append(value[use])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("grade"), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], schema=schema
+            )
+
+    found = rows.mapInArrow(weighted, pairs).toArrow()
+    drop(graded, rows)
+    grades = found.column("grade").to_numpy().astype(np.int64)
+    slots, values = (np.concatenate([c.flatten().to_numpy() for c in found.column(n).chunks] or [np.zeros(0)]) for n in ("slots", "values"))
+    owner = np.repeat(np.arange(len(grades)), pc.list_value_length(found.column("slots")).to_numpy())
+    used = np.flatnonzero(known)
+    small = fit_cumulative_link(owner, np.searchsorted(used, slots), values.astype(np.float64), grades, len(used))
+    weights = np.zeros(size, dtype=np.float32)
+    weights[used] = small.weights
+    return OrdinalModel(weights, small.thresholds)
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5) -> DataFrame:
@@ -188,7 +235,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5)
                         empty[i] = True
                         continue
                     both = sum(map(held.__getitem__, own))
-                    scores[i] = both.real + both.imag / len(own) + np.dot(_whole(words, own), weights[-EXTRA:])
+                    scores[i] = both.real + both.imag / len(own) + np.dot(_whole(t, words, own), weights[-EXTRA:])
                 tails = model.tails(scores)
                 tails[empty] = 0
                 columns = [batch.column(c).slice(a, b - a) for c in names]
