@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.operators import crowding, exposure, rates
+from quillon.operators import credit_status as credit
+from quillon.operators import crowding, evaluation, exposure, rates
 from quillon.operators import position_index as index
 
-from .proxy import POSITIONS_SQL, positions
+from .proxy import POSITIONS_SQL, positions, table
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -395,3 +396,98 @@ def rescale_to_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     value, done = rates.rescale(F.col("x"), 0.02, 0.5)
     out = line.select(F.col("l_orderkey").alias("row_a"), F.col("l_linenumber").alias("row_b"), x.alias("x"))
     return out.select("row_a", "row_b", F.round(value, 8).alias("value"), done.alias("done"))
+
+
+STATUS_SQL = f"""{PANEL_SQL},
+ls AS (SELECT borrower, qsort, cik, max(non_accrual) AS status, sum(FV) AS fv FROM rows_ GROUP BY ALL)"""
+
+
+def _lenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credit.lender_status(_panel(spark, sf_dir))
+
+
+@query(f"""WITH {STATUS_SQL},
+b AS (SELECT borrower, qsort, CAST(max(status) AS INT) AS na_status, CAST(count(status) AS BIGINT) AS n_lenders_known, sum(fv) AS fv FROM ls GROUP BY ALL)
+SELECT borrower, qsort, na_status, n_lenders_known, round(fv, 2) AS fv_debt, CAST(max(coalesce(na_status, 0)) OVER (PARTITION BY borrower ORDER BY qsort) AS INT) AS na_ever FROM b""")
+def borrower_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credit.borrower_status(_lenders(spark, sf_dir)).withColumn("fv_debt", F.round("fv_debt", 2))
+
+
+@query(f"""WITH {STATUS_SQL}
+SELECT DISTINCT a.borrower, a.qsort FROM ls a JOIN ls b ON a.borrower = b.borrower AND a.cik = b.cik AND b.qsort BETWEEN a.qsort + 1 AND a.qsort + 2
+WHERE a.status = 0 AND b.status = 1""")
+def same_lender_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credit.same_lender_entries(_lenders(spark, sf_dir))
+
+
+@query("""WITH e AS (
+  SELECT user_id, event_type, ts, lag(event_type) OVER w AS before, lag(ts) OVER w AS ts_before, lead(event_type) OVER w AS after
+  FROM events WHERE event_type IN ('signup', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, CASE WHEN event_type = 'signup' THEN ts WHEN before = 'signup' THEN ts_before END AS "start", CASE WHEN event_type = 'error' THEN ts END AS "end"
+FROM e WHERE event_type = 'error' OR after IS NULL""")
+def status_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credit.status_intervals(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "signup", "error", "event_id")
+
+
+CHANGES_SQL = f"""{PANEL_SQL},
+ch AS (SELECT borrower, qsort, CASE WHEN lag(qsort) OVER w = qsort - 1 THEN price - lag(price) OVER w END AS d_price FROM panel WINDOW w AS (PARTITION BY borrower ORDER BY qsort))"""
+
+
+@query(f"""WITH {CHANGES_SQL},
+bounds AS (SELECT min(qsort) AS lo, max(qsort) AS hi FROM ch),
+grid AS (SELECT borrower, lo, unnest(range(lo, hi + 1)) AS qsort FROM (SELECT DISTINCT borrower FROM ch), bounds),
+lv AS (SELECT g.borrower, g.qsort, lo, d_price, sum(coalesce(d_price, 0)) OVER (PARTITION BY g.borrower ORDER BY g.qsort) AS level
+  FROM grid g LEFT JOIN ch c ON c.borrower = g.borrower AND c.qsort = g.qsort)
+SELECT a.borrower, CAST(a.qsort AS INT) AS qsort, round(CASE WHEN max(seen) > 0 THEN max(p.level - t.level) END, 6) AS drawdown
+FROM (SELECT *, count(CASE WHEN qsort > lo THEN d_price END) OVER (PARTITION BY borrower ORDER BY qsort ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS seen FROM lv) a
+JOIN lv p ON p.borrower = a.borrower AND p.qsort BETWEEN a.qsort - 4 AND a.qsort JOIN lv t ON t.borrower = a.borrower AND t.qsort BETWEEN p.qsort AND a.qsort
+GROUP BY a.borrower, a.qsort""")
+def rolling_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = Window.partitionBy("borrower").orderBy("qsort")
+    panel = exposure.borrower_quarters(_panel(spark, sf_dir)).select("borrower", "qsort", "price")
+    follows = F.lag("qsort").over(before) == F.col("qsort") - 1
+    changes = panel.withColumn("d_price", F.when(follows, F.col("price") - F.lag("price").over(before)))
+    return rounded(credit.rolling_max_drawdown(changes))
+
+
+SCORES_SQL = f"""{PANEL_SQL},
+sc AS (SELECT borrower, qsort, round(10 * (1 - price), 9) AS pred, CAST(na_cost_share > 0.5 AS INT) AS y FROM panel WHERE price IS NOT NULL AND na_cost_share IS NOT NULL),
+pl AS (SELECT *, row_number() OVER (PARTITION BY qsort ORDER BY pred DESC, borrower) / count(*) OVER (PARTITION BY qsort) AS r FROM sc)"""
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = exposure.borrower_quarters(_panel(spark, sf_dir)).where("price is not null and na_cost_share is not null")
+    return panel.select(
+        "borrower", "qsort", F.round(10 * (1 - F.col("price")), 9).alias("pred"), (F.col("na_cost_share") > 0.5).cast("int").alias("y")
+    )
+
+
+@query(f"""WITH {SCORES_SQL},
+d AS (SELECT CAST(11 - ceil(round(r * 10, 9)) AS INT) AS decile, CAST(count(*) AS BIGINT) AS n, CAST(sum(y) AS BIGINT) AS events, sum(pred) AS expected FROM pl GROUP BY 1)
+SELECT decile, n, events, round(events / n, 6) AS event_rate, round(expected / n, 6) AS predicted_rate, round(events / expected, 6) AS realized_to_predicted,
+  round(events / sum(events) OVER (), 6) AS share_of_events FROM d""")
+def decile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.decile_table(_scores(spark, sf_dir)))
+
+
+@query(f"""WITH {SCORES_SQL},
+c AS (SELECT qsort, CAST(sum(CASE WHEN r <= 0.1 THEN y ELSE 0 END) AS BIGINT) AS caught, CAST(sum(y) AS BIGINT) AS events FROM pl GROUP BY GROUPING SETS ((qsort), ()))
+SELECT CAST(qsort AS INT) AS qsort, caught, events, round(caught / nullif(events, 0), 6) AS recall FROM c""")
+def recall_of_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.recall_at(_scores(spark, sf_dir), 0.1))
+
+
+@query(f"""WITH {SCORES_SQL},
+k AS (SELECT *, rank() OVER (PARTITION BY qsort ORDER BY pred) + (count(*) OVER (PARTITION BY qsort, pred) - 1) / 2 AS place FROM sc),
+a AS (SELECT qsort, sum(y) AS n1, count(*) - sum(y) AS n0, sum(y * place) AS s FROM k GROUP BY qsort)
+SELECT qsort, round(CASE WHEN n1 * n0 > 0 THEN (s - n1 * (n1 + 1) / 2) / (n1 * n0) END, 6) AS auc FROM a""")
+def rank_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.roc_auc(_scores(spark, sf_dir)))
+
+
+@query(f"""WITH {SCORES_SQL},
+g AS (SELECT qsort, pred, sum(y) AS pos, count(*) AS n FROM sc GROUP BY ALL),
+t AS (SELECT *, sum(pos) OVER w / sum(n) OVER w AS precision_ FROM g WINDOW w AS (PARTITION BY qsort ORDER BY pred DESC))
+SELECT qsort, round(sum(pos * precision_) / nullif(sum(pos), 0), 6) AS average_precision FROM t GROUP BY qsort""")
+def score_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.average_precision(_scores(spark, sf_dir)))
