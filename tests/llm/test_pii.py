@@ -61,6 +61,16 @@ def test_equal_values_stay_linked(docs_of):
         assert [text[s["start"] : s["end"]][:4] for s in r.private_spans] == ["bosb", "4785", "70.1", "2024"]
 
 
+def test_each_value_alone_in_a_text(docs_of):
+    more = [("card", "4111-1111-1111-1111"), ("phone", "+44 20 7946 0958"), ("phone", "+1 415 555 2671"), ("phone", "+49 30 12 34 56"), ("ip", "1.2.3.4")]
+    values = [*VALUES, *more]
+    docs = docs_of([(i, f"on {v} now") for i, (_, v) in enumerate(values)])
+    for r in pseudonymize(docs, KEY).collect():
+        kind, value = values[r.doc_id]
+        assert [(s["kind"], s["start"], s["end"]) for s in r.private_spans] == [(kind, 3, 3 + len(value))], value
+        assert r.n_private == 1 and value not in r.text
+
+
 def test_edges(docs_of):
     docs = docs_of([*EDGES, (8, "x" * 300_000 + " 4785380592391139")]).selectExpr("*", "1 AS _c0", "2 AS n_private", "map('a', 1) AS m")
     got = pseudonymize(docs, KEY)
