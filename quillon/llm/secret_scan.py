@@ -115,13 +115,21 @@ def _scan(carry: list[str]):
 def linked_parts(parts: DataFrame, reach: int) -> DataFrame:
     """Weak parts that stand within ``reach`` characters of what completes them, in one scope: ``(uid, kind, start, end)``.
 
-    An interval join: a part lies in the bin of its start and looks at the bins
-    beside it.  An identifier needs a secret, a secret an identifier or an
-    endpoint, an endpoint both.  A bin holds at most ``reach`` starts.
+    An interval join: a part lies in all bins from its start to its end, and
+    looks at these and the bins beside them, so a part within ``reach`` is met
+    in one bin at least.  An identifier needs a secret, a secret an identifier
+    or an endpoint, an endpoint both.  A bin holds at most ``reach`` starts.
     """
-    binned = parts.withColumn("bin", (F.col("start") / reach).cast("int"))
-    weak = binned.where("weak").withColumn("bin", F.explode(F.expr("sequence(bin - 1, cast(end / %d as int) + 1)" % reach)))
-    other = binned.select("uid", "scope", "bin", F.col("role").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"))
+    first, last = f"cast(start / {reach} as int)", f"cast(end / {reach} as int)"
+    weak = parts.where("weak").withColumn("bin", F.explode(F.expr(f"sequence({first} - 1, {last} + 1)")))
+    other = parts.select(
+        "uid",
+        "scope",
+        F.explode(F.expr(f"sequence({first}, {last})")).alias("bin"),
+        F.col("role").alias("r"),
+        F.col("start").alias("s"),
+        F.col("end").alias("e"),
+    )
     near = weak.join(other, ["uid", "scope", "bin"]).where(f"s - end <= {reach} and start - e <= {reach} and r <> role")
     has = near.groupBy("uid", "role", "start", "end").agg(
         *[F.max((F.col("r") == k).cast("int")).alias(n) for k, n in ((_ID, "id"), (_SECRET, "secret"), (_ENDPOINT, "endpoint"))]

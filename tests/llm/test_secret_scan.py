@@ -36,6 +36,22 @@ def test_weak_parts_need_their_complement(docs_of):
     assert far == ([], [])
 
 
+def test_long_parts_are_met_at_every_alignment(docs_of):
+    strong, weak = "0f" * 200, "Zx9" + "aB3dE5gH7jK9" * 33 + "Q"
+    endpoint = "https://api.example.com/" + "v1/" * 126
+    texts = {}
+    for i in range(200):
+        lead = "." * i + " "
+        texts[i] = f"{lead}{strong} {'-' * 8} client_id=portal-7"
+        texts[1000 + i] = f"{lead}{weak} {'-' * 8} client_id=portal-7"
+        texts[2000 + i] = f"{lead}{endpoint} {'-' * 8} {weak[:40]}"
+    wanted = {0: {"id": "portal-7"}, 1: {"id": "portal-7", "secret": weak}, 2: {"secret": weak[:40]}}
+    assert (len(strong), len(weak), len(endpoint)) == (400, 400, 402)
+    for r in secret_scan(docs_of(list(texts.items()))).collect():
+        own = {KINDS[s["kind"]]: texts[r.doc_id][s["start"] : s["end"]] for s in r.linked_spans}
+        assert own == wanted[r.doc_id // 1000], r.doc_id
+
+
 def test_span_text_order(spark):
     row = spark.sql("SELECT array(named_struct('kind',2,'start',5,'end',9), named_struct('kind',0,'start',5,'end',12), named_struct('kind',1,'start',1,'end',3)) s")
     assert row.select(span_text(F.col("s"))).first()[0] == "access:1:3,assign:5:12,hex:5:9"
