@@ -101,19 +101,50 @@ def common_words(docs: DataFrame, least_share: float = 0.002, most: int = 20) ->
     )
 
 
-def document_counts(docs: DataFrame, common: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+def _word_distance(shares: Column, reference: Column) -> Column:
+    """Distance of two lists of shares, each with its rest as one class more."""
+
+    def whole(x: Column) -> Column:
+        tail = F.greatest(F.lit(1.0) - F.aggregate(x, F.lit(0.0), lambda a, b: a + b), F.lit(0.0))
+        return F.concat(x, F.array(tail))
+
+    terms = F.zip_with(let(shares, whole), whole(reference), lambda p, q: _term(p, q) + _term(q, p))
+    return _distance(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b))
+
+
+def word_references(common: DataFrame) -> DataFrame:
+    """One row: ``_every``, the common words of all languages, and ``_refs``, each language's places in it and shares.
+
+    ``none`` is the distance of a text without any common word of the language.
+    """
+    return (
+        common.agg(F.collect_list(F.struct("lang", "common", "common_share")).alias("r"))
+        .select("r", F.array_sort(F.array_distinct(F.flatten("r.common"))).alias("_every"))
+        .select(
+            "_every",
+            F.transform(
+                "r",
+                lambda x: F.struct(
+                    x["lang"].alias("lang"),
+                    F.transform(x["common"], lambda c: (F.array_position("_every", c) - 1).cast("int")).alias("at"),
+                    x["common_share"].alias("share"),
+                    _word_distance(F.transform(x["common_share"], lambda q: q * 0), x["common_share"]).alias("none"),
+                ),
+            ).alias("_refs"),
+        )
+    )
+
+
+def document_counts(docs: DataFrame, references: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     """Base counts and histograms of every whole text, one row per input row."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def of_words(w: Column) -> Column:
-        listed = F.filter(w, lambda x: F.array_contains(F.col("_common"), x))
-        hist = let(listed, lambda f: F.transform(F.col("_common"), lambda c: F.size(F.filter(f, lambda x: x == c)).cast("long")))
+        listed = F.filter(w, lambda x: F.array_contains(F.col("_every"), x))
+        hist = let(listed, lambda f: F.transform(F.col("_every"), lambda c: (F.size(f) - F.size(F.array_remove(f, c))).cast("long")))
         return F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), hist.alias("common_counts"))
 
-    words = common.select(F.col("lang").alias("_lang"), F.col("common").alias("_common"), F.col("common_share").alias("_share"))
-    joined = docs.join(words, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn(
-        "_common", F.coalesce("_common", F.array().cast("array<string>"))
-    )
+    joined = docs.crossJoin(F.broadcast(references.select("_every")))
     return joined.select(
         *carry,
         "lang",
@@ -121,7 +152,6 @@ def document_counts(docs: DataFrame, common: DataFrame, carry: tuple[str, ...])
         F.length(text).cast("long").alias("n_code_points"),
         *[kept_length(text, kind).alias(f"n_{name}") for name, kind in CLASSES.items()],
         duplicate_lines(F.col("text")).alias("n_dup_lines"),
-        F.coalesce("_share", F.array().cast("array<double>")).alias("_share"),
     ).select("*", "_w.*")
 
 
@@ -132,6 +162,8 @@ def quality_rules(
     max_word_distance: float = 0.5,
     least_chars: int = 100,
     least_words: int = 50,
+    max_word_ratio: float = 0.9,
+    rival_ratio: float = 0.9,
 ) -> DataFrame:
     """Base rules and distribution divergence of every document, one row per input row.
 
@@ -142,6 +174,11 @@ def quality_rules(
     common words (the rest is one class) are compared with those of all
     documents of its language by Jensen-Shannon distance (base 2, 0 to 1).
     ``kept`` is false if a base rule fails or a distance is above its limit.
+    The word distance has a limit relative to its language too, for common words
+    are a small share of any: ``max_word_ratio`` of the distance of a text that
+    has none of them.  And a text is in another language, related ones included,
+    if its distance from that reference, as a ratio of the same kind, is below
+    ``rival_ratio`` of the own ratio; labels that share a language are near alike.
     A text of fewer than ``least_chars`` code points or ``least_words`` words
     has too little for the measure in question: that distance is null and decides nothing.
 
@@ -151,8 +188,8 @@ def quality_rules(
     """
     inner = tuple(f"_k{i}" for i in range(len(carry)))
     rows = docs.select(*[F.col(c).alias(i) for c, i in zip(carry, inner, strict=True)], "text", F.col("lang"))
-    common = staged(common_words(rows), "common")
-    counts = staged(document_counts(rows, common, inner).drop("_w"), "counts")
+    words = staged(word_references(common_words(rows)), "common")
+    counts = staged(document_counts(rows, words, inner).drop("_w"), "counts")
     classes = [f"n_{name}" for name in CLASSES]
     rest = (F.col("n_code_points") - sum((F.col(c) for c in classes), F.lit(0))).alias(f"n_{OTHER}")
     counts = counts.withColumn(f"n_{OTHER}", rest)
@@ -166,29 +203,31 @@ def quality_rules(
     joined = counts.join(refs, F.col("lang").eqNullSafe(F.col("_lang")))
     pairs = [(F.col(c) / F.col("n_code_points"), F.col(f"_{c}") / F.col("_chars")) for c in every]
     char_js = sum((_term(p, q) + _term(q, p) for p, q in pairs), F.lit(0.0))
-    shares = F.transform("common_counts", lambda c: c / F.col("n_words"))
 
-    def tail(x: Column) -> Column:
-        return F.greatest(F.lit(1.0) - F.aggregate(x, F.lit(0.0), lambda a, b: a + b), F.lit(0.0))
+    def against(ref: Column) -> Column:
+        shares = F.transform(ref["at"], lambda i: F.get("common_counts", i) / F.col("n_words"))
+        return F.struct(
+            ref["lang"].eqNullSafe(F.col("lang")).alias("own"), _word_distance(shares, ref["share"]).alias("d"), ref["none"].alias("none")
+        )
 
-    word_js = F.aggregate(
-        F.zip_with(
-            F.concat(shares, F.array(tail(shares))),
-            F.concat(F.col("_share"), F.array(tail(F.col("_share")))),
-            lambda p, q: _term(p, q) + _term(q, p),
-        ),
-        F.lit(0.0),
-        lambda a, b: a + b,
+    joined = joined.crossJoin(F.broadcast(words.select("_refs"))).withColumn(
+        "_near", F.when(F.col("n_words") >= least_words, F.transform("_refs", against))
     )
+    own = F.get(F.filter("_near", lambda x: x["own"]), F.lit(0))
+    rival = F.array_min(F.transform(F.filter("_near", lambda x: ~x["own"]), lambda x: x["d"] / x["none"]))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = joined.withColumns(
         {
             "base_failed": failed,
             "char_distance": F.when(F.col("n_code_points") >= least_chars, _distance(char_js)),
-            "word_distance": F.when(F.col("n_words") >= least_words, _distance(word_js)),
+            "word_distance": F.when(F.col("n_words") >= least_words, F.coalesce(own["d"], F.lit(0.0))),
+            "_ratio": own["d"] / own["none"],
+            "_rival": rival,
         }
     )
     far = (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
+    foreign = (F.col("_ratio") > max_word_ratio) | (F.col("_rival") < rival_ratio * F.col("_ratio"))
+    far = far | F.coalesce(foreign, F.lit(False))
     return out.select(
         *[F.col(i).alias(c) for c, i in zip(carry, inner, strict=True)],
         "n_words",

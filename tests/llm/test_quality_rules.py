@@ -1,7 +1,8 @@
 import math
+import random
 from collections import Counter
 
-from llm_cases import EDGES, SMALL
+from llm_cases import EDGES, SCHEMA, SMALL
 
 from quillon.llm.quality_rules import common_words, quality_rules
 
@@ -68,6 +69,30 @@ def test_distances_against_hand_computation(spark, docs_of):
     assert got[3].char_distance > got[1].char_distance
 
 
+def test_texts_of_another_language_or_none_are_not_kept(spark, words):
+    # "c" shares half of its common words with "b".
+    common = {"a": [f"a{'x' * i}" for i in range(20)], "b": [f"b{'x' * i}" for i in range(20)]}
+    common["c"] = common["b"][::2] + [f"c{'x' * i}" for i in range(10)]
+
+    def text(lang, seed):
+        rng = random.Random(seed)
+        rare = words(150, seed)
+        return " ".join(rng.choice(common[lang]) if lang and rng.random() < 0.25 else w for w in rare)
+
+    rows = [(lang, lang) for lang in common for _ in range(60)] + [(lang, label) for lang in (*common, None) for label in common if lang != label]
+    docs = [(i, text(lang, i), label, "s", 0) for i, (lang, label) in enumerate(rows)]
+    for r in quality_rules(spark.createDataFrame(docs, SCHEMA)).collect():
+        lang, label = rows[r.doc_id]
+        assert r.kept == (lang == label), (lang, label, r)
+
+
+def test_two_labels_of_one_language_are_kept(spark, words):
+    common = [f"a{'x' * i}" for i in range(20)]
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice(common) if rng.random() < 0.25 else w for w in words(150, i)), f"en{i % 2}", "s", 0) for i in range(200)]
+    assert all(r.kept for r in quality_rules(spark.createDataFrame(docs, SCHEMA)).collect())
+
+
 def test_edges(docs_of, words):
     long = " ".join(words(20_000, seed=4))
     got = quality_rules(docs_of([*EDGES, (9, long)])).collect()
