@@ -273,14 +273,27 @@ def _best(met: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _compared_with_all(asked: DataFrame, classes: DataFrame, k: int, blocks: int = 64) -> DataFrame:
-    """Every class scored for each of the queries, block by block of the classes."""
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    nil = F.lit(0).cast("long")
-    sides = classes.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("bucket"), nil.alias("bx"), nil.alias("bq"), F.lit(False).alias("is_query"), "id", "vec")
-    sides = sides.unionByName(asked.select(every.alias("bucket"), nil.alias("bx"), nil.alias("bq"), F.lit(True).alias("is_query"), "id", "vec"))
+def _dealt_with_all(asked: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every class beside every query, in blocks ``(bucket, bx, bq)`` of about BLOCK_ROWS classes and BLOCK_QUERIES queries."""
+    blocks, parts = -(-classes.count() // BLOCK_ROWS), -(-asked.count() // BLOCK_QUERIES)
+
+    def dealt(side: DataFrame, asks: bool) -> DataFrame:
+        own, n_own, other, n_other = ("bq", parts, "bx", blocks) if asks else ("bx", blocks, "bq", parts)
+        return (
+            side.select("id", "vec", F.lit(0).cast("long").alias("bucket"))
+            .withColumn(own, F.pmod(F.xxhash64("id"), F.lit(max(n_own, 1)).cast("long")))
+            .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n_other, 1) - 1).cast("long"))))
+            .select("bucket", "bx", "bq", F.lit(asks).alias("is_query"), "id", "vec")
+        )
+
+    return dealt(classes, False).unionByName(dealt(asked, True))
+
+
+def _compared_with_all(asked: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """Every class scored for each of the queries, block by block."""
     return (
-        sides.repartition("bucket")
-        .sortWithinPartitions("bucket", "is_query", "id")
+        _dealt_with_all(asked, classes)
+        .repartition("bucket", "bx", "bq")
+        .sortWithinPartitions("bucket", "bx", "bq", "is_query", "id")
         .mapInArrow(_nearest_in_buckets(k), "query long, cls long, score double")
     )

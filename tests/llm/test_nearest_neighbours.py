@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.llm import nearest_neighbours as nearest
 from quillon.llm.nearest_neighbours import Hashing, fit_hashing, nearest_neighbours
 
 
@@ -82,3 +83,14 @@ def test_probes_come_in_order_of_success():
     probes = hashing.probes(cells, 20)
     assert len(probes) == 40 and probes[0] % 2**64 == int(hashing.buckets(cells[:, None, :])[0, 0])
     assert len({p % 2**64 for p in probes[:20]}) == 20
+
+
+def test_exact_blocks_follow_the_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 10)
+    rows = spark.range(4000).selectExpr("id", "array(float(id), 0f) AS vec")
+    dealt = nearest._dealt_with_all(rows.where("id % 100 = 0"), rows)
+    blocks = dealt.groupBy("bx", "bq").agg({"id": "count"}).collect()
+    assert len(blocks) == 200 * 4 and max(r[2] for r in blocks) < 100
+    pairs = dealt.where("is_query").alias("q").join(dealt.where("not is_query").alias("x"), ["bucket", "bx", "bq"])
+    assert pairs.count() == pairs.select("q.id", "x.id").distinct().count() == 40 * 4000
