@@ -158,13 +158,12 @@ def repeated_edges(docs: DataFrame, k: int = 13, anchor_words: int = 6) -> DataF
 
 
 def repeated_paths(docs: DataFrame, k: int = 13, anchor_words: int = 6) -> DataFrame:
-    """Repeated passages: nonbranching paths of repeated edges, compacted, at each place but those in their source.
+    """Repeated passages: runs of repeated windows, at each place but those in their source.
 
-    Rows ``(doc_id, version, start, n_words, source_doc)``.  Edges that follow
-    each other in a text lie on one nonbranching path if they have the same
-    source and equally many places, as joined from the edge table: a branch
-    brings or loses places.  A path's interval is gathered by (document, path);
-    intervals of one path that do not touch are told apart.
+    Rows ``(doc_id, version, start, n_words, source_doc)``.  Windows that follow
+    each other in a text are one run if they have the same source document and
+    equally many places.  That does not make them one passage of the source: a
+    run may go on over a branch.  What is removed depends on single windows alone.
     """
     edges = repeated_edges(docs, k, anchor_words).select(
         "doc_id", "version", "pos", "source_doc", "n_places"
@@ -183,9 +182,8 @@ def substring_dedup(docs: DataFrame, k: int = 13, anchor_words: int = 6) -> Data
 
     One row per input row: ``doc_id, n_words, n_removed, kept_text`` (the words
     left, joined by one space) and ``spans`` (start and end in words of the
-    repeated passages).  Windows are judged on the input.  Paths of the
-    compacted graph carry the decision: the edges of a path have one source,
-    which decides for all their words.
+    repeated passages).  Windows are judged on the input.  Each
+    repeated window decides for its own words; runs only shorten the list.
 
     Null and empty texts: no words, nothing removed.  A null doc_id is kept
     whole and is no one's source.  Rows of equal doc_id are no source for each
