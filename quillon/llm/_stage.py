@@ -17,12 +17,19 @@ _BATCH_ROWS = 500
 #: A join whose smaller side has partitions of at most this size hashes them, by their measured size, instead of sorting both.
 _HASH_JOIN = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
 _HASH_JOIN_SIZE = "48m"
+#: By application: paths of the staged tables that are still there.
+_LEFT: dict[str, set[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; in local mode one of our own where it is unset.
+
+    On a cluster a folder of one machine would lose what other machines write, so the setting has to be made there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -56,15 +63,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
+    _LEFT.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _LEFT.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove tables made by ``staged`` that no later plan reads."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._quillon_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(table.sparkSession, table._quillon_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every table this application's operators have left; call it when their results are written, as results read them."""
+    for path in list(_LEFT.get(spark.sparkContext.applicationId, ())):
+        _remove(spark, path)
 
 
 def worker_state() -> dict:
