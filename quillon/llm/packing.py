@@ -54,19 +54,26 @@ class WordTokens:
 
     Each different word of a run of texts, told by its 64-bit hash, is looked up
     once.  New words of ASCII and Latin-1 letters are split into pieces for the
-    tokenizer's BPE model, all others go to the whole tokenizer.  Ids of up to
-    ``limit`` words and as many pieces are kept.
+    tokenizer's BPE model; all others, and words that hold one of its special
+    tokens, go to the whole tokenizer.  Ids of up to ``limit`` words and as many
+    pieces are kept.  A vocabulary that splits texts by other rules is refused.
     """
 
     limit = 500_000
+    # Words on which vocabularies of other rules differ.
+    probes = ("Don't", "they'll", "12ab34", "x'S", "Stra\u00dfe", "a+b=c", "''s", "\u00bd", "MiXeD", "_a_")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
+        whole = self.tokenizer.encode(" ".join(self.probes), add_special_tokens=False).ids
+        words = b"".join(self._look_up_words("\n".join(self.probes)))
+        if np.frombuffer(words, dtype=self.kind).tolist() != whole:
+            raise ValueError(f"the vocabulary in {path} does not split texts into words by the rules known here")
 
     def _clear(self) -> None:
         self.known: dict[int, bytes] = {}
@@ -88,11 +95,15 @@ class WordTokens:
         return out
 
     def _look_up(self, words: Words, which: np.ndarray) -> list[bytes]:
-        text = words.joined(which).decode()
-        if PLAIN.fullmatch(text):
+        return self._look_up_words(words.joined(which).decode())
+
+    def _look_up_words(self, text: str) -> list[bytes]:
+        """The ids of each line's word."""
+        special = [s for s in self.special if s in text]
+        if not special and PLAIN.fullmatch(text):
             return self._by_pieces(text)
         split = text.split("\n")
-        plain = [PLAIN.fullmatch(w) is not None for w in split]
+        plain = [PLAIN.fullmatch(w) is not None and not any(s in w for s in special) for w in split]
         easy = [w for w, p in zip(split, plain, strict=True) if p]
         found = iter(self._by_pieces("\n".join(easy)) if easy else [])
         rest = iter(self._whole([w for w, p in zip(split, plain, strict=True) if not p]))
@@ -199,7 +210,8 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, end_id: int
     each document where it crosses a window.  The order is that of the input's
     partitions.
 
-    A null or empty text has ``end_id`` alone.  Rows repeated whole are packed
+    Ids are the tokenizer's own without special tokens added round a text; a
+    special token that stands in a text has its own id.  A null or empty text has ``end_id`` alone.  Rows repeated whole are packed
     each; null ids are kept; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession

@@ -5,12 +5,13 @@ import numpy as np
 import pytest
 from llm_cases import EDGES, SMALL
 
-from quillon.llm.packing import pack, vocabulary_path
+from quillon.llm.packing import WordTokens, pack, vocabulary_path
 
 HARD = [
     "Don't STOP we'll they're 12ab34 x'S",
     "Ünïcode ŒUVRE Straße ﬁ İstanbul ΑΣ",
     "<|endoftext|> <|startoftext|>",
+    "hello <|endoftext|> world x<|endoftext|>Y\u00e9<|startoftext|> <|ENDOFTEXT|> <|endoftext |>",
     "é ́a   x\x1cy\x7f\x00",
     "日本語 テスト 😀👍🏽 a‍b",
     "½ ² ª º × ÷ ß",
@@ -23,7 +24,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(vocabulary_path())
-    own.encode_special_tokens = True
     return lambda text: [*own.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -56,6 +56,26 @@ def test_equals_the_tokenizer(spark, docs_of, words, tokenizer):
     check(rows, pack(docs_of(rows).repartition(3), size=64).collect(), tokenizer, 64)
 
 
+def test_special_tokens_have_their_own_ids(docs_of):
+    got = pack(docs_of([(1, "hello <|endoftext|> world")])).first()
+    assert np.frombuffer(got.ids, dtype="<u4").tolist() == [3306, 49407, 1002, 1]
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.BPE({c: i for i, c in enumerate(map(chr, range(33, 127)))}, []))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "other.json"))
+    with pytest.raises(ValueError, match="rules"):
+        WordTokens(str(tmp_path / "other.json"))
+
+
+def test_one_very_long_text(docs_of, words, tokenizer):
+    rows = [(1, " ".join(words(60_000, seed=1))), (2, "y" * 300_000)]
+    check(rows, pack(docs_of(rows)).collect(), tokenizer, 2048)
+
+
 def test_edges(docs_of, tokenizer):
     check(EDGES, pack(docs_of(EDGES), size=8).collect(), tokenizer, 8)
     assert pack(docs_of([])).count() == 0
