@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +33,10 @@ PATTERNS = {
 }
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 DATE_FORMATS = ("%Y{0}%m{0}%d", "%d{0}%m{0}%Y", "%m{0}%d{0}%Y")
+# Country calling codes of one and of two digits; all others have three.
+CODES = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
 
 
 class Feistel:
@@ -88,6 +93,16 @@ def _date(text: str) -> tuple[str, dt.date] | None:
     return None
 
 
+def _country_code(digits: str) -> str:
+    return next((digits[:n] for n in (1, 2) if digits[:n] in CODES), digits[:3])
+
+
+def _form(kind: str, text: str):
+    """What a pseudonym has in common with its value beside the kind: the order of a date's parts."""
+    found = _date(text) if kind == "date" else None
+    return found[0] if found else None
+
+
 def valid(kind: str, text: str) -> bool:
     """Whether a match is what its form says: check digits, ranges and lengths hold."""
     digits = re.sub("[^0-9]", "", text)
@@ -136,6 +151,16 @@ class Pseudonyms:
         return text[:start] + "".join(reversed(out))
 
     def of(self, kind: str, text: str) -> str:
+        """The pseudonym: the first of the value's successors that reads as a value of the same kind and form.
+
+        Walking on until then keeps the map one to one among such values.
+        """
+        form, new = _form(kind, text), self._next(kind, text)
+        while new != text and not (_form(kind, new) == form and find(new) == [(KINDS.index(kind), 0, len(new))]):
+            new = self._next(kind, new)
+        return new
+
+    def _next(self, kind: str, text: str) -> str:
         if kind == "card":
             digits = re.sub("[^0-9]", "", text)
             body = self._signs(digits[:-1], kind)
@@ -154,8 +179,11 @@ class Pseudonyms:
             return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
         if kind == "date":
             form, day = _date(text)
-            moved = self.move((day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, kind)
-            return (FIRST_DAY + dt.timedelta(days=moved)).strftime(form)
+            n = (LAST_DAY - FIRST_DAY).days + 1
+            day = FIRST_DAY + dt.timedelta(days=self.move((day - FIRST_DAY).days, n, kind))
+            while form.startswith("%m") and day.day <= 12:  # it would read as day and month
+                day = FIRST_DAY + dt.timedelta(days=self.move((day - FIRST_DAY).days, n, kind))
+            return day.strftime(form)
         if kind == "ip":
             number = 0
             for part in text.split("."):
@@ -163,8 +191,10 @@ class Pseudonyms:
             number = self.move(number, 2**32, kind)
             return ".".join(str(number >> s & 255) for s in (24, 16, 8, 0))
         if kind == "phone":
-            code = re.match(r"\+[0-9]{1,3}(?=[^0-9])", text)
-            return self._signs(text, kind, code.end() if code else 0)
+            digits = re.sub("[^0-9]", "", text)
+            code = _country_code(digits) if text[0] == "+" else ""
+            new = iter(code + self._signs(digits[len(code) :], kind))
+            return "".join(next(new) if c.isdigit() else c for c in text)
         local, _, domain = text.rpartition("@")
         name, _, top = domain.rpartition(".")
         return f"{self._signs(local, kind)}@{self._signs(name, kind + 'host')}.{top}"
@@ -176,10 +206,15 @@ def find(text: str) -> list[tuple[int, int, int]]:
     for k, kind in enumerate(KINDS):
         if kind == "email" and "@" not in text:
             continue
+        starts, ends = [t[1] for t in taken], [t[2] for t in taken]
+        fresh = []
         for m in PATTERNS[kind].finditer(text):
-            if valid(kind, m[0]) and all(m.end() <= s or m.start() >= e for _, s, e in taken):
-                taken.append((k, m.start(), m.end()))
-    return sorted(taken, key=lambda s: s[1])
+            before = bisect_left(starts, m.end())
+            if valid(kind, m[0]) and (before == 0 or ends[before - 1] <= m.start()):
+                fresh.append((k, m.start(), m.end()))
+        if fresh:
+            taken = sorted(taken + fresh, key=lambda s: s[1])
+    return taken
 
 
 def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
@@ -189,8 +224,11 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     security numbers, telephone numbers, calendar dates and IPv4 addresses.
     Each is permuted by a Feistel network keyed with ``key`` within the values
     of its form: check digits stay right, dates stay dates, a value has one
-    pseudonym in all documents, and the key's owner can go back.  Numbers that
-    fail validation are left alone.
+    pseudonym in all documents, and the key's owner can go back.  A telephone
+    number's country code stays, and its other digits have one pseudonym however
+    they are grouped.  Dates move as days, so one day's forms agree, but for
+    month-first dates that would read day first: these move on until they do not.
+    Numbers that fail validation are left alone.
 
     A null text stays null with no spans.  Texts without such values are
     unchanged.  Rows repeated whole are treated alike; other columns pass

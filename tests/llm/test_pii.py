@@ -1,9 +1,13 @@
+import datetime as dt
+import re
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import EDGES
 
-from quillon.llm.pii import KINDS, Feistel, Pseudonyms, find, pseudonymize, valid
+from quillon.llm.pii import KINDS, PATTERNS, Feistel, Pseudonyms, find, pseudonymize, valid
 
 KEY = b"a test key"
 VALUES = [
@@ -71,6 +75,47 @@ def test_each_value_alone_in_a_text(docs_of):
         assert r.n_private == 1 and value not in r.text
 
 
+def test_dates_are_permuted_within_their_form():
+    there, back = Pseudonyms(KEY), Pseudonyms(KEY, back=True)
+    days = [dt.date(1990, 1, 1) + dt.timedelta(days=i) for i in range(365 * 20 + 5)]
+    values = sorted({d.strftime(f) for d in days for f in ("%d/%m/%Y", "%m/%d/%Y")})
+    new = [there.of("date", v) for v in values]
+    assert len(set(new)) == len(values)
+    assert [back.of("date", v) for v in new] == values
+
+
+def test_grouping_of_a_telephone_number_does_not_matter():
+    own = Pseudonyms(KEY)
+
+    def digits(text):
+        return re.sub("[^0-9]", "", own.of("phone", text))
+
+    assert digits("(555) 123-4567") == digits("555-123-4567") == digits("555.123.4567")
+    assert digits("+1 555 123 4567") == digits("+1 (555) 123-4567") == digits("+15551234567") == "1" + digits("555-123-4567")
+    assert digits("+44 20 7946 0958")[:2] == "44" and digits("+380 44 123 4567")[:3] == "380"
+
+
+def brute_find(text):
+    """Every kind in order takes its matches that touch none taken before."""
+    taken = []
+    for k, kind in enumerate(KINDS):
+        taken += [(k, *m.span()) for m in PATTERNS[kind].finditer(text) if valid(kind, m[0]) and all(m.end() <= s or m.start() >= e for _, s, e in taken)]
+    return sorted(taken, key=lambda s: s[1])
+
+
+@given(st.lists(st.one_of(st.sampled_from([v for _, v in VALUES]), st.text("0123456789 -./()+@ab", max_size=24)), max_size=12), st.sampled_from([" ", "", ", "]))
+@settings(max_examples=300, deadline=None)
+def test_find_equals_brute_force(parts, joint):
+    text = joint.join(parts)
+    assert find(text) == brute_find(text)
+
+
+def test_many_values_in_one_text():
+    text = " ".join(f"user{i}@mail{i % 7}.example.com 10.{i % 200}.3.{i % 250}" for i in range(40_000))
+    began = time.perf_counter()
+    assert len(find(text)) == 80_000 and time.perf_counter() - began < 20
+
+
 def test_edges(docs_of):
     docs = docs_of([*EDGES, (8, "x" * 300_000 + " 4785380592391139")]).selectExpr("*", "1 AS _c0", "2 AS n_private", "map('a', 1) AS m")
     got = pseudonymize(docs, KEY)
