@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm._stage import staged
-from quillon.llm.ngram_jaccard_join import ngram_jaccard_join
+from quillon.llm.ngram_jaccard_join import ngram_jaccard_join, with_digest
 from quillon.llm.packing import pack
 from quillon.llm.quality_classifier import fit_quality_model, score_quality
 from quillon.llm.secret_scan import redact_secrets
@@ -20,15 +20,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near duplicates; of rows repeated whole one, rows without an id all."""
-    found = ngram_jaccard_join(docs)
-    out = staged(found.where("doc_id is not null and doc_id <> class_id").select("doc_id").distinct(), "duplicates")
-    kept = docs.join(out, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if again.isEmpty():
-        return kept
-    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(kept.where("doc_id is null"))
+    """One row of each group of near duplicates: of those of least doc_id (none comes last) one; rows without words all.
+
+    The decision is made by row: a text is known by its doc_id and the digest of
+    its n-grams, so different texts under one doc_id are told apart.
+    """
+    found = ngram_jaccard_join(docs).where("digest is not null")
+    key = [F.col("doc_id").isNull().alias("_noid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("_digest")]
+    best = found.withColumnRenamed("digest", "_digest").groupBy("group_key").agg(F.min(F.struct(*key)).alias("k")).select("k.*")
+    stays = staged(best, "stays")
+    columns = docs.columns
+    rows = with_digest(docs.toDF(*[f"_k{i}" if c not in ("doc_id", "text") else c for i, c in enumerate(columns)]), name="_digest")
+    row = F.struct(*rows.drop("_digest").columns).alias("row")
+    hashable = [f.name for f in rows.schema if "map" not in f.dataType.simpleString()]
+    whole = rows.select(*key, row, F.struct("text", F.xxhash64(*hashable)).alias("_order"))
+    # Rows alike in doc_id and digest shrink to one before they are shuffled.
+    once = whole.where("_digest is not null").groupBy("_noid", "_id", "_digest").agg(F.min_by("row", "_order").alias("row"))
+    kept = once.join(stays, ["_noid", "_id", "_digest"], "left_semi").select("row").unionByName(whole.where("_digest is null").select("row"))
+    return kept.select("row.*").toDF(*columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
