@@ -14,8 +14,10 @@ from ._stage import drop, small_batches, staged
 from ._words import Texts, Words, window_hashes
 from .components import connected_components
 
-#: Members of a block when one group's pairs are dealt to tasks.
+#: Members of a block, about, when pairs are dealt to tasks.
 BLOCK = 128
+#: Parts in which the members of one group are looked up.
+SALTS = 16
 
 
 def choose_bands(threshold: float, recall: float, rows: int) -> int:
@@ -88,17 +90,18 @@ def _signatures(n: int, bands: int, rows: int, seed: int):
 
 
 def _sets(n: int):
-    schema = pa.schema([("cls", pa.int64()), ("grp", pa.int64()), ("size", pa.int64()), ("copies", pa.int64()), ("digest", pa.binary()), ("grams", pa.list_(pa.int64()))])
+    """The digest and the n-gram set of each text; other columns pass through."""
 
     def run(batches):
         for batch in batches:
             texts = Texts(batch.column("text"))
+            carried = [c for c in batch.schema.names if c != "text"]
             for a, b in texts.runs():
                 sets = [s.view(np.int64) for s in shingle_sets(texts.words(a, b), n)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(a, b - a) for c in ("cls", "grp", "size", "copies")]
+                    [batch.column(c).slice(a, b - a) for c in carried]
                     + [pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))],
-                    schema=schema,
+                    names=[*carried, "met", "grams"],
                 )
 
     return run
@@ -129,26 +132,26 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], same: bool) -> np
 
 
 def _block_links(threshold: float):
-    """For each (group, block, block): how many documents each class links to, and edges that span the links."""
+    """For each (block, block): how many documents each class links to, and edges that span the links."""
     schema = pa.schema([("cls", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
     def solve(rows: list[tuple]) -> list[tuple[int, int, int | None]]:
-        i, j = rows[0][1], rows[0][2]
-        left = [r for r in rows if r[3] == i]
-        right = left if i == j else [r for r in rows if r[3] == j]
+        i, j = rows[0][0], rows[0][1]
+        left = [r for r in rows if r[2] == i]
+        right = left if i == j else [r for r in rows if r[2] == j]
         if not left or not right or len(rows) < 2:
             return []
-        sets = [[np.asarray(r[6]) for r in side] for side in (left, right)]
+        sets = [[np.asarray(r[5]) for r in side] for side in (left, right)]
         inter = _overlaps(sets[0], sets[0] if i == j else sets[1], i == j)
         na, nb = (np.array([len(s) for s in side], dtype=np.float64) for side in sets)
         linked = inter / (na[:, None] + nb[None, :] - inter) >= threshold
         if i == j:
             np.fill_diagonal(linked, False)
         out = []
-        copies_a, copies_b = (np.array([r[5] for r in side]) for side in (left, right))
+        copies_a, copies_b = (np.array([r[4] for r in side]) for side in (left, right))
         for side, counts in ((left, linked @ copies_b), (right, copies_a @ linked))[: 1 + (i != j)]:
-            out += [(r[4], int(c), None) for r, c in zip(side, counts, strict=True) if c]
-        parent = {r[4]: r[4] for r in rows}
+            out += [(r[3], int(c), None) for r, c in zip(side, counts, strict=True) if c]
+        parent = {r[3]: r[3] for r in rows}
 
         def root(x: int) -> int:
             while parent[x] != x:
@@ -156,7 +159,7 @@ def _block_links(threshold: float):
             return x
 
         for x, y in zip(*np.nonzero(linked), strict=True):
-            p, q = root(left[x][4]), root(right[y][4])
+            p, q = root(left[x][3]), root(right[y][3])
             if p != q:
                 parent[max(p, q)] = min(p, q)
                 out.append((max(p, q), 0, min(p, q)))
@@ -169,13 +172,13 @@ def _block_links(threshold: float):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "i", "j", "block", "cls", "copies", "grams")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "block", "cls", "copies", "grams")]
             found = []
             for row in zip(*cols, strict=True):
-                if held and row[:3] != held[0][:3]:
+                if held and row[:2] != held[0][:2]:
                     found += solve(held)
                     held = []
-                if not held or row[3:5] != held[-1][3:5]:  # a repeated row stands once
+                if not held or row[2:4] != held[-1][2:4]:  # a repeated row stands once
                     held.append(row)
             if found:
                 yield flush(found)
@@ -185,6 +188,30 @@ def _block_links(threshold: float):
     return run
 
 
+def _blocks(classes: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``(cls, block)`` of every class that shares a band, and the pairs of blocks ``(i, j)`` whose members share one.
+
+    A class is at home in its fullest band bucket; a home of more than BLOCK members is split by hash.
+    So classes of one family stand in few blocks, and only blocks that meet in some bucket are compared.
+    """
+    entries = staged(classes.select("cls", F.explode("bands").alias("band")), "entries")
+    counts = entries.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    shared = staged(entries.join(counts, "band"), "shared")
+    home = shared.groupBy("cls").agg(F.max(F.struct("m", "band")).alias("home"))
+    part = F.pmod(F.xxhash64("cls", F.lit(seed)), F.ceil(F.col("home.m") / F.lit(BLOCK)).cast("long"))
+    blocks = staged(home.select("cls", F.xxhash64("home.band", part).alias("block")), "blocks")
+    stands = staged(shared.join(blocks, "cls").select("band", "block").distinct(), "stands")
+    pairs = (
+        stands.join(stands.withColumnRenamed("block", "other"), "band")
+        .where("block <= other")
+        .select(F.col("block").alias("i"), F.col("other").alias("j"))
+        .distinct()
+    )
+    pairs = staged(pairs, "pairs")
+    drop(entries, shared, stands)
+    return blocks, pairs
+
+
 def ngram_jaccard_join(
     docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 8, seed: int = 1
 ) -> DataFrame:
@@ -192,19 +219,22 @@ def ngram_jaccard_join(
 
     One row per input row: ``doc_id, n_shingles, copy_of`` (least doc_id with
     the same n-gram set), ``class_id`` (least doc_id of the connected group of
-    linked documents) and ``n_links`` (other documents at or above the
-    threshold, copies counted one by one).
+    linked documents), ``n_links`` (other documents at or above the threshold,
+    copies counted one by one), ``digest`` (of the n-gram set, 128 bits, null
+    without n-grams) and ``group_key`` (the same for all rows of a group).
 
     Documents with equal n-gram sets are one class before banding, so copies
-    never meet as pairs.  Classes that share a band hash form candidate groups;
-    within a group blocks of classes are compared on their full n-gram sets,
-    each pair in one task.  Tasks return link counts and spanning edges, not
-    pairs.  ``recall`` is the chance that a pair exactly at the threshold shares a band.
+    never meet as pairs.  Classes are dealt to blocks by their fullest band
+    bucket; two blocks are compared, on full n-gram sets, only if members of
+    both share a band hash, each pair of classes in one task.  Tasks return link
+    counts and spanning edges, not pairs.  ``recall`` is the chance that a pair
+    exactly at the threshold shares a band.
 
     Null or empty texts have no n-grams and no links: ``copy_of`` and
     ``class_id`` are their own doc_id.  A text of fewer than ``n`` words has one
-    n-gram, all its words.  Rows repeated whole count as copies.  A null doc_id
-    takes part; ``min`` passes over it.  Other columns are ignored.  An empty
+    n-gram, all its words.  Rows repeated whole count as copies.  A row without
+    doc_id takes part like any other; a class or group of such rows alone has a
+    null ``copy_of`` or ``class_id``.  Other columns are ignored.  An empty
     table gives no rows.
     """
     spark = docs.sparkSession
@@ -212,58 +242,84 @@ def ngram_jaccard_join(
     bands = choose_bands(threshold, recall, rows)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sig = staged(
-        plain.mapInArrow(
-            _signatures(n, bands, rows, seed), "doc_id long, n_shingles long, digest binary, bands array<bigint>"
-        ).withColumn("cls", F.expr("if(digest is null, null, xxhash64(digest))")),
+        plain.mapInArrow(_signatures(n, bands, rows, seed), "doc_id long, n_shingles long, digest binary, bands array<bigint>"),
         "sig",
     )
     classes = staged(
         sig.where("digest is not null")
-        .groupBy("cls")
-        .agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "bands")).alias("least"))
-        .select("cls", "copy_of", "copies", F.col("least.bands").alias("bands")),
+        .groupBy("digest")
+        .agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("bands").alias("bands"))  # equal sets have equal bands
+        .select(F.monotonically_increasing_id().alias("cls"), "*"),
         "classes",
     )
-    entries = classes.select("cls", F.explode("bands").alias("band"))
-    leaders = entries.groupBy("band").agg(F.min("cls").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    met = entries.join(leaders, "band").where("cls <> lead").select("cls", "lead").distinct()
-    groups = staged(connected_components(met, "cls", "lead"), "groups")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    wanted = (
-        groups.join(sizes, "component")
-        .join(classes.select("cls", "copy_of", "copies"), F.col("node") == F.col("cls"))
-        .select("cls", F.col("component").alias("grp"), "size", "copies", "copy_of")
-    )
-    texts = wanted.join(plain, F.col("copy_of") == F.col("doc_id"))
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("long")
-    sets = (
-        texts.select("cls", "grp", "size", "copies", "text")
-        .mapInArrow(_sets(n), "cls long, grp long, size long, copies long, digest binary, grams array<bigint>")
-        .where(F.xxhash64("digest") == F.col("cls"))
-        .withColumn("block", F.pmod(F.xxhash64("cls", F.lit(seed)), blocks))
-        .withColumn("b", F.explode(F.expr(f"sequence(0L, cast(ceil(size / {BLOCK}) as bigint) - 1)")))
-        .withColumns({"i": F.least("block", "b"), "j": F.greatest("block", "b")})
+    blocks, pairs = _blocks(classes, seed)
+    wanted = blocks.join(classes.select("cls", "digest", "copy_of", "copies"), "cls")
+    columns = ["cls", "block", "copies", "digest", "text"]
+    named = wanted.where("copy_of is not null").join(plain, F.col("copy_of") == F.col("doc_id")).select(*columns)
+    sets = named.mapInArrow(_sets(n), "cls long, block long, copies long, digest binary, met binary, grams array<bigint>").where("met = digest")
+    # Rows without an id are found by their digest.
+    nameless = plain.where("doc_id is null and text is not null").mapInArrow(_sets(n), "doc_id long, met binary, grams array<bigint>")
+    first = nameless.groupBy("met").agg(F.first("grams").alias("grams"))
+    sets = sets.select("cls", "block", "copies", "grams").unionByName(
+        wanted.where("copy_of is null").join(first, F.col("digest") == F.col("met")).select("cls", "block", "copies", "grams")
     )
+    sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     links = staged(
-        sets.select("grp", "i", "j", "block", "cls", "copies", "grams")
-        .repartition("grp", "i", "j")
-        .sortWithinPartitions("grp", "i", "j", "block", "cls")
+        sets.join(sides, "block")
+        .select("i", "j", "block", "cls", "copies", "grams")
+        .repartition("i", "j")
+        .sortWithinPartitions("i", "j", "block", "cls")
         .mapInArrow(_block_links(threshold), "cls long, links long, other long"),
         "links",
     )
     joined = connected_components(links.where("other is not null"), "cls", "other")
-    heads = (
+    heads = staged(
         classes.join(joined.withColumnRenamed("node", "cls"), "cls", "left")
         .join(links.groupBy("cls").agg(F.sum("links").alias("links")), "cls", "left")
-        .select("cls", "copy_of", "copies", F.coalesce("component", "cls").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+        .select("cls", "digest", "copy_of", "copies", F.coalesce("component", "cls").alias("component"), F.coalesce("links", F.lit(0)).alias("links")),
+        "heads",
+    )
+    # Groups of one class name themselves; a large group is looked up in SALTS parts.
+    several = heads.where("component <> cls").select("component").distinct()
+    salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS))
+    roots = (
+        heads.join(several, "component", "left_semi")
+        .groupBy("component")
+        .agg(F.min("copy_of").alias("class_id"))
+        .select(F.col("component").alias("root"), "class_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    )
+    groups = (
+        heads.withColumn("part", salt).join(roots, (F.col("component") == F.col("root")) & (F.col("part") == F.col("salt")), "left")
+        .select("digest", "copy_of", "copies", F.when(F.col("root").isNull(), F.col("copy_of")).otherwise(F.col("class_id")).alias("class_id"), "links", F.col("component").alias("group_key"))
     )
-    named = heads.groupBy("component").agg(F.min("copy_of").alias("class_id"))
-    heads = staged(heads.join(named, "component").select("cls", "copy_of", "copies", "class_id", "links"), "heads")
-    drop(groups, links, classes)
-    return sig.join(heads, "cls", "left").select(
+    groups = staged(groups, "groups")
+    drop(blocks, pairs, links, classes, heads)
+    return sig.join(groups, "digest", "left").select(
         "doc_id",
         "n_shingles",
         F.coalesce("copy_of", "doc_id").alias("copy_of"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
+        "digest",
+        "group_key",
     )
+
+
+def with_digest(docs: DataFrame, n: int = 5, name: str = "digest") -> DataFrame:
+    """``docs`` with the 128-bit digest of each text's n-gram set as ``name``, as in ``ngram_jaccard_join``; null without n-grams."""
+    small_batches(docs.sparkSession)
+    docs = docs.drop(name)
+    inner = [f"_c{i}" for i in range(len(docs.columns))]
+    fields = [f"{c} {f.dataType.simpleString()}" for c, f in zip(inner, docs.schema, strict=True)]
+
+    def run(batches):
+        for batch in batches:
+            texts = Texts(batch.column("_text"))
+            for a, b in texts.runs():
+                sets = shingle_sets(texts.words(a, b), n)
+                digests = pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in inner), digests], names=[*inner, "_digest"])
+
+    text = F.col(inner[docs.columns.index("text")]).cast("binary").alias("_text")
+    out = docs.toDF(*inner).select(*inner, text).mapInArrow(run, ", ".join([*fields, "_digest binary"]))
+    return out.select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)], F.col("_digest").alias(name))

@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents")).drop("digest", "group_key")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

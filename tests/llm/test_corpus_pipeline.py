@@ -37,7 +37,28 @@ def test_near_duplicates_stage_on_repeated_rows(spark, docs_of, words):
     a, b = " ".join(words(30, seed=1)), " ".join(words(30, seed=2))
     docs = docs_of([(5, a), (5, a), (3, a), (7, b), (7, b), (None, a), (8, None), (9, "")])
     got = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, SMALL)
-    assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 3, 7, 8, 9]
+    assert sorted(r.doc_id for r in got.collect()) == [3, 7, 8, 9]
+
+
+def test_near_duplicates_stage_decides_by_row(spark, docs_of, words):
+    a, b, c, d = (" ".join(words(30, seed=s)) for s in range(4))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, d), (None, d), (None, a), (4, None), (4, None), (None, "")]
+    rows += [(None, t) for t in (" ".join(words(40, seed=9)), " ".join(words(40, seed=9)))]
+    docs = docs_of(rows).selectExpr("*", "1 AS _id", "2 AS _digest", "3 AS row", "map('a', 1) AS digest")
+    got = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, SMALL)
+    assert got.columns == docs.columns
+    kept = sorted((r.doc_id or 0, r.text or "") for r in got.collect())
+    assert kept == sorted([(1, a), (2, b), (3, c), (3, d), (4, ""), (4, ""), (0, ""), (0, " ".join(words(40, seed=9)))])
+
+
+def test_whole_run(spark):
+    got = corpus_pipeline.run(spark, SMALL)
+    pieces = got.select("sequence_id", "offset", "length").collect()
+    assert len({(p.sequence_id, p.offset) for p in pieces}) == len(pieces) > 0
+    filled = {}
+    for p in pieces:
+        filled[p.sequence_id] = filled.get(p.sequence_id, 0) + p.length
+    assert all(filled[s] == 2048 for s in range(len(filled) - 1))
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[1:]])

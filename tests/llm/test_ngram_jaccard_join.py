@@ -55,6 +55,29 @@ def test_large_group_spans_blocks(docs_of, words, monkeypatch):
     assert got == brute(rows)
 
 
+def test_chain_of_pairs(docs_of, words):
+    base, rows = words(60, seed=4), []
+    for i in range(30):  # each differs from the next by one word; far ones have little in common
+        rows.append((i, " ".join(base)))
+        base[(2 * i) % 60] = words(1, seed=700 + i)[0]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_jaccard_join(docs_of(rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_rows_without_an_id_take_part(docs_of, words):
+    base = words(150, seed=5)
+    rows = [(None, " ".join(near(base, words, i))) for i in range(3)] + [(9, " ".join(near(base, words, 3)))]
+    got = ngram_jaccard_join(docs_of([*rows, (None, "a b c d e f"), (None, "a b c d e f")])).collect()
+    assert sorted((r.class_id or 0, r.n_links) for r in got) == [(0, 1), (0, 1), *[(9, 3)] * 4]
+    assert len({r.group_key for r in got}) == 2
+
+
+def test_very_long_text(docs_of, words):
+    long = words(40_000, seed=6)
+    rows = [(1, " ".join(long)), (2, " ".join(long[:39_000])), (3, "z" * 400_000)]
+    assert {r.doc_id: r.class_id for r in ngram_jaccard_join(docs_of(rows)).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_edges(spark, docs_of):
     got = ngram_jaccard_join(docs_of(EDGES)).collect()
     assert len(got) == len(EDGES)
