@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from xxhash import xxh3_128_digest
+
 from ._stage import drop, small_batches, staged
 from ._words import Texts, Words, chunks, split_words, window_hashes
 
@@ -47,7 +49,7 @@ def _anchors(k: int, m: int):
 
 def _edges(k: int, m: int):
     schema = pa.schema(
-        [("edge", pa.int64()), ("check", pa.int16()), ("doc_id", pa.int64()), ("version", pa.int32()), ("pos", pa.int32())]
+        [("edge", pa.int64()), ("check", pa.int16()), ("doc_id", pa.int64()), ("version", pa.int32()), ("pos", pa.int32()), ("first", pa.bool_())]
     )
 
     def run(batches):
@@ -69,6 +71,9 @@ def _edges(k: int, m: int):
                 edge = window_hashes(words.hashes, k)[start]
                 check = (window_hashes(words.hashes, k, base=1)[start] >> np.uint64(48)).astype(np.uint16)
                 owner = words.owner[start] + a
+                first = np.zeros(len(edge), dtype=bool)
+                order = np.lexsort((start, edge, owner))
+                first[order] = np.r_[True, (edge[order][1:] != edge[order][:-1]) | (owner[order][1:] != owner[order][:-1])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(edge.view(np.int64)),
@@ -76,6 +81,7 @@ def _edges(k: int, m: int):
                         pa.array(ids[owner]),
                         pa.array(version[owner]),
                         pa.array(words.place[start].astype(np.int32)),
+                        pa.array(first),
                     ],
                     schema=schema,
                 )
@@ -83,18 +89,32 @@ def _edges(k: int, m: int):
     return run
 
 
+def _digests(batches):
+    """The digest of each asked-for span of words of a text."""
+    for batch in batches:
+        out = []
+        for text, start, n in zip(*(batch.column(c).to_pylist() for c in ("text", "source_start", "n_words")), strict=True):
+            out.append(xxh3_128_digest(b" ".join(split_words(text)[start : start + n])))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("source_doc", "source_start", "n_words")), pa.array(out, pa.binary())],
+            names=["source_doc", "source_start", "n_words", "digest"],
+        )
+
+
 def _keep(batches):
-    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source_doc", pa.int64()), ("source_start", pa.int32())])
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("spans", pa.list_(span))]
     )
     for batch in batches:
         texts, spans = batch.column("text").to_pylist(), batch.column("spans")
         for a, b in chunks(texts):
-            total, removed, kept = [], [], []
+            total, removed, kept, cuts = [], [], [], []
             for text, cut in zip(texts[a:b], spans.slice(a, b - a).to_pylist(), strict=True):
                 words = split_words(text)
                 total.append(len(words))
+                # A long span counts if its words are those at the source; windows decide for the short ones.
+                cut = [c for c in cut or () if c["digest"] is None or c["digest"] == xxh3_128_digest(b" ".join(words[c["start"] : c["end"]]))]
                 if cut:
                     edges = np.zeros(len(words) + 1, dtype=np.int64)
                     np.add.at(edges, [c["start"] for c in cut], 1)
@@ -103,13 +123,14 @@ def _keep(batches):
                     words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
                 removed.append(total[-1] - len(words))
                 kept.append(b" ".join(words).decode())
+                cuts.append([{k: c[k] for k in ("start", "end", "source_doc", "source_start")} for c in sorted(cut, key=lambda c: (c["start"], c["end"]))])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(a, b - a),
                     pa.array(total, pa.int64()),
                     pa.array(removed, pa.int64()),
                     pa.array(kept, pa.string()),
-                    spans.slice(a, b - a),
+                    pa.array(cuts, pa.list_(span)),
                 ],
                 schema=schema,
             )
@@ -126,15 +147,16 @@ def _rows(docs: DataFrame) -> DataFrame:
 def repeated_edges(docs: DataFrame, k: int = 13, anchor_words: int = 6) -> DataFrame:
     """Every place of a k-word window that also stands in a document of smaller doc_id.
 
-    Rows ``(edge, check, doc_id, version, pos, source_doc, n_places)``: ``pos``
-    is the window's first word, ``source_doc`` the least document that holds
-    it.  ``version`` tells apart different texts under one doc_id.
+    Rows ``(doc_id, version, pos, source_doc, source_pos)``: ``pos`` is the
+    window's first word, ``source_doc`` the least document that holds it and
+    ``source_pos`` its first place there.  ``version`` tells apart different
+    texts under one doc_id.
 
-    A k-mer is an edge of the de Bruijn graph.  First each window is reduced to
-    its anchor, the least hash of its runs of ``anchor_words``, which
-    neighbouring windows share; only windows whose anchor occurs in two
-    documents are hashed in full (64 bits, and 16 more of another polynomial
-    that verify it at its source) and counted.  Null doc_ids take no part.
+    A k-mer is an edge of the de Bruijn graph, and its source coordinates name
+    it.  First each window is reduced to its anchor, the least hash of its runs
+    of ``anchor_words``, which neighbouring windows share; only windows whose
+    anchor occurs in two documents are hashed in full (64 bits, and 16 more of
+    another polynomial) and counted.  Null doc_ids take no part.
     """
     small_batches(docs.sparkSession)
     plain = _rows(docs).where("doc_id is not null")
@@ -145,60 +167,125 @@ def repeated_edges(docs: DataFrame, k: int = 13, anchor_words: int = 6) -> DataF
     wanted = staged(anchors.join(common, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "anchors")
     places = staged(
         plain.join(wanted, "doc_id").mapInArrow(
-            _edges(k, anchor_words), "edge long, check smallint, doc_id long, version int, pos int"
+            _edges(k, anchor_words), "edge long, check smallint, doc_id long, version int, pos int, first boolean"
         ),
         "edges",
     )
     drop(wanted)
-    edges = staged(
-        places.groupBy("edge", "check").agg(F.min("doc_id").alias("source_doc"), F.count(F.lit(1)).alias("n_places")).where("n_places > 1"),
-        "sources",
+    edges = (
+        places.where("first")
+        .groupBy("edge", "check")
+        .agg(F.min("doc_id").alias("source_doc"), F.max("doc_id").alias("hi"), F.min_by("pos", "doc_id").alias("source_pos"))
+        .where("source_doc < hi")
+        .drop("hi")
+    )
+    edges = staged(edges, "sources")
+    found = places.drop("first").join(edges, ["edge", "check"]).where("source_doc < doc_id").drop("edge", "check")
+    found._quillon_uses = (places, edges)
+    return found
+
+
+def _segments(edges: DataFrame) -> DataFrame:
+    """Runs of windows that follow each other both in a text and in one source: ``(doc_id, version, start, n, source_doc, source_start)``, in windows."""
+    lines = edges.groupBy("doc_id", "version", "source_doc", (F.col("source_pos") - F.col("pos")).alias("shift")).agg(
+        F.sort_array(F.collect_set("pos")).alias("at")
+    )
+    heads = F.filter("at", lambda p, i: (i == 0) | (F.get("at", i - 1) < p - 1))
+    tails = F.filter("at", lambda p, i: F.coalesce(F.get("at", i + 1), p + 2) > p + 1)
+    runs = lines.select("doc_id", "version", "source_doc", "shift", F.explode(F.arrays_zip(heads.alias("head"), tails.alias("tail"))).alias("s"))
+    return runs.select(
+        "doc_id",
+        "version",
+        F.col("s.head").alias("start"),
+        (F.col("s.tail") - F.col("s.head") + 1).alias("n"),
+        "source_doc",
+        (F.col("s.head") + F.col("shift")).alias("source_start"),
     )
-    return places.join(edges, ["edge", "check"]).where("source_doc < doc_id")
 
 
 def repeated_paths(docs: DataFrame, k: int = 13, anchor_words: int = 6) -> DataFrame:
-    """Repeated passages: runs of repeated windows, at each place but those in their source.
+    """Repeated passages, compacted to nonbranching paths, at each place but those in their source.
 
-    Rows ``(doc_id, version, start, n_words, source_doc)``.  Windows that follow
-    each other in a text are one run if they have the same source document and
-    equally many places.  That does not make them one passage of the source: a
-    run may go on over a branch.  What is removed depends on single windows alone.
+    Rows ``(doc_id, version, start, n_words, source_doc, source_start)``: the
+    words of a text from ``start`` on are those of the source from ``source_start`` on.
+
+    Repeated edges with successive source coordinates are joined to segments.
+    Where one segment of a text ends and the next begins, the text goes on from
+    one edge of the graph to another edge than the source does: joined on these
+    ends, segments give the branches, after the last edge of the one and before
+    the first of the other.  All segments over such a place are cut there, so
+    every path is read from end to end alike by all texts that go on along it.
     """
-    edges = repeated_edges(docs, k, anchor_words).select(
-        "doc_id", "version", "pos", "source_doc", "n_places"
+    edges = repeated_edges(docs, k, anchor_words)
+    segments = staged(_segments(edges), "segments")
+    drop(*edges._quillon_uses)
+    text = ["doc_id", "version"]
+    ends = segments.select(*text, (F.col("start") + F.col("n")).alias("at"), F.col("source_doc").alias("d"), (F.col("source_start") + F.col("n")).alias("p"))
+    begins = segments.select(*text, F.col("start").alias("at"), "source_doc", "source_start")
+    meet = ends.join(begins, [*text, "at"])
+    branches = meet.select("d", "p").unionByName(meet.select(F.col("source_doc").alias("d"), F.col("source_start").alias("p"))).distinct()
+    cuts = branches.groupBy("d").agg(F.sort_array(F.collect_list("p")).alias("cuts"))  # at most one for each word of the source
+    stretch = ["source_doc", "source_start", "n"]
+    last = F.col("source_start") + F.col("n")
+    pieces = (
+        segments.select(*stretch)
+        .distinct()
+        .join(cuts, F.col("source_doc") == F.col("d"), "left")
+        .withColumn("inside", F.filter(F.coalesce("cuts", F.array().cast("array<int>")), lambda c: (c > F.col("source_start")) & (c < last)))
+        .select(*stretch, F.arrays_zip(F.concat(F.array("source_start"), "inside").alias("a"), F.concat("inside", F.array(last)).alias("b")).alias("pieces"))
     )
-    paths = edges.groupBy("doc_id", "version", "source_doc", "n_places").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    heads = F.filter("at", lambda p, i: (i == 0) | (F.get("at", i - 1) < p - 1))
-    tails = F.filter("at", lambda p, i: F.coalesce(F.get("at", i + 1), p + 2) > p + 1)
-    spans = paths.select("doc_id", "version", "source_doc", F.explode(F.arrays_zip(heads.alias("head"), tails.alias("tail"))).alias("s"))
-    return spans.select(
-        "doc_id", "version", F.col("s.head").alias("start"), (F.col("s.tail") - F.col("s.head") + k).alias("n_words"), "source_doc"
+    pieces = staged(pieces, "pieces")
+    paths = segments.join(pieces, stretch).select(*text, "start", "source_start", "source_doc", F.explode("pieces").alias("s"))
+    out = paths.select(
+        *text,
+        (F.col("start") + F.col("s.a") - F.col("source_start")).alias("start"),
+        (F.col("s.b") - F.col("s.a") + k - 1).alias("n_words"),
+        "source_doc",
+        F.col("s.a").alias("source_start"),
     )
+    out._quillon_uses = (segments, pieces)
+    return out
+
+
+#: Spans of this many words or more are compared with their source word by word.
+LONG_WORDS = 50
 
 
 def substring_dedup(docs: DataFrame, k: int = 13, anchor_words: int = 6) -> DataFrame:
     """Remove every word covered by a k-word window that also starts in a document of smaller doc_id.
 
     One row per input row: ``doc_id, n_words, n_removed, kept_text`` (the words
-    left, joined by one space) and ``spans`` (start and end in words of the
-    repeated passages).  Windows are judged on the input.  Each
-    repeated window decides for its own words; runs only shorten the list.
+    left, joined by one space) and ``spans`` (start, end, source_doc,
+    source_start, in words: the repeated paths).  Windows are judged on the
+    input.  A span of LONG_WORDS or more counts only if its words, as a 128-bit
+    digest, are those at its source coordinates.
 
     Null and empty texts: no words, nothing removed.  A null doc_id is kept
     whole and is no one's source.  Rows of equal doc_id are no source for each
-    other, so rows repeated whole keep their words.  Texts under ``k`` words
-    are kept.  Other columns are ignored; an empty table gives no rows.
+    other, so rows repeated whole keep their words; where different texts share
+    the doc_id of a source, its long spans are compared with each of them.
+    Texts under ``k`` words are kept.  Other columns are ignored; an empty table gives no rows.
     """
+    paths = staged(found := repeated_paths(docs, k, anchor_words), "paths")
+    drop(*found._quillon_uses)
+    place = ["source_doc", "source_start", "n_words"]
+    asked = paths.where(F.col("n_words") >= LONG_WORDS).select(*place).distinct()
+    plain = _rows(docs)
+    sources = (
+        plain.join(asked, F.col("doc_id") == F.col("source_doc"))
+        .select(*place, "text")
+        .mapInArrow(_digests, "source_doc long, source_start int, n_words int, digest binary")
+        .distinct()
+    )
     spans = staged(
-        repeated_paths(docs, k, anchor_words)
+        paths.join(staged(sources, "digests"), place, "left")
         .groupBy("doc_id", "version")
-        .agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n_words")).alias("end"))).alias("spans")),
+        .agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n_words")).alias("end"), "source_doc", "source_start", "digest")).alias("spans")),
         "spans",
     )
+    drop(paths)
     return (
-        _rows(docs)
-        .join(spans, ["doc_id", "version"], "left")
+        plain.join(spans, ["doc_id", "version"], "left")
         .select("doc_id", "text", "spans")
-        .mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>")
+        .mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int,source_doc:bigint,source_start:int>>")
     )
