@@ -14,8 +14,8 @@ from ._stage import drop, small_batches, staged
 from ._words import Texts, Words, window_hashes
 from .components import connected_components
 
-#: Members of a block, about, when pairs are dealt to tasks.
-BLOCK = 128
+#: Members of a block, and n-grams in their sets, about, when pairs are dealt to tasks: what a task holds of two blocks.
+BLOCK, BLOCK_GRAMS = 2048, 1 << 20
 #: Parts in which the members of one group are looked up.
 SALTS = 16
 
@@ -123,9 +123,10 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], same: bool) -> np
     total = np.zeros((len(left), len(right)), dtype=np.float64)
     if len(gram):
         gram = np.cumsum(np.r_[True, gram[1:] != gram[:-1]]) - 1
-        for low in range(0, int(gram[-1]) + 1, 4096):
-            a, b = np.searchsorted(gram, [low, low + 4096])
-            block = np.zeros((len(every), 4096), dtype=np.float32)
+        wide = max(256, min(4096, (1 << 22) // len(every)))
+        for low in range(0, int(gram[-1]) + 1, wide):
+            a, b = np.searchsorted(gram, [low, low + wide])
+            block = np.zeros((len(every), wide), dtype=np.float32)
             block[owner[a:b], gram[a:b] - low] = 1
             total += block[: len(left)] @ (block if same else block[len(left) :]).T
     return total
@@ -191,14 +192,15 @@ def _block_links(threshold: float):
 def _blocks(classes: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """``(cls, block)`` of every class that shares a band, and the pairs of blocks ``(i, j)`` whose members share one.
 
-    A class is at home in its fullest band bucket; a home of more than BLOCK members is split by hash.
+    A class is at home in its fullest band bucket; a home of more than BLOCK members or BLOCK_GRAMS n-grams is split by hash.
     So classes of one family stand in few blocks, and only blocks that meet in some bucket are compared.
     """
-    entries = staged(classes.select("cls", F.explode("bands").alias("band")), "entries")
-    counts = entries.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
-    shared = staged(entries.join(counts, "band"), "shared")
-    home = shared.groupBy("cls").agg(F.max(F.struct("m", "band")).alias("home"))
-    part = F.pmod(F.xxhash64("cls", F.lit(seed)), F.ceil(F.col("home.m") / F.lit(BLOCK)).cast("long"))
+    entries = classes.select("cls", "n_shingles", F.explode("bands").alias("band"))
+    counts = entries.groupBy("band").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("grams")).where("m > 1")
+    shared = staged(entries.drop("n_shingles").join(counts, "band"), "shared")
+    home = shared.groupBy("cls").agg(F.max(F.struct("m", "band", "grams")).alias("home"))
+    parts = F.ceil(F.greatest(F.col("home.m") / F.lit(BLOCK), F.col("home.grams") / F.lit(BLOCK_GRAMS))).cast("long")
+    part = F.pmod(F.xxhash64("cls", F.lit(seed)), parts)
     blocks = staged(home.select("cls", F.xxhash64("home.band", part).alias("block")), "blocks")
     stands = staged(shared.join(blocks, "cls").select("band", "block").distinct(), "stands")
     pairs = (
@@ -208,7 +210,7 @@ def _blocks(classes: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
         .distinct()
     )
     pairs = staged(pairs, "pairs")
-    drop(entries, shared, stands)
+    drop(shared, stands)
     return blocks, pairs
 
 
@@ -248,7 +250,12 @@ def ngram_jaccard_join(
     classes = staged(
         sig.where("digest is not null")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("bands").alias("bands"))  # equal sets have equal bands
+        .agg(
+            F.min("doc_id").alias("copy_of"),
+            F.count("*").alias("copies"),
+            F.min("n_shingles").alias("n_shingles"),
+            F.first("bands").alias("bands"),  # equal sets have equal bands
+        )
         .select(F.monotonically_increasing_id().alias("cls"), "*"),
         "classes",
     )
