@@ -14,8 +14,10 @@ from ._stage import drop, small_batches, staged
 
 #: Index rows and queries that one task compares at a time for one bucket.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
-#: Queries whose best candidates a task holds before it passes them on.
-HELD_QUERIES = 20_000
+#: Queries whose best candidates a task holds before it passes them on, and index rows that it compares in one go.
+HELD_QUERIES, HELD_ROWS = 20_000, 32_768
+#: Numbers of hashes and widths, in distances of the k-th neighbour, that the fit tries.
+FIT_HASHES, FIT_WIDTHS = (2, 4, 6, 8, 10, 12, 14, 16, 20, 24), (2.0, 2.5, 3.0, 4.0)
 
 
 @dataclass
@@ -37,48 +39,101 @@ class Hashing:
         return (whole * self.multipliers[:, None, :]).sum(axis=2, dtype=np.uint64)
 
     def probes(self, cells: np.ndarray, count: int) -> list[int]:
-        """Of one query, in every table: its own bucket and the perturbed ones in order of estimated success.
-
-        The chance that a neighbour lies one cell below or above falls with the
-        squared distance to that cell's edge; sets of perturbations are visited by the sum of theirs.
-        """
+        """Of one query, in every table: its own bucket and the perturbed ones in order of estimated success."""
         out: list[int] = []
         own = self.buckets(cells[:, None, :])[:, 0]
-        m = cells.shape[1]
         for t in range(len(own)):
-            below = cells[t] - np.floor(cells[t])
-            cost = np.concatenate([below**2, (1 - below) ** 2])
-            order = np.argsort(cost, kind="stable")
-            price, line = cost[order].tolist(), (order % m).tolist()
-            step = [int(self.multipliers[t, o % m]) * (-1 if o < m else 1) for o in order.tolist()]
+            step = self.multipliers[t].tolist()
             base = int(own[t])
-            found, heap = [base], [(price[0], (0,))]
-            while heap and len(found) < count:
-                total, chosen = heapq.heappop(heap)
-                last = chosen[-1]
-                if len({line[i] for i in chosen}) == len(chosen):
-                    found.append(base + sum(step[i] for i in chosen))
-                if last + 1 < 2 * m:
-                    heapq.heappush(heap, (total - price[last] + price[last + 1], (*chosen[:-1], last + 1)))
-                    heapq.heappush(heap, (total + price[last + 1], (*chosen, last + 1)))
-            out += found
+            out += [base + sum(sign * step[line] for line, sign in moves) for moves in perturbations(cells[t] - np.floor(cells[t]), count)]
         return out
 
 
-def fit_hashing(sample: np.ndarray, tables: int, hashes: int, width: float, k: int, seed: int) -> Hashing:
-    """Directions drawn by seed; the width is ``width`` times the median distance of the k-th neighbour within the sample."""
+def perturbations(below: np.ndarray, count: int) -> list[list[tuple[int, int]]]:
+    """The first ``count`` sets of moves (line, -1 or 1) from a place, given by its distances to the lower edge of its cell on each line.
+
+    The chance that a neighbour lies one cell below or above falls with the
+    squared distance to that cell's edge; sets are listed by the sum of theirs, the empty one first.
+    """
+    m = len(below)
+    cost = np.concatenate([below**2, (1 - below) ** 2])
+    order = np.argsort(cost, kind="stable")
+    price, move = cost[order].tolist(), [(o % m, -1 if o < m else 1) for o in order.tolist()]
+    found: list[list[tuple[int, int]]] = [[]]
+    heap = [(price[0], (0,))]
+    while heap and len(found) < count:
+        total, chosen = heapq.heappop(heap)
+        last = chosen[-1]
+        if len({move[i][0] for i in chosen}) == len(chosen):
+            found.append([move[i] for i in chosen])
+        if last + 1 < 2 * m:
+            heapq.heappush(heap, (total - price[last] + price[last + 1], (*chosen[:-1], last + 1)))
+            heapq.heappush(heap, (total + price[last + 1], (*chosen, last + 1)))
+    return found
+
+
+def meeting_chances(hashes: int, width: float, probes: int, distances: list[float], rng: np.random.Generator, places: int = 16, draws: int = 1000) -> list[float]:
+    """For each distance the chance that a vector so far from a query lies in a bucket that the query visits in one table."""
+    hits = np.zeros(len(distances))
+    for _ in range(places):
+        below = rng.uniform(0, 1, hashes)
+        visited = set()
+        for moves in perturbations(below, probes):
+            cell = [0] * hashes
+            for line, sign in moves:
+                cell[line] = sign
+            visited.add(tuple(cell))
+        for i, distance in enumerate(distances):
+            cells = np.floor(below + rng.normal(size=(draws, hashes)) * (distance / width)).astype(np.int64)
+            hits[i] += sum(c in visited for c in map(tuple, cells[(np.abs(cells) <= 1).all(axis=1)].tolist()))
+    return (hits / (places * draws)).tolist()
+
+
+def neighbour_distances(sample: np.ndarray, rows: int, k: int) -> tuple[float, float]:
+    """The expected distance of the k-th neighbour among ``rows`` vectors, and the median distance, from a sample.
+
+    The sample's neighbours of rank r stand for those of rank r * rows / sample;
+    nearer ones are extrapolated by the growth of the distance with the rank.
+    """
+    if len(sample) < 2:
+        return 1.0, 1.0
+    some = sample[:256]
+    squares = np.maximum((some**2).sum(1)[:, None] + (sample**2).sum(1)[None, :] - 2 * some @ sample.T, 0)
+    by_rank = np.median(np.sqrt(np.sort(squares, axis=1)[:, 1:]), axis=0)
+    rank = k * len(sample) / max(rows, len(sample))
+    low, high = min(4, len(by_rank)), min(64, len(by_rank))
+    near, far = float(by_rank[low - 1]), float(by_rank[high - 1])
+    if near <= 0 or far <= near:
+        found = float(by_rank[min(max(int(np.ceil(rank)), 1), len(by_rank)) - 1])
+    else:
+        found = near * (rank / low) ** (np.log(far / near) / np.log(high / low))
+    typical = float(np.median(np.sqrt(squares)))
+    return found or typical or 1.0, typical or 1.0
+
+
+def fit_hashing(sample: np.ndarray, rows: int, tables: int, probes: int, k: int, recall: float, seed: int) -> Hashing:
+    """Number of hashes and width for which ``tables`` tables reach ``recall`` at the k-th neighbour and meet the fewest other rows.
+
+    The chances are estimated for the distances that the sample leads one to
+    expect among ``rows`` vectors, so cells get finer as rows get denser.
+    """
     rng = np.random.default_rng(seed)
-    d = sample.shape[1]
-    scale = 1.0
-    if len(sample) > 1:
-        some = sample[: 256]
-        squares = np.maximum((some**2).sum(1)[:, None] + (sample**2).sum(1)[None, :] - 2 * some @ sample.T, 0)
-        scale = float(np.median(np.sqrt(np.sort(squares, axis=1)[:, min(k, len(sample) - 1)]))) or 1.0
+    near, typical = neighbour_distances(sample, rows, k)
+    needed = 1 - (1 - recall) ** (1 / tables)
+    best = None
+    for hashes in FIT_HASHES:
+        for ratio in FIT_WIDTHS:
+            hit, other = meeting_chances(hashes, ratio * near, probes, [near, typical], rng)
+            good = hit >= needed
+            order = (not good, other if good else -hit)
+            if best is None or order < best[0]:
+                best = order, hashes, ratio * near
+    _, hashes, width = best
     return Hashing(
-        rng.normal(size=(tables, hashes, d)),
+        rng.normal(size=(tables, hashes, sample.shape[1])),
         rng.uniform(0, 1, (tables, hashes)),
         rng.integers(1, 2**63, (tables, hashes), dtype=np.uint64) * np.uint64(2) + np.uint64(1),
-        width * scale,
+        width,
     )
 
 
@@ -115,46 +170,63 @@ def _hash_rows(hashing: Hashing, probes: int | None):
 
 
 def _nearest_in_buckets(k: int):
-    """Exact distances within each (bucket, block, block); the k + 1 nearest classes of each query that a task has met."""
+    """Exact distances within each (bucket, block, block); the k + 1 nearest classes of each query that a task has met.
+
+    Whole buckets are gathered up to HELD_ROWS rows; then each query is compared once with the different classes that its buckets hold.
+    """
     schema = pa.schema([("query", pa.int64()), ("cls", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        def solve(rows: list[tuple]) -> None:
-            rows_q, rows_x = [r for r in rows if r[3]], [r for r in rows if not r[3]]
-            if not rows_q or not rows_x:
-                return
-            ids = np.array([r[4] for r in rows_x])
-            x = np.stack([r[5] for r in rows_x])
-            for r in rows_q:
-                dist = np.sqrt(((x - r[5]) ** 2).sum(axis=1))
-                own = ids
-                if r[4] in best:
-                    seen_ids, seen = best[r[4]]
-                    fresh = ~np.isin(own, seen_ids)
-                    own, dist = np.concatenate([seen_ids, own[fresh]]), np.concatenate([seen, dist[fresh]])
-                if len(own) > k + 1:
-                    top = np.lexsort((own, dist))[: k + 1]
-                    own, dist = own[top], dist[top]
-                best[r[4]] = own, dist
+        def solve(keys: np.ndarray, asks: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+            edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
+            met: dict[int, list[tuple[int, int]]] = {}
+            at: dict[int, int] = {}
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                middle = a + int(np.searchsorted(asks[a:b], True))
+                if a < middle < b:
+                    for i, query in enumerate(ids[middle:b].tolist(), middle):
+                        met.setdefault(query, []).append((a, middle))
+                        at[query] = i
+            for query, places in met.items():
+                own = np.concatenate([np.arange(a, b) for a, b in places])
+                classes, first = np.unique(ids[own], return_index=True)
+                dist = np.sqrt(((vectors[own[first]] - vectors[at[query]]) ** 2).sum(axis=1))
+                if query in best:
+                    seen, scores = best[query]
+                    fresh = ~np.isin(classes, seen)
+                    classes, dist = np.concatenate([seen, classes[fresh]]), np.concatenate([scores, dist[fresh]])
+                if len(classes) > k + 1:
+                    top = np.lexsort((classes, dist))[: k + 1]
+                    classes, dist = classes[top], dist[top]
+                best[query] = classes, dist
 
         def flush():
             found = [(q, c, s) for q, (ids, dist) in best.items() for c, s in zip(ids.tolist(), dist.tolist(), strict=True)]
             best.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
-        held: list[tuple] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "bx", "bq", "is_query", "id")]
-            for row in zip(*cols, _matrix(batch.column("vec")), strict=True):
-                if held and row[:3] != held[0][:3]:
-                    solve(held)
-                    held = []
-                held.append(row)
-            if len(best) > HELD_QUERIES:
-                yield flush()
-        solve(held)
+            if not len(batch):
+                continue
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "bx", "bq")], axis=1)
+            asks, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("is_query", "id"))
+            held.append((keys, asks, ids, _matrix(batch.column("vec"))))
+            size += len(batch)
+            if size >= HELD_ROWS:
+                keys, asks, ids, vectors = (np.concatenate(c) for c in zip(*held, strict=True))
+                open_at = int(np.flatnonzero((keys != keys[-1]).any(axis=1))[-1]) + 1 if (keys != keys[-1]).any() else 0
+                if open_at:
+                    solve(keys[:open_at], asks[:open_at], ids[:open_at], vectors[:open_at])
+                held = [(keys[open_at:], asks[open_at:], ids[open_at:], vectors[open_at:])]
+                size = len(keys) - open_at
+                if len(best) > HELD_QUERIES:
+                    yield flush()
+        if held:
+            solve(*(np.concatenate(c) for c in zip(*held, strict=True)))
         if best:
             yield flush()
 
@@ -166,9 +238,8 @@ def nearest_neighbours(
     queries: Column,
     k: int = 10,
     tables: int = 16,
-    hashes: int = 10,
     probes: int = 100,
-    width: float = 2.0,
+    recall: float = 0.97,
     sample: int = 4096,
     seed: int = 1,
     id_column: str = "vec_id",
@@ -183,13 +254,15 @@ def nearest_neighbours(
     Every class stands in one bucket of each table; a query visits its bucket
     and perturbed ones, in order of estimated success.  Buckets are dealt by
     key, large ones in blocks; a task compares exactly and passes on each
-    query's best k + 1 classes.  The hash width is fitted on at most ``sample``
-    vectors drawn by seeded hash; every row is indexed.  A query that met fewer
-    than ``k`` rows is compared with all rows, in blocks.
+    query's best k + 1 classes.  Number of hashes and width are fitted on at most
+    ``sample`` vectors drawn by seeded hash and on the number of rows, so that
+    ``recall`` is expected at the k-th neighbour; every row is indexed.  A query
+    that met fewer than ``k`` rows is compared with all rows, in blocks.
 
     Null ids, and vectors null, empty, zero or with null or non-finite
     components take no part; vectors of another length than most of the sample
-    neither.  Rows repeated whole count once.  An empty table gives no rows.
+    neither.  Rows repeated whole count once; of different vectors under one id
+    the least (in array order) stands.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -201,8 +274,9 @@ def nearest_neighbours(
     if not lengths:
         return spark.createDataFrame([], out)
     d = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    hashing = fit_hashing(np.array([v for v in drawn.column("raw").to_pylist() if len(v) == d]), tables, hashes, width, k, seed)
-    rows = rows.where(F.size("raw") == d)
+    rows = rows.where(F.size("raw") == d).groupBy("id").agg(F.min("raw").alias("raw"), F.max(F.coalesce("asks", F.lit(False))).alias("asks"))
+    rows = staged(rows, "vectors")
+    hashing = fit_hashing(np.array([v for v in drawn.column("raw").to_pylist() if len(v) == d]), rows.count(), tables, probes, k, recall, seed)
     least = Window.partitionBy("raw").orderBy("id")
     classes = staged(
         rows.select("id", "raw")
@@ -213,7 +287,7 @@ def nearest_neighbours(
         .select(F.get("ids", F.lit(0)).alias("id"), "ids", F.col("raw").cast("array<double>").alias("vec")),
         "classes",
     )
-    asked = rows.where("asks").select("id", F.col("raw").cast("array<double>").alias("vec")).dropDuplicates(["id"])
+    asked = rows.where("asks").select("id", F.col("raw").cast("array<double>").alias("vec"))
     schema = "id long, vec array<double>, buckets array<bigint>"
     index = staged(classes.select("id", "vec").mapInArrow(_hash_rows(hashing, None), schema), "index")
     probed = staged(asked.mapInArrow(_hash_rows(hashing, probes), schema), "probes")
