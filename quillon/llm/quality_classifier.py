@@ -21,6 +21,8 @@ from ._words import chunks, split_words
 BUCKETS = 1 << 18
 SHAPES = 1 << 12
 EXTRA = 7
+#: Grades are 0 .. GRADES - 1.
+GRADES = 3
 #: Signs that prose seldom holds, digits and capitals, whose shares of a text are features.
 SIGNS = (b"#*$%&|<>@^~{}[]\\=+_/", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 PREFIX = 5
@@ -78,18 +80,23 @@ class OrdinalModel:
 
 
 def fit_cumulative_link(
-    rows: np.ndarray, slots: np.ndarray, values: np.ndarray, grades: np.ndarray, size: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.05
+    rows: np.ndarray, slots: np.ndarray, values: np.ndarray, grades: np.ndarray, size: int, levels: int = GRADES, l2: float = 1e-4, steps: int = 400, rate: float = 0.05
 ) -> OrdinalModel:
-    """Maximum likelihood with an L2 penalty, by full-batch Adam; ``rows``, ``slots``, ``values`` are the sparse matrix."""
-    n, levels = len(grades), int(grades.max()) + 1 if len(grades) else 1
-    cuts = max(levels - 1, 1)
-    share = [(grades > k).mean() if n else 0.5 for k in range(cuts)]
+    """Maximum likelihood with an L2 penalty, by full-batch Adam; ``rows``, ``slots``, ``values`` are the sparse matrix.
+
+    There are ``levels`` - 1 thresholds whatever grades occur: above the highest
+    one seen a tail is at most about 0.01.  Without rows all tails are 0.5.
+    """
+    n, cuts = len(grades), levels - 1
+    if not n:
+        return OrdinalModel(np.zeros(size, dtype=np.float32), np.zeros(cuts))
+    share = [(grades > k).mean() for k in range(cuts)]
     theta = -np.log(np.clip(share, 0.01, 0.99) / (1 - np.clip(share, 0.01, 0.99)))
     theta = np.maximum.accumulate(theta + 1e-3 * np.arange(cuts))
     weights = np.zeros(size)
     params = [weights, theta]
     first, second = ([np.zeros_like(p) for p in params] for _ in range(2))
-    one = np.eye(levels + 1)[grades] if n else np.zeros((0, levels + 1))
+    one = np.eye(levels + 1)[grades]
     for step in range(1, steps + 1):
         score = np.bincount(rows, weights[slots] * values, minlength=n)
         edge = 1 / (1 + np.exp(np.clip(score[:, None] - theta[None, :], -60, 60)))
@@ -121,7 +128,10 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, sample: int = 16_384,
     """The model fitted on at most ``sample`` labelled documents, drawn by seeded hash of doc_id.
 
     A rating is graded 0 to 2: one point for quality, one for not being toxic;
-    of several ratings of a document the lowest counts, ratings with a null do not.  Word
+    of several ratings of a document the lowest counts, ratings with a null do not.
+    So a well-written toxic text and a clean poor one share the middle grade; selection
+    by the tail of the highest grade rejects both.  Without any labelled text the model
+    knows nothing: all tails are 0.5, and texts with words are kept.  Word
     buckets of fewer than 5 sampled documents, or ``least_share`` of them, get no weight,
     nor do those whose texts are graded like the rest (``least_z`` standard errors):
     a long text holds hundreds of words that say nothing.

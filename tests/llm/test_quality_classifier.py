@@ -28,6 +28,8 @@ def test_held_out_accuracy(spark):
     scored = score_quality(docs, model).join(labels.where("doc_id % 4 = 3"), "doc_id").collect()
     good = [r.kept for r in scored if r.quality == 1 and r.toxic == 0]
     bad = [r.kept for r in scored if r.quality == 0]
+    toxic = [r.kept for r in scored if r.quality == 1 and r.toxic == 1]
+    assert len(toxic) > 5 and np.mean(toxic) < 0.4
     assert len(good) > 50 and np.mean(good) > 0.95
     assert len(bad) > 10 and np.mean(bad) < 0.2
 
@@ -67,4 +69,20 @@ def test_edges(docs_of, small_model):
 def test_no_labels(spark, docs_of):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = fit_quality_model(docs_of([(1, "a b c")]), labels)
-    assert score_quality(docs_of([(1, "a b c")]), model).count() == 1
+    got = {r.doc_id: r for r in score_quality(docs_of([(1, "a b c"), (2, " "), (3, None)]), model).collect()}
+    assert [(got[i].expected_grade, got[i].tail_probability, got[i].kept) for i in (1, 2, 3)] == [(1.0, 0.5, True), (0.0, 0.0, False), (0.0, 0.0, False)]
+
+
+@pytest.mark.parametrize("highest", [0, 1])
+def test_grades_that_never_occur(spark, docs_of, words, highest):
+    rows = [(i, " ".join(words(30, seed=i))) for i in range(60)]
+    labels = spark.createDataFrame([(i, 0 if highest == 0 else i % 2, 1 if highest == 0 else i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    if highest == 1:
+        labels = spark.createDataFrame([(i, i % 2, 1) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = score_quality(docs_of(rows), fit_quality_model(docs_of(rows), labels)).collect()
+    assert not any(r.kept for r in got) and max(r.tail_probability for r in got) < 0.05
+
+
+def test_very_long_text(docs_of, small_model, words):
+    got = score_quality(docs_of([(1, " ".join(words(60_000, seed=5))), (2, "x" * 500_000)]), small_model[0]).collect()
+    assert all(0 <= r.tail_probability <= 1 for r in got) and len(got) == 2
