@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ._stage import small_batches, staged
 
 #: Documents of one source whose order is settled in one window group, on average.
-GROUP_DOCS = 20_000
+GROUP_DOCS = 2_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -86,7 +86,7 @@ def mix_sources(
     The order within a source is dealt to groups by the seeded hash, summed by
     group first, so a large source is not one window.  The draw depends on
     (seed, doc_id, size) alone; rows equal in these are ordered by their other
-    columns' hash, and reruns agree.  Documents of size 0 are taken at the whole
+    columns' hash, rows without an id are drawn by it, and reruns agree.  Documents of size 0 are taken at the whole
     part.  A null or negative size counts as 0.  An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -95,6 +95,7 @@ def mix_sources(
     rows = docs.toDF(*own.values()).withColumns(
         {"source": F.col(own[source]), "size": F.greatest(F.coalesce(F.col(own[size]).cast("long"), F.lit(0)), F.lit(0))}
     )
+    rows = staged(rows, "sized")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     ranked = staged(ranked_sources(sizes), "ranked")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -110,10 +111,13 @@ def mix_sources(
         F.ceil(F.col("n_docs") / GROUP_DOCS).cast("long").alias("groups"),
     )
     others = [F.col(c) for c, t in zip(own.values(), docs.schema, strict=True) if "map" not in t.dataType.simpleString()]
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *([F.col(own["doc_id"])] if "doc_id" in own else []), "size"), 1)
+    draw = F.xxhash64(F.lit(seed), *([F.col(own["doc_id"])] if "doc_id" in own else []), "size")
+    if "doc_id" in own:  # rows without an id are dealt by all they hold
+        draw = F.when(F.col(own["doc_id"]).isNull(), F.xxhash64(F.lit(seed), "tie")).otherwise(draw)
     dealt = (
         rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
-        .withColumns({"draw": draw, "tie": F.xxhash64(*others)})
+        .withColumn("tie", F.xxhash64(*others))
+        .withColumn("draw", F.shiftrightunsigned(draw, 1))
         .withColumn("group", F.floor(F.col("draw") / (F.lit(float(2**63)) / F.col("groups"))))
     )
     group_sizes = dealt.groupBy(F.col("s").alias("gs"), F.col("group").alias("g")).agg(F.sum("size").alias("group_size"))

@@ -69,4 +69,18 @@ def test_repeats_rows(spark):
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "s", 2, "q")], "doc_id long, text string, source string, size long, target string")
     got = mix_sources(docs.withColumnRenamed("target", "_c0")).collect()
-    assert got[0].copies == 1 or got[0].copies == 2
+    # One source: its target is 1.5 times its size, so of the one document of 2 words 1.5 * 2 - 2 = 1 word is due: half of it, not more.
+    assert (got[0].source_size, got[0].target, got[0].copies, got[0]._c0) == (2, 3.0, 1, "q")
+
+
+def test_rows_without_an_id_are_dealt_to_groups(spark, monkeypatch):
+    monkeypatch.setattr("quillon.llm.source_mixing.GROUP_DOCS", 10)
+    rows = [(None, f"a b {i}", "one") for i in range(300)] + [(i, "x y z", "two") for i in range(100)]
+    got = mixed(spark, rows).where("source = 'one'").collect()
+    assert abs(sum(r.size * r.copies for r in got) - got[0].target) <= 1.5 and len({r.copies for r in got}) == 2
+
+
+def test_very_long_text(spark, words):
+    rows = [(1, " ".join(words(50_000, seed=1)), "a"), (2, "x " * 10, "a"), (3, "y" * 400_000, "b")]
+    got = {r.doc_id: r for r in mixed(spark, rows).collect()}
+    assert (got[1].size, got[2].size, got[3].size) == (50_000, 10, 1) and all(r.copies <= 2 for r in got.values())
