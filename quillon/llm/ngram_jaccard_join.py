@@ -192,16 +192,25 @@ def _block_links(threshold: float):
 def _blocks(classes: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """``(cls, block)`` of every class that shares a band, and the pairs of blocks ``(i, j)`` whose members share one.
 
-    A class is at home in its fullest band bucket; a home of more than BLOCK members or BLOCK_GRAMS n-grams is split by hash.
-    So classes of one family stand in few blocks, and only blocks that meet in some bucket are compared.
+    A class is at home in its fullest band bucket, and follows the fullest home
+    among all classes that it shares a bucket with, so most of a family follows
+    one.  Followers are split by hash into blocks of about BLOCK members or
+    BLOCK_GRAMS n-grams; only blocks that meet in some bucket are compared.
     """
-    entries = classes.select("cls", "n_shingles", F.explode("bands").alias("band"))
-    counts = entries.groupBy("band").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("grams")).where("m > 1")
-    shared = staged(entries.drop("n_shingles").join(counts, "band"), "shared")
-    home = shared.groupBy("cls").agg(F.max(F.struct("m", "band", "grams")).alias("home"))
-    parts = F.ceil(F.greatest(F.col("home.m") / F.lit(BLOCK), F.col("home.grams") / F.lit(BLOCK_GRAMS))).cast("long")
-    part = F.pmod(F.xxhash64("cls", F.lit(seed)), parts)
-    blocks = staged(home.select("cls", F.xxhash64("home.band", part).alias("block")), "blocks")
+    entries = classes.select("cls", F.explode("bands").alias("band"))
+    counts = entries.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    shared = staged(entries.join(counts, "band"), "shared")
+    home = shared.groupBy("cls").agg(F.max(F.struct("m", "band")).alias("home"))
+    top = shared.select("cls", "band").join(home, "cls").groupBy("band").agg(F.max("home").alias("top"))
+    leads = shared.select("cls", "band").join(top, "band").groupBy("cls").agg(F.max("top").alias("lead"))
+    leads = staged(leads.select("cls", F.col("lead.band").alias("lead")).join(classes.select("cls", "n_shingles"), "cls"), "leads")
+    sizes = leads.groupBy("lead").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("grams"))
+    parts = F.ceil(F.greatest(F.col("m") / F.lit(BLOCK), F.col("grams") / F.lit(BLOCK_GRAMS))).cast("long")
+    # A large group is looked up in SALTS parts.
+    sizes = sizes.select("lead", parts.alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = leads.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(sizes, ["lead", "salt"])
+    part = F.pmod(F.xxhash64("cls", F.lit(seed)), F.col("parts"))
+    blocks = staged(dealt.select("cls", F.xxhash64("lead", part).alias("block")), "blocks")
     stands = staged(shared.join(blocks, "cls").select("band", "block").distinct(), "stands")
     pairs = (
         stands.join(stands.withColumnRenamed("block", "other"), "band")
@@ -210,7 +219,7 @@ def _blocks(classes: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
         .distinct()
     )
     pairs = staged(pairs, "pairs")
-    drop(shared, stands)
+    drop(shared, leads, stands)
     return blocks, pairs
 
 
