@@ -1,8 +1,8 @@
-"""Column helpers for values that may be missing: nulls only, no NaN, explicit ties."""
+"""Column helpers for values that may be missing: nulls only, no NaN."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -50,29 +50,6 @@ def finite(x: Column) -> Column:
     return truthy(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def percent_rank_average(value: str, *groups: str, over_all: bool = False) -> Column:
-    """Average rank over the number of rows with a value (or of all rows), null where the value is."""
-    ranked = Window.partitionBy(*groups, F.col(value).isNull()).orderBy(F.col(value))
-    ties = Window.partitionBy(*groups, value)
-    group = Window.partitionBy(*groups)
-    total = F.count(F.lit(1)).over(group) if over_all else F.count(value).over(group)
-    return F.when(F.col(value).isNotNull(), (F.rank().over(ranked) + (F.count(F.lit(1)).over(ties) - 1) / 2) / total)
-
-
-def upper_share(value: str, *groups: str) -> Column:
-    """Share of the group's known values at or above this one."""
-    ranked = Window.partitionBy(*groups, F.col(value).isNull()).orderBy(F.col(value))
-    n = F.count(value).over(Window.partitionBy(*groups))
-    return F.when(F.col(value).isNotNull(), (n - F.rank().over(ranked) + 1) / n)
-
-
-def rank_buckets(ordered: WindowSpec, whole: WindowSpec, buckets: int) -> Column:
-    """Quantile buckets of the row number: bucket 1 holds the least, edges as in interpolated quantiles of 1 .. n."""
-    n = F.count(F.lit(1)).over(whole)
-    place = buckets * (F.row_number().over(ordered) - 1) / F.when(n > 1, n - 1).otherwise(F.lit(1))
-    return F.greatest(F.lit(1), F.ceil(F.round(place, 9))).cast("int")
-
-
 def weighted_mean(x: Column, w: Column) -> Column:
     """Sum of x w over sum of w, over rows with a value and a weight above 0."""
     used = truthy(x.isNotNull() & (w > 0))

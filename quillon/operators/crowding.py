@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.quarters import qsort
-from quillon.functions.semantics import clip, nz, percent_rank_average, safe_div, truthy
+from quillon.functions.ranking import percent_ranks
+from quillon.functions.semantics import clip, nz, safe_div, truthy
 
 #: In-kind rates below this count as none; a rise of the in-kind share by this much is a toggle.
 LEAST_PIK, LEAST_RISE = 0.0025, 0.10
@@ -34,17 +35,22 @@ def borrower_crowding(rows: DataFrame, borrower: str = "borrower", lag_quarters:
     out = out.join(before, ["borrower", "q"], "left").crossJoin(F.broadcast(start))  # one row
     change = F.when(F.col("q") - lag_quarters >= F.col("first_q"), F.col("n_families") - F.coalesce("n_before", F.lit(0)))
     out = out.withColumn("d_families_4q", change).drop("n_before", "first_q")
-    ranks = {"C1_pct": "n_families", "C2_pct": "lender_hhi", "C3_pct": "top_share", "C4_pct": "d_families_4q"}
-    return out.withColumns({k: percent_rank_average(v, "cal_q") * 100 for k, v in ranks.items()}).drop("q")
+    ranked = {"C1_pct": "n_families", "C2_pct": "lender_hhi", "C3_pct": "top_share", "C4_pct": "d_families_4q"}
+    return percent_ranks(out.drop("q"), ranked, "cal_q")
 
 
 def family_prices(tranches: DataFrame, most_price: float = MOST_PRICE, least_families: int = 1) -> DataFrame:
-    """One price per quarter, loan (``xb_id``) and family; dear ones and loans of too few families are left out."""
+    """One price per quarter, loan (``xb_id``) and family, over priceable rows; dear ones and loans of too few families are left out.
+
+    ``tier`` is the worst match of the family's rows, ``unplaced`` whether one of them has none.
+    """
+    if "PAR_px" in tranches.columns:
+        tranches = tranches.where("PAR_px > 0").withColumns({"FV": F.col("FV_px"), "PAR": F.col("PAR_px")})
     if least_families > 1:
         several = tranches.groupBy("xb_id").agg(F.countDistinct("family").alias("n")).where(F.col("n") >= least_families)
         tranches = tranches.join(several.select("xb_id"), "xb_id", "left_semi")
     out = tranches.groupBy("cal_q", "xb_id", "family").agg(
-        F.sum("FV").alias("FV"), F.sum("PAR").alias("PAR"), F.max("xb_tier").alias("tier"), F.countDistinct("cik").alias("n_bdcs")
+        F.sum("FV").alias("FV"), F.sum("PAR").alias("PAR"), F.max("xb_tier").alias("tier"), F.max(F.col("xb_tier").isNull()).alias("unplaced"), F.countDistinct("cik").alias("n_bdcs")
     )
     return out.withColumn("price", F.try_divide("FV", "PAR")).where(F.col("price") <= most_price)
 
@@ -57,16 +63,16 @@ def tranche_dispersion(tranches: DataFrame, least_families: int = 2, most_tier:
         F.sum("n_bdcs").alias("n_bdcs"),
         F.sum("PAR").alias("total_par"),
         F.max("tier").alias("tier"),
+        F.max("unplaced").alias("unplaced"),
         F.percentile("price", F.lit(0.5)).alias("V4_consensus"),
         F.stddev_samp("price").alias("V1_std"),
         (F.percentile("price", F.lit(0.75)) - F.percentile("price", F.lit(0.25))).alias("V1_iqr"),
         F.min("price").alias("p_min"),
         F.max("price").alias("p_max"),
     )
-    out = out.where((F.col("n_families") >= least_families) & (F.col("tier") <= most_tier))
+    out = out.where((F.col("n_families") >= least_families) & ~F.col("unplaced") & (F.col("tier") <= most_tier)).drop("unplaced")
     out = out.withColumns({"V1_range": F.col("p_max") - F.col("p_min"), "V2_low_mark": F.col("p_min") - F.col("V4_consensus")})
-    ranks = {"V1_pct": "V1_std", "V2_pct": "V2_low_mark", "V4_pct": "V4_consensus"}
-    return out.withColumns({k: percent_rank_average(v, "cal_q") * 100 for k, v in ranks.items()})
+    return percent_ranks(out, {"V1_pct": "V1_std", "V2_pct": "V2_low_mark", "V4_pct": "V4_consensus"}, "cal_q")
 
 
 def family_marks(tranches: DataFrame, least_families: int = 2, most_tier: int = 2) -> DataFrame:
@@ -74,8 +80,7 @@ def family_marks(tranches: DataFrame, least_families: int = 2, most_tier: int =
     consensus = tranche_dispersion(tranches, least_families, most_tier).select("cal_q", "xb_id", "V4_consensus")
     out = family_prices(tranches, least_families=least_families).join(consensus, ["cal_q", "xb_id"])
     out = out.withColumn("mark_vs_consensus", F.col("price") - F.col("V4_consensus"))
-    out = out.withColumn("mark_distance", F.abs("mark_vs_consensus"))
-    return out.withColumn("distance_pct", percent_rank_average("mark_distance", "cal_q") * 100)
+    return percent_ranks(out.withColumn("mark_distance", F.abs("mark_vs_consensus")), {"distance_pct": "mark_distance"}, "cal_q")
 
 
 def pik_transitions(
@@ -97,7 +102,6 @@ def pik_transitions(
             "PIK_prev": F.lag("PIK_Final").over(w),
             "PAR_prev": F.lag("PAR").over(w),
             "pik_share_prev": F.lag("pik_share").over(w),
-            "P1_pct": percent_rank_average("pik_share", "cal_q", over_all=True) * 100,
         }
     )
     starts = F.col("cal_q") == F.col("q_incept")
@@ -117,4 +121,5 @@ def pik_transitions(
     out = out.withColumns(
         {"delta_pik": nz(F.col("PIK_Final")) - nz(F.col("PIK_prev")), "pik_transition_state": state, "is_distress_amendment": toggled}
     )
-    return out.withColumn("pik_acquired", now & (cash_first | F.max("is_distress_amendment").over(upto)))
+    out = out.withColumn("pik_acquired", now & (cash_first | F.max("is_distress_amendment").over(upto)))
+    return percent_ranks(out, {"P1_pct": "pik_share"}, "cal_q", over_all=True)

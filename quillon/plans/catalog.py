@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.operators import credit_status as credit
 from quillon.operators import crowding, evaluation, exposure, rates
 from quillon.operators import position_index as index
+from quillon.functions.semantics import weighted_mean
 
 from .proxy import POSITIONS_SQL, positions, table
 
@@ -186,7 +187,8 @@ d AS (
   FROM b LEFT JOIN b o ON o.borrower = b.borrower AND o.q = b.q - 4
 )
 SELECT cal_q, borrower, n_families, n_ciks, round(lender_hhi, 6) AS lender_hhi, round(top_share, 6) AS top_share, d_families_4q,
-  round(100 * {pct_sql("n_families")}, 4) AS C1_pct, round(100 * {pct_sql("d_families_4q")}, 4) AS C4_pct FROM d""")
+  round(100 * {pct_sql("n_families")}, 4) AS C1_pct, round(100 * {pct_sql("lender_hhi")}, 4) AS C2_pct, round(100 * {pct_sql("top_share")}, 4) AS C3_pct,
+  round(100 * {pct_sql("d_families_4q")}, 4) AS C4_pct FROM d""")
 def crowding_hhi(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = crowding.borrower_crowding(positions(spark, sf_dir))
     return found.select(
@@ -197,8 +199,7 @@ def crowding_hhi(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("lender_hhi", 6).alias("lender_hhi"),
         F.round("top_share", 6).alias("top_share"),
         "d_families_4q",
-        F.round("C1_pct", 4).alias("C1_pct"),
-        F.round("C4_pct", 4).alias("C4_pct"),
+        *[F.round(c, 4).alias(c) for c in ("C1_pct", "C2_pct", "C3_pct", "C4_pct")],
     )
 
 
@@ -261,127 +262,254 @@ def pik_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("cik", "position_key", "cal_q", "pik_share", "pik_transition_state", "is_distress_amendment", "pik_acquired"))
 
 
-def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All investments; a borrower is a brand and the first word of a type, an unnamed one in the smallest brand."""
     rows = index.final_rates(positions(spark, sf_dir))
-    rows = rows.withColumn("borrower", F.concat_ws("|", "borrower", "lien"))
-    rows = rows.withColumn("pik_share", F.when(F.col("IR_Final") > 0, F.col("PIK_Final") / F.col("IR_Final")))
-    return rows
+    name = F.concat_ws(" ", "borrower", F.substring_index("lien", " ", 1))
+    return rows.withColumn("borrower_canonical", F.when(F.col("borrower") != "Brand#11", name)).withColumns(
+        {"sector": F.substring_index("lien", " ", -1), "borrower": exposure.borrower_name(F.col("borrower_canonical"))}
+    )
+
+
+def _loans(rows: DataFrame) -> DataFrame:
+    """Tranche-quarters with plain ids: a chain is a borrower at a lender, a loan across lenders a borrower in a quarter."""
+    named = rows.where("borrower is not null")
+    par = F.col("PAR")
+    out = named.groupBy("cik", "family", "borrower", "cal_q", "qsort").agg(
+        *[F.sum(c).alias(c) for c in ("FV", "COST", "PAR")],
+        *[F.sum(F.when(F.col("price_ok"), F.col(c)).otherwise(0.0)).alias(f"{c}_px") for c in ("FV", "PAR")],
+        *[weighted_mean(F.col(c), par).alias(c) for c in ("PIK_Final", "IR_Final")],
+        F.max("non_accrual").alias("non_accrual"),
+        F.max("sector").alias("sector"),
+    )
+    ids = {"chain_id": F.concat_ws("|", "cik", "borrower"), "xb_id": F.concat_ws("|", "cal_q", "borrower"), "xb_tier": F.lit(1), "borrower_key": F.col("borrower")}
+    return out.withColumns(ids).drop("borrower")
+
+
+def _monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    return exposure.monitor_panel(_loans(rows), rows)
+
+
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exposure.borrower_quarters(_monitor(spark, sf_dir), _rows(spark, sf_dir))
+
+
+HISTORY_FROM = "1993Q2"
+
 
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exposure.warning_flags(_panel(spark, sf_dir), HISTORY_FROM)
+
+
+def _upper_sql(column: str, group: str) -> str:
+    return (
+        f"CASE WHEN {column} IS NOT NULL THEN (count({column}) OVER (PARTITION BY {group}) - rank() OVER (PARTITION BY {group}, {column} IS NULL ORDER BY {column}) + 1)"
+        f" / count({column}) OVER (PARTITION BY {group}) END"
+    )
+
+
+def _mean_sql(column: str, weight: str = "PAR") -> str:
+    used = f"FILTER (WHERE {column} IS NOT NULL AND {weight} > 0)"
+    return f"sum({column} * {weight}) {used} / sum({weight}) {used}"
 
-PANEL_SQL = f"""{POSITIONS_SQL},
-rows_ AS (SELECT * EXCLUDE (borrower), borrower || '|' || lien AS borrower, CASE WHEN IR_Final > 0 THEN PIK_Final / IR_Final END AS pik_share FROM final),
+
+MONITOR_SQL = f"""{POSITIONS_SQL},
+rows_ AS (
+  SELECT * EXCLUDE (borrower), CASE WHEN borrower <> 'Brand#11' THEN upper(borrower || ' ' || split_part(lien, ' ', 1)) END AS borrower,
+    list_last(string_split(lien, ' ')) AS sector FROM final
+),
+tr AS (
+  SELECT cik, family, borrower, cal_q, qsort, sum(FV) AS FV, sum(COST) AS COST, sum(PAR) AS PAR, sum(CASE WHEN price_ok THEN FV ELSE 0 END) AS FV_px,
+    sum(CASE WHEN price_ok THEN PAR ELSE 0 END) AS PAR_px, sum(PIK_Final * PAR) / sum(PAR) AS PIK_Final, sum(IR_Final * PAR) / sum(PAR) AS IR_Final,
+    max(non_accrual) AS non_accrual, max(sector) AS sector
+  FROM rows_ WHERE borrower IS NOT NULL GROUP BY ALL
+),
+s0 AS (SELECT *, CASE WHEN IR_Final IS NULL OR IR_Final = 0 THEN 0 ELSE least(greatest(coalesce(PIK_Final, 0) / IR_Final, 0), 1) END AS pik_share FROM tr),
+s1 AS (
+  SELECT *, row_number() OVER w > 1 AS seasoned, coalesce(PIK_Final, 0) >= 0.0025 AS now_, coalesce(lag(PIK_Final) OVER w, 0) >= 0.0025 AS before_,
+    pik_share - coalesce(lag(pik_share) OVER w, 0) >= 0.10 AS risen FROM s0 WINDOW w AS (PARTITION BY cik, borrower ORDER BY qsort)
+),
+s2 AS (SELECT *, (seasoned AND now_ AND (NOT before_ OR risen)) AS toggled FROM s1),
+s3 AS (SELECT *, (now_ AND max(toggled) OVER (PARTITION BY cik, borrower ORDER BY qsort)) AS acquired FROM s2),
+fp0 AS (SELECT cal_q, borrower, family, sum(FV_px) / sum(PAR_px) AS p FROM tr WHERE PAR_px > 0 GROUP BY ALL),
+fp AS (SELECT * FROM fp0 WHERE p <= 1.2 AND (cal_q, borrower) IN (SELECT (cal_q, borrower) FROM fp0 GROUP BY ALL HAVING count(*) >= 2)),
+dispersion AS (
+  SELECT cal_q, borrower, quantile_cont(p, 0.5) AS V4, stddev_samp(p) AS V1_std, max(p) - min(p) AS V1_range, min(p) - quantile_cont(p, 0.5) AS V2_low_mark
+  FROM fp GROUP BY ALL HAVING count(*) >= 2
+),
+fam AS (SELECT cal_q, borrower, family, sum(PAR) AS par FROM rows_ WHERE PAR > 0 AND FV > 0 AND borrower IS NOT NULL GROUP BY ALL),
+cr AS (
+  SELECT cal_q, borrower, count(*) AS C1_families, sum(par * par) / (sum(par) * sum(par)) AS C2_lender_hhi, max(par) / sum(par) AS C3_top_share, ln(sum(par)) AS log_borrower_par,
+    CAST(substr(cal_q, 1, 4) AS INT) * 4 + CAST(substr(cal_q, 6, 1) AS INT) AS q FROM fam GROUP BY cal_q, borrower
+),
+crowd AS (
+  SELECT cr.*, CASE WHEN cr.q - 4 >= (SELECT min(q) FROM cr) THEN cr.C1_families - coalesce(o.C1_families, 0) END AS C4_d_families
+  FROM cr LEFT JOIN cr o ON o.borrower = cr.borrower AND o.q = cr.q - 4
+),
+monitor AS (
+  SELECT s3.*, V1_std, V1_range, V2_low_mark, fp.p - V4 AS mark_vs_consensus, abs(fp.p - V4) AS mark_distance, C1_families, C2_lender_hhi, C3_top_share, C4_d_families, log_borrower_par
+  FROM s3 LEFT JOIN dispersion d ON d.cal_q = s3.cal_q AND d.borrower = s3.borrower
+  LEFT JOIN fp ON fp.cal_q = s3.cal_q AND fp.borrower = s3.borrower AND fp.family = s3.family AND d.V4 IS NOT NULL
+  LEFT JOIN crowd c ON c.cal_q = s3.cal_q AND c.borrower = s3.borrower
+)"""
+
+PANEL_SQL = f"""{MONITOR_SQL},
+held AS (SELECT cal_q, cik, borrower, sum(COST) AS cost FROM rows_ WHERE COST > 0 GROUP BY ALL),
+lw AS (
+  SELECT borrower, cal_q, max(cost / book) AS max_lender_weight, sum(cost / book * cost) / sum(cost) AS mean_lender_weight
+  FROM (SELECT *, sum(cost) OVER (PARTITION BY cal_q, cik) AS book FROM held) WHERE borrower IS NOT NULL GROUP BY ALL
+),
 panel0 AS (
-  SELECT borrower, cal_q, qsort, sum(PAR) AS PAR, sum(FV) AS FV, sum(COST) AS COST, CAST(count(DISTINCT family) AS BIGINT) AS n_families,
-    CAST(count(DISTINCT cik) AS BIGINT) AS n_ciks,
-    sum(CASE WHEN pik_share IS NOT NULL AND PAR > 0 THEN pik_share * PAR END) / sum(CASE WHEN pik_share IS NOT NULL AND PAR > 0 THEN PAR END) AS pik_share,
-    sum(CASE WHEN non_accrual IS NOT NULL THEN COST END) AS known_cost, sum(CASE WHEN non_accrual = 1 THEN COST END) AS bad_cost
-  FROM rows_ GROUP BY borrower, cal_q, qsort
+  SELECT borrower, cal_q, min(qsort) AS qsort, min_by(sector, cik || '|' || borrower) AS sector, sum(PAR) AS par, sum(FV) AS fv, sum(COST) AS cost, sum(FV_px) AS fv_px, sum(PAR_px) AS par_px,
+    max(C1_families) AS C1_families, max(C2_lender_hhi) AS C2_lender_hhi, max(C3_top_share) AS C3_top_share, max(C4_d_families) AS C4_d_families,
+    max(log_borrower_par) AS log_borrower_par, count(V1_std) > 0 AS multi_family, {_mean_sql("V1_std")} AS V1_std, {_mean_sql("V1_range")} AS V1_range,
+    {_mean_sql("V2_low_mark")} AS V2_low_mark, {_mean_sql("mark_distance")} AS mark_distance, {_mean_sql("pik_share")} AS pik_share,
+    sum(CASE WHEN pik_share > 0 THEN PAR ELSE 0 END) / sum(PAR) AS pik_par_share, sum(CASE WHEN toggled THEN PAR ELSE 0 END) / sum(PAR) AS toggle_par_share,
+    sum(CASE WHEN acquired THEN PAR ELSE 0 END) / sum(PAR) AS acquired_par_share,
+    sum(COST * non_accrual) / nullif(sum(CASE WHEN non_accrual IS NOT NULL THEN COST END), 0) AS na_cost_share
+  FROM monitor GROUP BY borrower, cal_q
 ),
 panel AS (
-  SELECT *, CASE WHEN FV / PAR <= 1.5 THEN FV / PAR END AS price, CASE WHEN known_cost > 0 THEN coalesce(bad_cost, 0) / known_cost END AS na_cost_share FROM panel0
+  SELECT p.*, CASE WHEN par_px > 0 AND fv_px / par_px <= 1.5 THEN fv_px / par_px END AS price, max_lender_weight, mean_lender_weight
+  FROM panel0 p LEFT JOIN lw ON lw.borrower = p.borrower AND lw.cal_q = p.cal_q
 ),
-held AS (SELECT cal_q, cik, borrower, sum(COST) AS cost FROM rows_ GROUP BY ALL),
-books AS (SELECT cal_q, cik, sum(cost) AS book, count(*) AS n_borrowers FROM held GROUP BY ALL),
-lw AS (
-  SELECT h.cal_q, borrower, max(cost / book) AS max_weight, sum(cost / book * cost) / sum(cost) AS mean_weight
-  FROM held h JOIN books b ON b.cal_q = h.cal_q AND b.cik = h.cik GROUP BY h.cal_q, borrower
+sized AS (
+  SELECT *, CAST(greatest(1, ceil(round(5.0 * (row_number() OVER (PARTITION BY cal_q ORDER BY par, borrower) - 1) / greatest(count(*) OVER (PARTITION BY cal_q) - 1, 1), 9))) AS INT) AS size_group
+  FROM panel
 ),
-signs AS (
-  SELECT p.*, max_weight,
-    CASE WHEN price IS NOT NULL THEN CAST((count(price) OVER (PARTITION BY p.cal_q) - rank() OVER (PARTITION BY p.cal_q, price IS NULL ORDER BY 1 - price) + 1) / count(price) OVER (PARTITION BY p.cal_q) <= 0.1 AS INT) END AS sign_low_mark,
-    CASE WHEN pik_share IS NOT NULL THEN CAST((count(pik_share) OVER (PARTITION BY p.cal_q) - rank() OVER (PARTITION BY p.cal_q, pik_share IS NULL ORDER BY pik_share) + 1) / count(pik_share) OVER (PARTITION BY p.cal_q) <= 0.1 AS INT) END AS sign_high_pik,
-    CASE WHEN max_weight IS NOT NULL THEN CAST((count(max_weight) OVER (PARTITION BY p.cal_q) - rank() OVER (PARTITION BY p.cal_q, max_weight IS NULL ORDER BY max_weight) + 1) / count(max_weight) OVER (PARTITION BY p.cal_q) <= 0.1 AS INT) END AS sign_heavy,
-    CAST(n_families = 1 AS INT) AS sign_single, CASE WHEN na_cost_share IS NOT NULL THEN CAST(na_cost_share > 0 AS INT) END AS distress
-  FROM panel p LEFT JOIN lw ON lw.cal_q = p.cal_q AND lw.borrower = p.borrower
-)"""
-SIGNS = ("sign_low_mark", "sign_high_pik", "sign_heavy", "sign_single")
+signs0 AS (
+  SELECT *, {_upper_sql("C1_families", "cal_q, size_group")} AS crowding_upper_share, {_upper_sql("round(V1_range, 12)", "cal_q")} AS disagreement_upper_share,
+    max(CASE WHEN toggle_par_share > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY borrower ORDER BY qsort RANGE BETWEEN 3 PRECEDING AND CURRENT ROW) AS switched
+  FROM sized
+),
+signs1 AS (
+  SELECT *, CAST(crowding_upper_share <= 0.1 AS INT) AS crowding, CAST(disagreement_upper_share <= 0.1 AS INT) AS disagreement, CAST(pik_share > 0.5 AS INT) AS pik_half,
+    CASE WHEN cal_q > (SELECT min(cal_q) FROM panel) THEN CAST(toggle_par_share > 0 AS INT) END AS pik_switch_q, CASE WHEN cal_q >= '{HISTORY_FROM}' THEN switched END AS pik_switched
+  FROM signs0
+),
+signs AS (SELECT *, greatest(coalesce(disagreement, 0), coalesce(pik_switched, 0)) AS distress FROM signs1)"""
+SIGNS = (*exposure.SIGNS, "distress")
+_PANEL_MEASURES = (
+    "C1_families C2_lender_hhi C3_top_share C4_d_families log_borrower_par V1_std V1_range V2_low_mark mark_distance pik_share pik_par_share toggle_par_share "
+    "acquired_par_share na_cost_share price max_lender_weight mean_lender_weight"
+).split()
+_MONITOR_MEASURES = "pik_share V1_std V1_range V2_low_mark mark_vs_consensus mark_distance C2_lender_hhi C3_top_share log_borrower_par".split()
 
 
-def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _panel(spark, sf_dir)
-    panel = exposure.borrower_quarters(rows).join(exposure.lender_weights(rows), ["cal_q", "borrower"], "left")
-    return exposure.warning_flags(panel)
+def _round_sql(columns, digits: int = 6) -> str:
+    return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
+
+
+@query(f"""WITH {MONITOR_SQL}
+SELECT cik || '|' || borrower AS chain_id, cal_q, toggled AS is_distress_amendment, acquired AS pik_acquired, CAST(C1_families AS BIGINT) AS C1_families,
+  CAST(C4_d_families AS BIGINT) AS C4_d_families, {_round_sql(_MONITOR_MEASURES)} FROM monitor""")
+def monitor_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_monitor(spark, sf_dir).select("chain_id", "cal_q", "is_distress_amendment", "pik_acquired", "C1_families", "C4_d_families", *_MONITOR_MEASURES))
 
 
 @query(f"""WITH {PANEL_SQL}
-SELECT borrower, cal_q, n_families, n_ciks, round(PAR, 2) AS PAR, round(price, 6) AS price, round(pik_share, 6) AS pik_share, round(na_cost_share, 6) AS na_cost_share FROM panel""")
+SELECT borrower, cal_q, CAST(qsort AS INT) AS qsort, sector, multi_family, {_round_sql(("par", "fv", "cost", *_PANEL_MEASURES))} FROM panel""")
 def borrower_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exposure.borrower_quarters(_panel(spark, sf_dir))
-    return rounded(found.select("borrower", "cal_q", "n_families", "n_ciks", F.round("PAR", 2).alias("PAR"), "price", "pik_share", "na_cost_share"))
+    found = _panel(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in ("C1_families", "C4_d_families")})
+    return rounded(found.select("borrower", "cal_q", "qsort", "sector", "multi_family", "par", "fv", "cost", *_PANEL_MEASURES))
 
 
 @query(f"""WITH {PANEL_SQL}
-SELECT cal_q, borrower, round(max_weight, 6) AS max_weight, round(mean_weight, 6) AS mean_weight FROM lw""")
+SELECT cal_q, borrower, {_round_sql(("max_lender_weight", "mean_lender_weight"))} FROM lw""")
 def lender_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(exposure.lender_weights(_panel(spark, sf_dir)))
+    return rounded(exposure.lender_weights(_rows(spark, sf_dir)))
 
 
 @query(f"""WITH {PANEL_SQL}
-SELECT borrower, cal_q, {", ".join(SIGNS)}, distress FROM signs""")
+SELECT borrower, cal_q, size_group, {_round_sql(("crowding_upper_share", "disagreement_upper_share"))}, {", ".join(SIGNS)} FROM signs""")
 def warning_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flags(spark, sf_dir).select("borrower", "cal_q", *SIGNS, "distress")
+    return rounded(_flags(spark, sf_dir).select("borrower", "cal_q", "size_group", "crowding_upper_share", "disagreement_upper_share", *SIGNS))
 
 
 @query(f"""WITH {PANEL_SQL},
-long_ AS ({" UNION ALL ".join(f"SELECT '{s}' AS sign, cal_q, PAR, {s} AS on_ FROM signs" for s in SIGNS)})
-SELECT sign, cal_q, CAST(count(*) AS BIGINT) AS measured, CAST(sum(on_) AS BIGINT) AS flagged, round(avg(on_), 6) AS share_count, round(sum(on_ * PAR) / sum(PAR), 6) AS share_par
-FROM long_ WHERE on_ IS NOT NULL GROUP BY sign, cal_q""")
+long_ AS ({" UNION ALL ".join(f"SELECT '{s}' AS sign, cal_q, par, {s} AS on_ FROM signs" for s in SIGNS)})
+SELECT sign, cal_q, CAST(count(*) AS BIGINT) AS borrowers, CAST(sum(on_) AS BIGINT) AS flagged, round(sum(on_ * par), 2) AS par_flagged, round(sum(par), 2) AS par,
+  round(avg(on_), 6) AS share, round(sum(on_ * par) / sum(par), 6) AS par_share FROM long_ WHERE on_ IS NOT NULL GROUP BY sign, cal_q""")
 def warning_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(exposure.warning_tail(_flags(spark, sf_dir), SIGNS))
+    found = exposure.warning_tail(_flags(spark, sf_dir))
+    return rounded(found.withColumns({c: F.round(c, 2) for c in ("par", "par_flagged")}))
 
 
-@query(f"""WITH {PANEL_SQL}
-SELECT borrower, cal_q, CAST(greatest(1, ceil(round(5.0 * (row_number() OVER (PARTITION BY cal_q ORDER BY PAR, borrower) - 1)
-  / greatest(count(*) OVER (PARTITION BY cal_q) - 1, 1), 9))) AS INT) AS size_group FROM panel""")
+@query(f"""WITH {PANEL_SQL} SELECT borrower, cal_q, size_group FROM sized""")
 def size_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exposure.size_groups(exposure.borrower_quarters(_panel(spark, sf_dir))).select("borrower", "cal_q", "size_group")
+    return exposure.size_groups(_panel(spark, sf_dir)).select("borrower", "cal_q", "size_group")
 
 
 @query(f"""WITH {PANEL_SQL},
-p AS (SELECT cal_q, CASE WHEN n_families <= 3 THEN CAST(n_families AS VARCHAR) WHEN n_families <= 5 THEN '4-5' ELSE '6+' END AS bucket, count(*) AS n, sum(PAR) AS par FROM panel GROUP BY ALL)
-SELECT cal_q, bucket, CAST(n AS BIGINT) AS n_borrowers, round(par, 2) AS par, round(n / sum(n) OVER (PARTITION BY cal_q), 6) AS share_n, round(par / sum(par) OVER (PARTITION BY cal_q), 6) AS share_par FROM p""")
+p AS (SELECT cal_q, CASE WHEN C1_families <= 3 THEN CAST(C1_families AS VARCHAR) WHEN C1_families <= 5 THEN '4-5' ELSE '6+' END AS bucket, count(*) AS n, sum(par) AS par FROM panel
+  WHERE C1_families IS NOT NULL AND par > 0 GROUP BY ALL)
+SELECT cal_q, bucket, CAST(n AS BIGINT) AS borrowers, round(par, 2) AS par, CAST(sum(n) OVER (PARTITION BY cal_q) AS BIGINT) AS all_borrowers, round(sum(par) OVER (PARTITION BY cal_q), 2) AS all_par,
+  round(n / sum(n) OVER (PARTITION BY cal_q), 6) AS share_borrowers, round(par / sum(par) OVER (PARTITION BY cal_q), 6) AS share_par FROM p""")
 def crowding_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exposure.crowding_distribution(exposure.borrower_quarters(_panel(spark, sf_dir)))
-    return rounded(found.withColumn("par", F.round("par", 2)))
+    found = exposure.crowding_distribution(_panel(spark, sf_dir))
+    return rounded(found.withColumns({c: F.round(c, 2) for c in ("par", "all_par")}))
 
 
-@query(f"""WITH {PANEL_SQL},
-v AS (SELECT cal_q, price AS x, sum(PAR) AS w FROM panel WHERE price IS NOT NULL AND PAR > 0 GROUP BY ALL),
-c AS (SELECT *, sum(w) OVER (PARTITION BY cal_q ORDER BY x) / sum(w) OVER (PARTITION BY cal_q) AS share FROM v)
-SELECT cal_q, round(min(CASE WHEN share >= 0.5 - 1e-12 THEN x END), 6) AS p50, round(min(CASE WHEN share >= 0.9 - 1e-12 THEN x END), 6) AS p90,
-  round(min(CASE WHEN share >= 0.95 - 1e-12 THEN x END), 6) AS p95 FROM c GROUP BY cal_q""")
+def _quantiles_sql(x: str, table: str, points=(0.5, 0.9, 0.95), suffix: str = "") -> str:
+    """The least value at which the running share of par reaches each point, by quarter."""
+    least = ", ".join(f"round(min(CASE WHEN share >= {q} - 1e-12 THEN x END), 6) AS p{round(100 * q)}{suffix}" for q in points)
+    return (
+        f"SELECT cal_q, {least} FROM (SELECT *, sum(w) OVER (PARTITION BY cal_q ORDER BY x) / sum(w) OVER (PARTITION BY cal_q) AS share"
+        f" FROM (SELECT cal_q, {x} AS x, sum(par) AS w FROM {table} WHERE {x} IS NOT NULL AND par > 0 GROUP BY ALL)) GROUP BY cal_q"
+    )
+
+
+@query(f"WITH {PANEL_SQL} " + _quantiles_sql("price", "panel"))
 def weighted_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(exposure.weighted_quantiles(exposure.borrower_quarters(_panel(spark, sf_dir)), "price", "PAR", (0.5, 0.9, 0.95)))
+    return rounded(exposure.weighted_quantiles(_panel(spark, sf_dir), "price", "par", (0.5, 0.9, 0.95)))
+
+
+@query(f"""WITH {PANEL_SQL}, d AS ({_quantiles_sql("V1_range", "panel", suffix="_dollars")}),
+b AS (SELECT cal_q, CAST(count(*) AS BIGINT) AS borrowers, round(sum(par), 2) AS par, round(quantile_cont(V1_range, 0.5), 6) AS p50_borrowers, round(quantile_cont(V1_range, 0.9), 6) AS p90_borrowers,
+  round(quantile_cont(V1_range, 0.95), 6) AS p95_borrowers FROM panel WHERE V1_range IS NOT NULL AND par > 0 GROUP BY cal_q)
+SELECT b.*, p50_dollars, p90_dollars, p95_dollars FROM b JOIN d ON d.cal_q = b.cal_q""")
+def disagreement_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exposure.disagreement_percentiles(_panel(spark, sf_dir))
+    return rounded(found.withColumn("par", F.round("par", 2)))
 
 
 _EXPOSURE_SQL = f"""{PANEL_SQL},
+books AS (
+  SELECT cik, cal_q, sum(FV) AS portfolio_fv, max(bdc_type) AS bdc_type FROM rows_ WHERE FV > 0 GROUP BY ALL
+),
 e AS (
-  SELECT h.cik, h.cal_q, h.borrower, h.cost / book AS weight, book, n_borrowers, sign_low_mark, sign_high_pik, sign_heavy, sign_single
-  FROM held h JOIN books b ON b.cik = h.cik AND b.cal_q = h.cal_q AND n_borrowers >= 20
-  LEFT JOIN signs s ON s.cal_q = h.cal_q AND s.borrower = h.borrower
+  SELECT h.*, portfolio_fv, bdc_type, h.fv / portfolio_fv AS weight, {", ".join(f"coalesce(s.{x}, 0) AS {x}" for x in SIGNS)}
+  FROM (SELECT cik, cal_q, borrower, sum(FV) AS fv, sum(COST) AS cost FROM rows_ WHERE FV > 0 AND borrower IS NOT NULL GROUP BY ALL) h
+  JOIN books b ON b.cik = h.cik AND b.cal_q = h.cal_q LEFT JOIN signs s ON s.cal_q = h.cal_q AND s.borrower = h.borrower
 ),
 x AS (
-  SELECT cik, cal_q, CAST(max(n_borrowers) AS BIGINT) AS n_borrowers, sum(weight * weight) AS cost_hhi,
-    {", ".join(f"sum(CASE WHEN {s} = 1 THEN weight ELSE 0 END) AS exposure_{s}" for s in SIGNS)} FROM e GROUP BY cik, cal_q
+  SELECT cik, cal_q, CAST(count(*) AS BIGINT) AS n_borrowers, max(portfolio_fv) AS portfolio_fv, max(bdc_type) AS bdc_type, sum(cost * cost) / (sum(cost) * sum(cost)) AS concentration,
+    {", ".join(f"sum(weight * {s}) AS exposure_{s}" for s in SIGNS)}, coalesce(max(CASE WHEN distress = 1 THEN weight END), 0) AS top_flagged_weight,
+    max_by(borrower, weight) FILTER (WHERE distress = 1) AS top_flagged
+  FROM e GROUP BY cik, cal_q HAVING count(*) >= 5
 )"""
+_EXPOSURES = [f"exposure_{s}" for s in SIGNS]
+
+
+def _exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exposure.lender_exposure(_rows(spark, sf_dir), _flags(spark, sf_dir), least_borrowers=5)
 
 
 @query(f"""WITH {_EXPOSURE_SQL}
-SELECT cik, cal_q, n_borrowers, round(cost_hhi, 6) AS cost_hhi, round(1 / cost_hhi, 4) AS effective_n, {", ".join(f"round(exposure_{s}, 6) AS exposure_{s}" for s in SIGNS)} FROM x""")
+SELECT cik, cal_q, n_borrowers, bdc_type, top_flagged, round(portfolio_fv, 2) AS portfolio_fv, round(1 / concentration, 4) AS effective_n,
+  {_round_sql((*_EXPOSURES, "concentration", "top_flagged_weight"))} FROM x""")
 def lender_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exposure.lender_exposure(_panel(spark, sf_dir), _flags(spark, sf_dir), SIGNS)
-    found = found.withColumn("effective_n", F.round("effective_n", 4))
-    return rounded(found.select("cik", "cal_q", "n_borrowers", "cost_hhi", "effective_n", *[f"exposure_{s}" for s in SIGNS]))
+    found = _exposure(spark, sf_dir).withColumns({"effective_n": F.round("effective_n", 4), "portfolio_fv": F.round("portfolio_fv", 2)})
+    return rounded(found)
 
 
 @query(f"""WITH {_EXPOSURE_SQL}
-SELECT cal_q, CAST(count(*) AS BIGINT) AS n_lenders, round(quantile_cont(exposure_sign_low_mark, 0.5), 6) AS median_exposure,
-  CAST(sum(CAST(exposure_sign_low_mark > 0.2 AS INT)) AS BIGINT) AS n_over_20, round(avg(CAST(exposure_sign_low_mark > 0.2 AS INT)), 6) AS share_over_20,
-  CAST(sum(CAST(exposure_sign_low_mark > 0.05 AS INT)) AS BIGINT) AS n_over_5, round(avg(CAST(exposure_sign_low_mark > 0.05 AS INT)), 6) AS share_over_5
-FROM x GROUP BY cal_q""")
+SELECT cal_q, CAST(count(*) AS BIGINT) AS bdcs, round(quantile_cont(exposure_distress, 0.5), 6) AS median_exposure, CAST(sum(CAST(exposure_distress > 0.2 AS INT)) AS BIGINT) AS over_line,
+  round(avg(CAST(exposure_distress > 0.2 AS INT)), 6) AS share_over_line, CAST(sum(CAST(top_flagged_weight > 0.05 AS INT)) AS BIGINT) AS single_name_over,
+  round(avg(CAST(top_flagged_weight > 0.05 AS INT)), 6) AS share_single_name_over FROM x GROUP BY cal_q""")
 def exposure_by_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exposure.lender_exposure(_panel(spark, sf_dir), _flags(spark, sf_dir), SIGNS)
-    return rounded(exposure.exposure_by_quarter(found, "exposure_sign_low_mark"))
+    return rounded(exposure.exposure_by_quarter(_exposure(spark, sf_dir)))
 
 
 @query("""SELECT l_orderkey AS row_a, l_linenumber AS row_b, round(CASE WHEN x BETWEEN 0.02 AND 0.5 THEN x
@@ -399,11 +527,11 @@ def rescale_to_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STATUS_SQL = f"""{PANEL_SQL},
-ls AS (SELECT borrower, qsort, cik, max(non_accrual) AS status, sum(FV) AS fv FROM rows_ GROUP BY ALL)"""
+ls AS (SELECT borrower, qsort, cik, max(non_accrual) AS status, sum(FV) AS fv FROM rows_ WHERE borrower IS NOT NULL GROUP BY ALL)"""
 
 
 def _lenders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return credit.lender_status(_panel(spark, sf_dir))
+    return credit.lender_status(_rows(spark, sf_dir).where("borrower is not null"))
 
 
 @query(f"""WITH {STATUS_SQL},
@@ -444,7 +572,7 @@ JOIN lv p ON p.borrower = a.borrower AND p.qsort BETWEEN a.qsort - 4 AND a.qsort
 GROUP BY a.borrower, a.qsort""")
 def rolling_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = Window.partitionBy("borrower").orderBy("qsort")
-    panel = exposure.borrower_quarters(_panel(spark, sf_dir)).select("borrower", "qsort", "price")
+    panel = _panel(spark, sf_dir).select("borrower", "qsort", "price")
     follows = F.lag("qsort").over(before) == F.col("qsort") - 1
     changes = panel.withColumn("d_price", F.when(follows, F.col("price") - F.lag("price").over(before)))
     return rounded(credit.rolling_max_drawdown(changes))
@@ -456,7 +584,7 @@ pl AS (SELECT *, row_number() OVER (PARTITION BY qsort ORDER BY pred DESC, borro
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = exposure.borrower_quarters(_panel(spark, sf_dir)).where("price is not null and na_cost_share is not null")
+    panel = _panel(spark, sf_dir).where("price is not null and na_cost_share is not null")
     return panel.select(
         "borrower", "qsort", F.round(10 * (1 - F.col("price")), 9).alias("pred"), (F.col("na_cost_share") > 0.5).cast("int").alias("y")
     )
