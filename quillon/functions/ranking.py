@@ -27,16 +27,16 @@ def order_bucket(x: Column) -> Column:
 def _placed(df: DataFrame, value: str, by: tuple[str, ...], prefix: str, weight: str | None) -> DataFrame:
     """Each different value of a group with its rank: ``(*by, value, {prefix}below, {prefix}ties, {prefix}n)``."""
     amount = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_x")).agg(amount.alias("_c"))
-    counts = counts.withColumn("_b", order_bucket(F.col("_x").cast("double")))
-    inside = Window.partitionBy(*by, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    under = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_t"))
-    whole = F.sum("_t").over(Window.partitionBy(*by))
-    buckets = buckets.select(*by, "_b", F.coalesce(F.sum("_t").over(under), F.lit(0)).alias("_low"), whole.alias("_n"))
-    placed = counts.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(buckets, [*by, "_b"])
-    below = (F.col("_low") + F.col("_in")).alias(f"{prefix}below")
-    return placed.select(*by, F.col("_x").alias(value), below, F.col("_c").alias(f"{prefix}ties"), F.col("_n").alias(f"{prefix}n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(amount.alias("_count"))
+    counts = counts.withColumn("_bucket", order_bucket(F.col("_value").cast("double")))
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    under = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = counts.groupBy(*by, "_bucket").agg(F.sum("_count").alias("_total"))
+    whole = F.sum("_total").over(Window.partitionBy(*by))
+    buckets = buckets.select(*by, "_bucket", F.coalesce(F.sum("_total").over(under), F.lit(0)).alias("_low"), whole.alias("_n"))
+    placed = counts.withColumn("_inside", F.coalesce(F.sum("_count").over(inside), F.lit(0))).join(buckets, [*by, "_bucket"])
+    below = (F.col("_low") + F.col("_inside")).alias(f"{prefix}below")
+    return placed.select(*by, F.col("_value").alias(value), below, F.col("_count").alias(f"{prefix}ties"), F.col("_n").alias(f"{prefix}n"))
 
 
 def ranks(df: DataFrame, value: str, by: tuple[str, ...], prefix: str = "_", weight: str | None = None) -> DataFrame:
