@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.lineage import cut
+from quillon.operators import credit_events as events
 from quillon.operators import credit_status as credit
-from quillon.operators import crowding, evaluation, exposure, rates
+from quillon.operators import crowding, evaluation, exposure, features, rates
 from quillon.operators import position_index as index
 from quillon.functions.semantics import weighted_mean
 
@@ -279,11 +281,13 @@ def _loans(rows: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in ("FV", "COST", "PAR")],
         *[F.sum(F.when(F.col("price_ok"), F.col(c)).otherwise(0.0)).alias(f"{c}_px") for c in ("FV", "PAR")],
         *[weighted_mean(F.col(c), par).alias(c) for c in ("PIK_Final", "IR_Final")],
-        F.max("non_accrual").alias("non_accrual"),
-        F.max("sector").alias("sector"),
+        *[F.max(c).alias(c) for c in ("non_accrual", "sector", "maturity", "spread")],
     )
     ids = {"chain_id": F.concat_ws("|", "cik", "borrower"), "xb_id": F.concat_ws("|", "cal_q", "borrower"), "xb_tier": F.lit(1), "borrower_key": F.col("borrower")}
-    return out.withColumns(ids).drop("borrower")
+    out = out.withColumns(ids).drop("borrower")
+    linked = F.lag("qsort").over(Window.partitionBy("chain_id").orderBy("qsort")).isNotNull()
+    price = F.when(F.col("PAR_px") > 0, F.col("FV_px") / F.col("PAR_px"))
+    return out.withColumns({"lien_group": F.lit("1L"), "link_rule": linked.cast("int"), "price": price})
 
 
 def _monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,7 +326,7 @@ rows_ AS (
 tr AS (
   SELECT cik, family, borrower, cal_q, qsort, sum(FV) AS FV, sum(COST) AS COST, sum(PAR) AS PAR, sum(CASE WHEN price_ok THEN FV ELSE 0 END) AS FV_px,
     sum(CASE WHEN price_ok THEN PAR ELSE 0 END) AS PAR_px, sum(PIK_Final * PAR) / sum(PAR) AS PIK_Final, sum(IR_Final * PAR) / sum(PAR) AS IR_Final,
-    max(non_accrual) AS non_accrual, max(sector) AS sector
+    max(non_accrual) AS non_accrual, max(sector) AS sector, max(maturity) AS maturity, max(spread) AS spread
   FROM rows_ WHERE borrower IS NOT NULL GROUP BY ALL
 ),
 s0 AS (SELECT *, CASE WHEN IR_Final IS NULL OR IR_Final = 0 THEN 0 ELSE least(greatest(coalesce(PIK_Final, 0) / IR_Final, 0), 1) END AS pik_share FROM tr),
@@ -557,6 +561,145 @@ def status_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credit.status_intervals(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "signup", "error", "event_id")
 
 
+LOANS_SQL = f"""{MONITOR_SQL},
+loans AS (
+  SELECT cik || '|' || borrower AS chain_id, cik, borrower, qsort, toggled, PIK_Final, IR_Final, PAR, COST, FV, maturity, spread, non_accrual,
+    lag(qsort) OVER w IS NOT NULL AS linked, lag(PIK_Final) OVER w AS PIK_p, lag(IR_Final) OVER w AS IR_p, lag(PAR) OVER w AS PAR_p, lag(COST) OVER w AS COST_p, lag(FV) OVER w AS FV_p,
+    lag(maturity) OVER w AS maturity_p, lag(spread) OVER w AS spread_p, CASE WHEN coalesce(FV_px / nullif(PAR_px, 0), FV / COST) <= 1.5 THEN coalesce(FV_px / nullif(PAR_px, 0), FV / COST) END AS mark
+  FROM monitor WINDOW w AS (PARTITION BY cik, borrower ORDER BY qsort)
+)"""
+
+
+def _changes_sql(pik: str, step: float, days: int, share: float) -> str:
+    kinds = {
+        "pik": pik,
+        "spread": f"spread - spread_p >= {step} - 1e-9 AND IR_Final - IR_p >= spread - spread_p - 0.0075",
+        "maturity": f"maturity - maturity_p >= {days}",
+        "write_down": f"COST_p - COST >= {share} * PAR_p AND PAR >= 0.98 * PAR_p AND COST_p - FV_p >= {share} * PAR_p",
+    }
+    return "SELECT chain_id, cik, borrower, qsort, linked, " + ", ".join(f"CAST(linked AND coalesce({v}, false) AS INT) AS {k}" for k, v in kinds.items()) + " FROM loans"
+
+
+CHANGED_SQL = f"""{LOANS_SQL},
+changes AS ({_changes_sql("toggled", 0.0050, 90, 0.05)})"""
+EXITS_SQL = f"""{CHANGED_SQL},
+debt AS (SELECT DISTINCT borrower, qsort, cik FROM rows_ WHERE borrower IS NOT NULL),
+eq AS (SELECT DISTINCT borrower, qsort, cik FROM rows_ WHERE borrower IS NOT NULL AND NOT price_ok),
+new_eq AS (SELECT * FROM eq e WHERE NOT EXISTS (FROM eq o WHERE o.borrower = e.borrower AND o.cik = e.cik AND o.qsort = e.qsort - 1) AND EXISTS (FROM eq o WHERE o.cik = e.cik AND o.qsort = e.qsort - 1)),
+ends AS (SELECT * FROM (SELECT *, max(qsort) OVER (PARTITION BY chain_id) AS last_, max(qsort) OVER () AS end_ FROM loans) WHERE qsort = last_ AND qsort < end_),
+facts AS (
+  SELECT x.*, qsort + 1 AS exit_q, EXISTS (FROM debt d WHERE d.cik = x.cik AND d.qsort = x.qsort + 1) AS filed,
+    EXISTS (FROM rows_ r WHERE r.borrower = x.borrower AND r.cik = x.cik AND r.qsort = x.qsort + 1 AND r.non_accrual = 1) AS na_next,
+    EXISTS (FROM new_eq n WHERE n.borrower = x.borrower AND n.cik = x.cik AND n.qsort = x.qsort + 1) AS swapped,
+    EXISTS (FROM loans n WHERE n.borrower = x.borrower AND n.cik = x.cik AND n.qsort = x.qsort + 1 AND NOT n.linked) AS again,
+    EXISTS (FROM debt d WHERE d.borrower = x.borrower AND d.cik <> x.cik AND d.qsort = x.qsort + 1) AS other,
+    EXISTS (FROM loans n WHERE n.borrower = x.borrower AND n.cik <> x.cik AND n.qsort = x.qsort + 1 AND NOT n.linked) AS other_new
+  FROM ends x
+),
+reasons AS (
+  SELECT chain_id, cik, borrower, qsort, exit_q, mark, CAST(swapped AS INT) AS equity, CASE WHEN coalesce(non_accrual = 1, false) OR na_next THEN 'non-accrual' WHEN mark <= 0.8 THEN 'marked well below par'
+    WHEN swapped THEN 'replaced by equity' WHEN again AND filed THEN 'new tranche, same BDC' WHEN other AND other_new THEN 'another BDC, new loan that quarter' WHEN other THEN 'another BDC, already lending'
+    WHEN mark >= 0.95 AND filed THEN 'last mark near par' WHEN filed THEN 'neither near nor well below par, or no mark' ELSE 'BDC did not file next quarter' END AS exit_reason FROM facts
+),
+exits AS (
+  SELECT *, CASE WHEN exit_reason IN ('non-accrual', 'marked well below par', 'replaced by equity') THEN 'impaired' WHEN exit_reason LIKE '%BDC,%' OR exit_reason LIKE '%, same BDC' THEN 'refinanced'
+    WHEN exit_reason = 'last mark near par' THEN 'repaid' ELSE 'unresolved' END AS exit_class FROM reasons
+),
+ev0 AS (SELECT borrower, qsort, pik, spread, maturity, 0 AS equity, write_down FROM changes UNION ALL SELECT borrower, exit_q, 0, 0, 0, 1, 0 FROM exits WHERE equity = 1),
+ev AS (SELECT borrower, qsort, max(pik) AS pik, max(spread) AS spread, max(maturity) AS maturity, max(equity) AS equity, max(write_down) AS write_down,
+  max(greatest(pik, spread, maturity, equity, write_down)) AS restructured, max(greatest(pik, equity, write_down)) AS concession FROM ev0 GROUP BY ALL)"""
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    loans = crowding.pik_transitions(_loans(rows), keys=("cik", "chain_id"))
+    return events.loans(loans.withColumn("borrower", F.col("borrower_key")))
+
+
+def _exits(spark: SparkSession, sf_dir: str, linked: DataFrame, cutoffs: events.Cutoffs = events.PRIMARY) -> DataFrame:
+    rows = _rows(spark, sf_dir).where("borrower is not null").withColumn("cik", F.col("cik").cast("long"))
+    equity = rows.where("not price_ok").select("borrower", "qsort", "cik").distinct()
+    return events.loan_exits(linked, rows.select("borrower", "qsort", "cik"), credit.lender_status(rows), equity, cutoffs)
+
+
+@query(f"WITH {CHANGED_SQL} SELECT chain_id, qsort, linked, pik, spread, maturity, write_down FROM changes")
+def term_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.term_changes(_linked(spark, sf_dir)).drop("cik", "borrower")
+
+
+@query(f"WITH {LOANS_SQL}, changes AS ({_changes_sql('coalesce(PIK_Final, 0) >= 0.0025 AND coalesce(PIK_p, 0) < 0.0025', 0.0100, 365, 0.10)}) SELECT chain_id, qsort, linked, pik, spread, maturity, write_down FROM changes")
+def term_changes_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.term_changes(_linked(spark, sf_dir), events.SECOND).drop("cik", "borrower")
+
+
+@query(f"WITH {EXITS_SQL} SELECT chain_id, CAST(exit_q AS INT) AS exit_q, round(mark, 6) AS mark, exit_class, exit_reason, equity FROM exits")
+def loan_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_exits(spark, sf_dir, cut(_linked(spark, sf_dir))).drop("cik", "borrower", "qsort"))
+
+
+@query(f"WITH {EXITS_SQL} SELECT borrower, CAST(qsort AS INT) AS qsort, pik, spread, maturity, equity, write_down, restructured, concession FROM ev")
+def borrower_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = cut(_linked(spark, sf_dir))
+    return events.borrower_events(events.term_changes(linked), _exits(spark, sf_dir, linked))
+
+
+@query(f"""WITH {EXITS_SQL}
+SELECT exit_class, exit_reason, CAST(count(*) AS BIGINT) AS loans, round(count(*) / (SELECT count(*) FROM exits), 6) AS share FROM exits GROUP BY ROLLUP (exit_class, exit_reason)""")
+def exit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cut(_exits(spark, sf_dir, cut(_linked(spark, sf_dir))))
+    counted = events.exit_counts(found, found.limit(0), 10**6)
+    return rounded(counted.select("exit_class", "exit_reason", F.col("loans_primary").alias("loans"), F.col("share_primary").alias("share")))
+
+
+@query(f"""WITH {EXITS_SQL},
+b AS (SELECT borrower, qsort, CAST(max(non_accrual) AS INT) AS na_status FROM rows_ WHERE borrower IS NOT NULL GROUP BY ALL),
+lined AS (SELECT coalesce(b.borrower, ev.borrower) AS borrower, coalesce(b.qsort, ev.qsort) AS qsort, na_status, b.borrower IS NOT NULL AS held, concession, restructured
+  FROM b FULL JOIN ev ON ev.borrower = b.borrower AND ev.qsort = b.qsort),
+w AS (
+  SELECT *, max(CASE WHEN na_status = 1 THEN 1 ELSE 0 END) OVER w = 1 AS flagged, max(concession) OVER w = 1 AS conceded, max(restructured) OVER w = 1 AS changed, count(CASE WHEN na_status = 0 THEN 1 END) OVER w AS clean,
+    count(CASE WHEN held THEN 1 END) OVER w AS n_held, min(CASE WHEN na_status = 1 OR concession = 1 THEN qsort END) OVER w AS event_q, qsort + 2 <= (SELECT max(qsort) FROM b) AS whole
+  FROM lined WINDOW w AS (PARTITION BY borrower ORDER BY qsort RANGE BETWEEN 1 FOLLOWING AND 2 FOLLOWING)
+),
+v AS (SELECT *, coalesce(flagged, false) AS f, coalesce(flagged, false) OR coalesce(conceded, false) AS e, coalesce(flagged, false) OR coalesce(changed, false) AS a, na_status = 0 AND whole AS risk FROM w WHERE held)
+SELECT borrower, CAST(qsort AS INT) AS qsort, na_status, CAST(event_q AS INT) AS event_q, CASE WHEN risk THEN CASE WHEN e THEN 1 WHEN clean = 2 THEN 0 END END AS y_event,
+  CASE WHEN risk THEN CASE WHEN f THEN 1 WHEN clean = 2 THEN 0 END END AS y_na, CASE WHEN risk THEN CASE WHEN a THEN 1 WHEN clean = 2 THEN 0 END END AS y_all_terms, whole AND NOT e AND n_held < 2 AS exited FROM v""")
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = cut(_linked(spark, sf_dir))
+    exits = cut(_exits(spark, sf_dir, linked))
+    lenders = _lenders(spark, sf_dir)
+    happened = events.borrower_events(events.term_changes(linked), exits)
+    status = credit.borrower_status(lenders)
+    found = events.add_targets(status.select("borrower", "qsort"), status, credit.same_lender_entries(lenders), happened, exits)
+    return found.select("borrower", "qsort", "na_status", "event_q", "y_event", "y_na", "y_all_terms", "exited")
+
+
+@query(f"""WITH {MONITOR_SQL},
+marks AS (SELECT *, CASE WHEN PAR_px > 0 AND FV_px / PAR_px <= 1.5 THEN FV_px / PAR_px END AS mark FROM monitor),
+lagged AS (
+  SELECT *, lag(qsort) OVER w AS q_was, lag(mark) OVER w AS mark_was, lag(PAR_px) OVER w AS par_px_was, lag(PAR) OVER w AS par_was, lag(pik_share) OVER w AS share_was, lag(FV) OVER w AS fv_was, lag(COST) OVER w AS cost_was
+  FROM marks WINDOW w AS (PARTITION BY cik, borrower ORDER BY qsort)
+),
+c AS (
+  SELECT borrower, qsort, sum(par_px_was * (mark - mark_was)) / nullif(sum(CASE WHEN mark - mark_was IS NOT NULL THEN par_px_was END), 0) AS d_price,
+    sum(FV - fv_was - (COST - cost_was)) AS gain, sum(fv_was + greatest(COST - cost_was, 0)) AS base, 100 * sum(par_was * (pik_share - share_was)) / sum(par_was) AS d_pik_pp
+  FROM lagged WHERE qsort - q_was = 1 GROUP BY ALL
+),
+b AS (
+  SELECT borrower, qsort, CASE WHEN sum(PAR_px) > 0 AND sum(FV_px) / sum(PAR_px) <= 1.5 THEN sum(FV_px) / sum(PAR_px) END AS price, sum(PAR_px) / sum(PAR) AS priced_share,
+    count(DISTINCT family) AS crowding, {_mean_sql("V1_range")} AS dispersion, CASE WHEN max(seasoned) THEN max(CAST(toggled AS INT)) END AS pik_switch
+  FROM monitor GROUP BY ALL
+)
+SELECT b.borrower, CAST(b.qsort AS INT) AS qsort, pik_switch, {_round_sql(("price", "priced_share", "crowding", "dispersion", "d_price", "d_pik_pp"))},
+  CASE WHEN base > 0 AND gain IS NOT NULL THEN round(least(greatest(gain / base, -1), 1), 6) END AS val_ret, round(price - median(price) OVER (PARTITION BY b.qsort), 6) AS price_rel,
+  round(d_price - median(d_price) OVER (PARTITION BY b.qsort), 6) AS d_price_adj
+FROM b LEFT JOIN c ON c.borrower = b.borrower AND c.qsort = b.qsort""")
+def borrower_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir).withColumn("instrument_seniority", F.lit("UNITRANCHE"))
+    found = features.build_features(_monitor(spark, sf_dir), rows)
+    names = ("pik_switch", "price", "priced_share", "crowding", "dispersion", "d_price", "d_pik_pp", "val_ret", "price_rel", "d_price_adj")
+    return rounded(found.select("borrower", "qsort", *names))
+
+
 CHANGES_SQL = f"""{PANEL_SQL},
 ch AS (SELECT borrower, qsort, CASE WHEN lag(qsort) OVER w = qsort - 1 THEN price - lag(price) OVER w END AS d_price FROM panel WINDOW w AS (PARTITION BY borrower ORDER BY qsort))"""
 

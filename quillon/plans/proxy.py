@@ -43,6 +43,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 0).alias("non_accrual"),
             (discount / 2).alias("spread"),
             (F.col("l_quantity") > 5).alias("price_ok"),
+            F.date_add(F.lit("2000-01-01").cast("date"), (F.col("l_partkey") % 2000).cast("int")).alias("maturity"),
             F.element_at(F.array(F.lit("public"), F.lit("private"), F.lit(None)), F.col("l_suppkey").cast("int") % 3 + 1).alias("bdc_type"),
         )
     )
@@ -59,7 +60,7 @@ pos AS (
     CASE WHEN l_returnflag = 'R' THEN l_discount END AS rate_pik,
     CASE WHEN l_linestatus = 'F' THEN l_tax + l_discount END AS interest_rate,
     CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN 0 END AS non_accrual,
-    l_discount / 2 AS spread, l_quantity > 5 AS price_ok, CASE l_suppkey % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'private' END AS bdc_type
+    l_discount / 2 AS spread, l_quantity > 5 AS price_ok, DATE '2000-01-01' + CAST(l_partkey % 2000 AS INT) AS maturity, CASE l_suppkey % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'private' END AS bdc_type
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
 ),
 rated AS (
