@@ -762,3 +762,80 @@ t AS (SELECT *, sum(pos) OVER w / sum(n) OVER w AS precision_ FROM g WINDOW w AS
 SELECT qsort, round(sum(pos * precision_) / nullif(sum(pos), 0), 6) AS average_precision FROM t GROUP BY qsort""")
 def score_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.average_precision(_scores(spark, sf_dir)))
+
+
+def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reported rates with gaps, from the sales table: every mix of missing fields occurs."""
+    k, part = F.col("l_orderkey"), F.col("l_partkey")
+    discount, tax = F.col("l_discount"), F.col("l_tax")
+    line = table(spark, sf_dir, "lineitem")
+    return line.select(
+        F.col("l_orderkey").alias("row_a"),
+        F.col("l_linenumber").alias("row_b"),
+        F.when(k % 3 != 0, F.when(k % 5 == 0, discount).otherwise(discount + tax)).alias("rate"),
+        F.when(k % 4 != 1, discount).alias("spread"),
+        F.when(part % 3 == 0, tax / 2).alias("pik"),
+        F.when(part % 4 == 1, tax + F.when(k % 7 == 0, 0.03).otherwise(0.0)).alias("pic"),
+        F.when(k % 9 != 0, F.lit(0.051) - F.when(part % 10 == 0, 0.06).otherwise(0.0)).alias("base"),
+        F.when(part % 6 == 0, F.lit(0.06)).when(part % 6 == 1, F.lit(0.01)).alias("floor"),
+        F.when(part % 5 == 0, F.lit(True)).when(part % 5 < 3, F.lit(False)).alias("is_fixed"),
+        (part % 8 == 0).alias("is_prime"),
+        F.when(part % 2 == 0, "USD").otherwise("EUR").alias("currency"),
+    )
+
+
+_PARTS = "(coalesce(pic, 0) + coalesce(pik, 0))"
+_ESTIMATE = (
+    "(CASE WHEN coalesce(floor < spread, false) AND coalesce(floor > base, false) THEN floor + spread"
+    " WHEN NOT coalesce(floor < spread, false) AND coalesce(floor > base + spread, false) THEN floor ELSE base + spread END)"
+)
+#: The rules in SQL: tag, condition, what is written, and whether the reported rate was another field.
+_RATE_RULES = [
+    ("fixed_spread_is_rate", "is_fixed AND rate IS NULL AND pic IS NULL AND pik IS NULL AND spread IS NOT NULL", {"rate": "spread", "spread": "NULL"}, True),
+    ("rate_is_spread_floating", "NOT is_fixed AND NOT is_zero AND abs(rate - spread) <= 1e-6 AND base IS NOT NULL", {"rate": _ESTIMATE, "estimated": "true"}, True),
+    ("rate_is_spread_untagged", "is_fixed IS NULL AND NOT is_zero AND abs(rate - spread) <= 1e-6 AND rate > 0.02 AND rate <= 0.09 AND base IS NOT NULL", {"rate": _ESTIMATE, "estimated": "true"}, True),
+    ("clear_spread_untagged_coupon", "is_fixed IS NULL AND NOT is_zero AND abs(rate - spread) <= 1e-6 AND rate > 0.09", {"spread": "NULL"}, False),
+    ("spread_is_allin_rate", f"NOT is_zero AND rate IS NULL AND (pic IS NOT NULL OR pik IS NOT NULL) AND abs(spread - {_PARTS}) <= 1e-6", {"rate": "spread", "spread": "NULL"}, True),
+    ("rate_is_spread", f"NOT is_zero AND rate < pic - 1e-6 AND {_PARTS} <= 0.5", {"spread": "coalesce(spread, CASE WHEN rate > 0 THEN rate END)", "rate": _PARTS}, True),
+    ("pic_is_spread", "NOT is_zero AND spread IS NULL AND pik IS NULL AND abs(rate - pic - base) <= 0.005", {"spread": "pic", "pic": "rate"}, False),
+    ("rate_is_spread_components_exceed", f"NOT is_zero AND pic IS NOT NULL AND pik IS NOT NULL AND spread IS NULL AND {_PARTS} > rate + 1e-6", {"spread": "rate", "rate": _PARTS}, True),
+    ("rate_is_cash_component", "NOT is_zero AND pic IS NULL AND pik > rate + 1e-6 AND rate + pik <= 0.5", {"pic": "rate", "rate": "rate + pik"}, True),
+    ("rate_below_spread_replaced", "NOT is_zero AND pic IS NULL AND pik IS NULL AND rate < spread - 1e-6 AND base IS NOT NULL", {"rate": _ESTIMATE, "estimated": "true"}, False),
+    ("rate_from_base_plus_spread_plus_pik", "NOT is_zero AND rate IS NULL AND pic IS NULL AND pik > spread + 1e-6 AND pik < base - 1e-6", {"rate": f"{_ESTIMATE} + pik", "pic": _ESTIMATE, "estimated": "true"}, False),
+    ("rate_from_components", f"NOT is_zero AND rate IS NULL AND (pic IS NOT NULL OR pik IS NOT NULL) AND (spread IS NULL OR {_PARTS} > spread + 1e-6) AND {_PARTS} <= 0.5", {"rate": _PARTS}, False),
+    ("rate_from_base_plus_spread", "NOT is_zero AND rate IS NULL AND spread IS NOT NULL AND base IS NOT NULL", {"rate": _ESTIMATE, "estimated": "true"}, False),
+    ("rate_is_cash_part_of_base_plus_spread", f"NOT is_zero AND pic IS NULL AND pik > 0 AND abs(rate + pik - {_ESTIMATE}) <= 0.005 AND NOT abs(rate - {_ESTIMATE}) <= 0.005", {"pic": "rate", "rate": "rate + pik"}, True),
+    ("pic_from_rate_minus_pik", "NOT is_zero AND pic IS NULL AND pik <= rate + 1e-6", {"pic": "greatest(rate - pik, 0)"}, False),
+    ("pic_from_rate_minus_pik_reconcile", f"NOT is_zero AND pic IS NOT NULL AND pik IS NOT NULL AND NOT abs({_PARTS} - rate) <= 1e-6 AND pik <= rate + 1e-6", {"pic": "rate - pik"}, False),
+]
+
+
+def _rules_sql() -> str:
+    steps, before = [], "q2"
+    for i, (tag, hit, writes, moves) in enumerate(_RATE_RULES):
+        new = dict(writes) | {"tags": f"CASE WHEN tags = '' THEN '{tag}' ELSE tags || '|{tag}' END"} | ({"moved": "true"} if moves else {})
+        changed = ", ".join(f"CASE WHEN coalesce({hit}, false) THEN {v} ELSE {c} END AS {c}" for c, v in new.items())
+        steps.append(f"s{i} AS MATERIALIZED (SELECT * REPLACE ({changed}) FROM {before})")
+        before = f"s{i}"
+    return ",\n".join(steps)
+
+
+@query(f"""WITH q0 AS (
+  SELECT l_orderkey AS row_a, l_linenumber AS row_b, CASE WHEN l_orderkey % 3 <> 0 THEN CASE WHEN l_orderkey % 5 = 0 THEN l_discount ELSE l_discount + l_tax END END AS rate,
+    CASE WHEN l_orderkey % 4 <> 1 THEN l_discount END AS spread, CASE WHEN l_partkey % 3 = 0 THEN l_tax / 2 END AS pik,
+    CASE WHEN l_partkey % 4 = 1 THEN l_tax + CASE WHEN l_orderkey % 7 = 0 THEN 0.03::DOUBLE ELSE 0 END END AS pic,
+    CASE WHEN l_orderkey % 9 <> 0 THEN 0.051::DOUBLE - CASE WHEN l_partkey % 10 = 0 THEN 0.06::DOUBLE ELSE 0 END END AS base,
+    CASE l_partkey % 6 WHEN 0 THEN 0.06::DOUBLE WHEN 1 THEN 0.01::DOUBLE END AS floor, CASE WHEN l_partkey % 5 = 0 THEN true WHEN l_partkey % 5 < 3 THEN false END AS is_fixed,
+    l_partkey % 8 = 0 AS is_prime, CASE WHEN l_partkey % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency FROM lineitem
+),
+q1 AS (
+  SELECT * REPLACE (CASE WHEN base IS NOT NULL AND NOT coalesce(is_fixed, false) THEN greatest(base, 0) + CASE WHEN is_prime AND currency = 'USD' THEN 0.032::DOUBLE ELSE 0 END END AS base),
+    concat_ws(', ', CASE WHEN spread IS NOT NULL THEN 'spread' END, CASE WHEN rate IS NOT NULL THEN 'rate' END, CASE WHEN pik IS NOT NULL THEN 'pik' END, CASE WHEN pic IS NOT NULL THEN 'pic' END) AS reported FROM q0
+),
+q2 AS (SELECT *, coalesce(rate = 0, false) AND {_PARTS} = 0 AS is_zero, false AS estimated, false AS moved, '' AS tags, rate AS rate_was FROM q1 WHERE reported <> ''),
+{_rules_sql()}
+SELECT row_a, row_b, reported, tags, round(rate, 8) AS rate, round(spread, 8) AS spread, round(pic, 8) AS pic, round(pik, 8) AS pik, CASE WHEN rate IS NULL THEN 'none' WHEN is_zero THEN 'zero' WHEN estimated THEN 'estimated'
+  WHEN rate_was IS NOT NULL AND NOT moved THEN 'reported' ELSE 'derived' END AS rate_source, coalesce(abs(rate - {_PARTS}) <= 1e-6, false) AS check_components FROM s15""")
+def resolved_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rates.resolve_rates(_quoted(spark, sf_dir))
+    return rounded(found.select("row_a", "row_b", "reported", "tags", "rate", "spread", "pic", "pik", "rate_source", "check_components"), 8)
