@@ -14,7 +14,7 @@ LEAST_PIK, LEAST_RISE = 0.0025, 0.10
 MOST_PRICE = 1.2
 
 
-def borrower_crowding(rows: DataFrame, borrower: str = "borrower", lag_quarters: int = 4) -> DataFrame:
+def borrower_crowding(rows: DataFrame, borrower: str = "borrower", lag_quarters: int = 4, percentiles: bool = True) -> DataFrame:
     """Per quarter and borrower: families, lenders, par concentration, change of families over a year, percentiles.
 
     Two aggregates (family, then borrower) replace a window over rows.  A
@@ -36,7 +36,7 @@ def borrower_crowding(rows: DataFrame, borrower: str = "borrower", lag_quarters:
     change = F.when(F.col("q") - lag_quarters >= F.col("first_q"), F.col("n_families") - F.coalesce("n_before", F.lit(0)))
     out = out.withColumn("d_families_4q", change).drop("n_before", "first_q")
     ranked = {"C1_pct": "n_families", "C2_pct": "lender_hhi", "C3_pct": "top_share", "C4_pct": "d_families_4q"}
-    return percent_ranks(out.drop("q"), ranked, "cal_q")
+    return percent_ranks(out.drop("q"), ranked, "cal_q") if percentiles else out.drop("q")
 
 
 def family_prices(tranches: DataFrame, most_price: float = MOST_PRICE, least_families: int = 1) -> DataFrame:
@@ -55,7 +55,7 @@ def family_prices(tranches: DataFrame, most_price: float = MOST_PRICE, least_fam
     return out.withColumn("price", F.try_divide("FV", "PAR")).where(F.col("price") <= most_price)
 
 
-def tranche_dispersion(tranches: DataFrame, least_families: int = 2, most_tier: int = 3, most_price: float = MOST_PRICE) -> DataFrame:
+def tranche_dispersion(tranches: DataFrame, least_families: int = 2, most_tier: int = 3, most_price: float = MOST_PRICE, percentiles: bool = True) -> DataFrame:
     """Per quarter and loan held by several families: consensus (median), spread of prices, low mark, percentiles."""
     prices = family_prices(tranches, most_price, least_families)
     out = prices.groupBy("cal_q", "xb_id").agg(
@@ -72,15 +72,16 @@ def tranche_dispersion(tranches: DataFrame, least_families: int = 2, most_tier:
     )
     out = out.where((F.col("n_families") >= least_families) & ~F.col("unplaced") & (F.col("tier") <= most_tier)).drop("unplaced")
     out = out.withColumns({"V1_range": F.col("p_max") - F.col("p_min"), "V2_low_mark": F.col("p_min") - F.col("V4_consensus")})
-    return percent_ranks(out, {"V1_pct": "V1_std", "V2_pct": "V2_low_mark", "V4_pct": "V4_consensus"}, "cal_q")
+    return percent_ranks(out, {"V1_pct": "V1_std", "V2_pct": "V2_low_mark", "V4_pct": "V4_consensus"}, "cal_q") if percentiles else out
 
 
-def family_marks(tranches: DataFrame, least_families: int = 2, most_tier: int = 2) -> DataFrame:
+def family_marks(tranches: DataFrame, least_families: int = 2, most_tier: int = 2, percentiles: bool = True) -> DataFrame:
     """Each family's price less the consensus of its co-lenders, its distance and the distance's percentile."""
-    consensus = tranche_dispersion(tranches, least_families, most_tier).select("cal_q", "xb_id", "V4_consensus")
+    consensus = tranche_dispersion(tranches, least_families, most_tier, percentiles=False).select("cal_q", "xb_id", "V4_consensus")
     out = family_prices(tranches, least_families=least_families).join(consensus, ["cal_q", "xb_id"])
     out = out.withColumn("mark_vs_consensus", F.col("price") - F.col("V4_consensus"))
-    return percent_ranks(out.withColumn("mark_distance", F.abs("mark_vs_consensus")), {"distance_pct": "mark_distance"}, "cal_q")
+    out = out.withColumn("mark_distance", F.abs("mark_vs_consensus"))
+    return percent_ranks(out, {"distance_pct": "mark_distance"}, "cal_q") if percentiles else out
 
 
 def pik_transitions(
@@ -89,6 +90,7 @@ def pik_transitions(
     least_pik: float = LEAST_PIK,
     least_rise: float = LEAST_RISE,
     origination: str = "pik_at_origination",
+    percentiles: bool = True,
 ) -> DataFrame:
     """Along each loan: in-kind share, its state against the previous observation, toggles, and whether in-kind pay was acquired."""
     w = Window.partitionBy(*keys).orderBy("qsort")
@@ -122,4 +124,4 @@ def pik_transitions(
         {"delta_pik": nz(F.col("PIK_Final")) - nz(F.col("PIK_prev")), "pik_transition_state": state, "is_distress_amendment": toggled}
     )
     out = out.withColumn("pik_acquired", now & (cash_first | F.max("is_distress_amendment").over(upto)))
-    return percent_ranks(out, {"P1_pct": "pik_share"}, "cal_q", over_all=True)
+    return percent_ranks(out, {"P1_pct": "pik_share"}, "cal_q", over_all=True) if percentiles else out

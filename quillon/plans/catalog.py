@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.lineage import cut
 from quillon.operators import credit_events as events
 from quillon.operators import credit_status as credit
-from quillon.operators import crowding, evaluation, exposure, features, rates
+from quillon.operators import crowding, evaluation, exposure, features, model, rates, tranches
 from quillon.operators import position_index as index
 from quillon.functions.semantics import weighted_mean
 
@@ -16,6 +16,8 @@ from .proxy import POSITIONS_SQL, positions, table
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Greedy matching and an iterative fit have no SQL form; their tests compare them with cases and computations by hand.
+WITHOUT_SQL = ("tranche_panel", "logit_coefficients")
 FLAGSHIP = "position_index"
 
 
@@ -612,7 +614,7 @@ ev AS (SELECT borrower, qsort, max(pik) AS pik, max(spread) AS spread, max(matur
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
-    loans = crowding.pik_transitions(_loans(rows), keys=("cik", "chain_id"))
+    loans = crowding.pik_transitions(_loans(rows), keys=("cik", "chain_id"), percentiles=False)
     return events.loans(loans.withColumn("borrower", F.col("borrower_key")))
 
 
@@ -839,3 +841,35 @@ SELECT row_a, row_b, reported, tags, round(rate, 8) AS rate, round(spread, 8) AS
 def resolved_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rates.resolve_rates(_quoted(spark, sf_dir))
     return rounded(found.select("row_a", "row_b", "reported", "tags", "rate", "spread", "pic", "pik", "rate_source", "check_components"), 8)
+
+
+_SENIORITIES = ("SENIOR_SECURED_1L", "UNITRANCHE", "SENIOR_SECURED_2L", "SUBORDINATED_MEZZ", "SENIOR_SECURED_UNSPEC", None)
+
+
+def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sales table in the shape of filed schedules: few lenders (nations, of a region each), seniorities, terms with gaps."""
+    rows = _rows(spark, sf_dir)
+    seniority = F.element_at(F.array(*[F.lit(x) for x in _SENIORITIES]), (F.crc32(F.substring_index("lien", " ", 1)) % 6 + 1).cast("int"))
+    return rows.withColumns(
+        {
+            "cik": F.col("family").cast("long"),
+            "family": (F.col("family") % 5).cast("string"),
+            "instrument_seniority": seniority,
+            "investment_identifier": F.concat_ws(" ", "lien", F.lit("loan")),
+            "maturity": F.when(F.col("row_a") % 4 != 0, F.trunc("maturity", "year")),
+            "spread": F.when(F.col("row_a") % 3 != 0, F.round("spread", 2)),
+        }
+    )
+
+
+@query()
+def tranche_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("tranche", "chain_id", "link_rule", "q_gap", "xb_id", "xb_tier", "n_source_rows", "price", "pik_at_origination", "origination_censored")
+    return rounded(tranches.tranche_panel(_filings(spark, sf_dir)).select(*names))
+
+
+@query()
+def logit_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = _panel(spark, sf_dir).where("price is not null and na_cost_share is not null and pik_share is not null")
+    frame = panel.select("borrower", "qsort", "price", "pik_share", (F.col("na_cost_share") > 0.5).cast("int").alias("y"))
+    return rounded(model.coefficient_table(frame, ["price", "pik_share"]))
