@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.lineage import cut
 from quillon.functions.quarters import qsort
 from quillon.functions.ranking import percent_ranks
 from quillon.functions.semantics import clip, nz, safe_div, truthy
@@ -29,7 +30,7 @@ def borrower_crowding(rows: DataFrame, borrower: str = "borrower", lag_quarters:
         (F.max("par") / F.sum("par")).alias("top_share"),
         F.sum("par").alias("total_par"),
     )
-    out = out.withColumns({"log_par": F.ln("total_par"), "q": qsort(F.col("cal_q"))})
+    out = cut(out.withColumns({"log_par": F.ln("total_par"), "q": qsort(F.col("cal_q"))}))  # a row per borrower and quarter, read three times
     start = out.agg(F.min("q").alias("first_q"))
     before = out.select("borrower", (F.col("q") + lag_quarters).alias("q"), F.col("n_families").alias("n_before"))
     out = out.join(before, ["borrower", "q"], "left").crossJoin(F.broadcast(start))  # one row
@@ -75,9 +76,10 @@ def tranche_dispersion(tranches: DataFrame, least_families: int = 2, most_tier:
     return percent_ranks(out, {"V1_pct": "V1_std", "V2_pct": "V2_low_mark", "V4_pct": "V4_consensus"}, "cal_q") if percentiles else out
 
 
-def family_marks(tranches: DataFrame, least_families: int = 2, most_tier: int = 2, percentiles: bool = True) -> DataFrame:
+def family_marks(tranches: DataFrame, least_families: int = 2, most_tier: int = 2, percentiles: bool = True, dispersion: DataFrame | None = None) -> DataFrame:
     """Each family's price less the consensus of its co-lenders, its distance and the distance's percentile."""
-    consensus = tranche_dispersion(tranches, least_families, most_tier, percentiles=False).select("cal_q", "xb_id", "V4_consensus")
+    dispersion = tranche_dispersion(tranches, least_families, most_tier, percentiles=False) if dispersion is None else dispersion
+    consensus = dispersion.select("cal_q", "xb_id", "V4_consensus")
     out = family_prices(tranches, least_families=least_families).join(consensus, ["cal_q", "xb_id"])
     out = out.withColumn("mark_vs_consensus", F.col("price") - F.col("V4_consensus"))
     out = out.withColumn("mark_distance", F.abs("mark_vs_consensus"))

@@ -33,8 +33,9 @@ def monitor_panel(tranches: DataFrame, rows: DataFrame) -> DataFrame:
     """
     tranches = cut(tranches)
     out = pik_transitions(tranches, keys=("cik", "chain_id"), percentiles=False).select(*tranches.columns, "pik_share", "is_distress_amendment", "pik_acquired")
-    dispersion = tranche_dispersion(tranches, 2, 2, percentiles=False).select("cal_q", "xb_id", "V1_std", "V1_range", "V2_low_mark")
-    marks = family_marks(tranches, percentiles=False).select("cal_q", "xb_id", "family", "mark_vs_consensus", "mark_distance")
+    dispersion = cut(tranche_dispersion(tranches, 2, 2, percentiles=False))
+    marks = family_marks(tranches, percentiles=False, dispersion=dispersion).select("cal_q", "xb_id", "family", "mark_vs_consensus", "mark_distance")
+    dispersion = dispersion.select("cal_q", "xb_id", "V1_std", "V1_range", "V2_low_mark")
     crowd = borrower_crowding(rows, percentiles=False).select("cal_q", "borrower", *[F.col(a).alias(b) for a, b in CROWDING.items()])
     out = out.join(dispersion, ["cal_q", "xb_id"], "left").join(marks, ["cal_q", "xb_id", "family"], "left")
     return out.withColumn("borrower", borrower_name(F.col("borrower_key"))).join(crowd, ["cal_q", "borrower"], "left")

@@ -270,9 +270,10 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All investments; a borrower is a brand and the first word of a type, an unnamed one in the smallest brand."""
     rows = index.final_rates(positions(spark, sf_dir))
     name = F.concat_ws(" ", "borrower", F.substring_index("lien", " ", 1))
-    return rows.withColumn("borrower_canonical", F.when(F.col("borrower") != "Brand#11", name)).withColumns(
+    rows = rows.withColumn("borrower_canonical", F.when(F.col("borrower") != "Brand#11", name)).withColumns(
         {"sector": F.substring_index("lien", " ", -1), "borrower": exposure.borrower_name(F.col("borrower_canonical"))}
     )
+    return cut(rows.drop("rate_cash", "rate_pik", "interest_rate"))  # read many times by what follows
 
 
 def _loans(rows: DataFrame) -> DataFrame:
@@ -292,20 +293,21 @@ def _loans(rows: DataFrame) -> DataFrame:
     return out.withColumns({"lien_group": F.lit("1L"), "link_rule": linked.cast("int"), "price": price})
 
 
-def _monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir)
+def _monitor(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = _rows(spark, sf_dir) if rows is None else rows
     return exposure.monitor_panel(_loans(rows), rows)
 
 
-def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exposure.borrower_quarters(_monitor(spark, sf_dir), _rows(spark, sf_dir))
+def _panel(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = _rows(spark, sf_dir) if rows is None else rows
+    return exposure.borrower_quarters(_monitor(spark, sf_dir, rows), rows)
 
 
 HISTORY_FROM = "1993Q2"
 
 
-def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exposure.warning_flags(_panel(spark, sf_dir), HISTORY_FROM)
+def _flags(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    return exposure.warning_flags(_panel(spark, sf_dir, rows), HISTORY_FROM)
 
 
 def _upper_sql(column: str, group: str) -> str:
@@ -499,7 +501,8 @@ _EXPOSURES = [f"exposure_{s}" for s in SIGNS]
 
 
 def _exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exposure.lender_exposure(_rows(spark, sf_dir), _flags(spark, sf_dir), least_borrowers=5)
+    rows = _rows(spark, sf_dir)
+    return exposure.lender_exposure(rows, _flags(spark, sf_dir, rows), least_borrowers=5)
 
 
 @query(f"""WITH {_EXPOSURE_SQL}
@@ -697,7 +700,7 @@ SELECT b.borrower, CAST(b.qsort AS INT) AS qsort, pik_switch, {_round_sql(("pric
 FROM b LEFT JOIN c ON c.borrower = b.borrower AND c.qsort = b.qsort""")
 def borrower_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir).withColumn("instrument_seniority", F.lit("UNITRANCHE"))
-    found = features.build_features(_monitor(spark, sf_dir), rows)
+    found = features.build_features(_monitor(spark, sf_dir, rows), rows)
     names = ("pik_switch", "price", "priced_share", "crowding", "dispersion", "d_price", "d_pik_pp", "val_ret", "price_rel", "d_price_adj")
     return rounded(found.select("borrower", "qsort", *names))
 
