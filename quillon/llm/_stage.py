@@ -43,7 +43,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession):
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of the jobs run inside go when these end."""
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -59,14 +60,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex[:12]}"
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
-    _LEFT.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    keep_until_release(spark, path)
     return out
 
 
+def keep_until_release(spark: SparkSession, path: str) -> None:
+    """Let ``release`` remove this folder."""
+    _LEFT.setdefault(spark.sparkContext.applicationId, set()).add(path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -15,6 +15,7 @@ from .quality_rules import quality_rules
 from .secret_scan import secret_scan, span_text
 from .source_mixing import mix_sources, word_count
 from .substring_dedup import substring_dedup
+from .token_files import token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +87,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -97,5 +102,6 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_secret_scan": op10_secret_scan,
+    "op12_token_files": op12_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}
