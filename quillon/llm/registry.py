@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .html_extraction import extract_articles
 from .nearest_neighbours import nearest_neighbours
 from .ngram_jaccard_join import ngram_jaccard_join
+from .oracle import PREFIX_TRIE
 from .packing import pack
 from .pii import pseudonymize
+from .prefix_trie import digest_trie, shared_starts, turn_digests
 from .quality_classifier import fit_quality_model, score_quality
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan, span_text
@@ -87,6 +89,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digests = turn_digests(_table(spark, sf_dir, "conversations"))
+    return digest_trie(shared_starts(digests), digests.select("conv_id"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"))
 
@@ -102,6 +109,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_secret_scan": op10_secret_scan,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_token_files": op12_token_files,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": PREFIX_TRIE}
