@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._stage import small_batches, staged, worker_state
+from ._units import BYTE_SIGNS
 from ._words import Texts, Words
 
 
@@ -29,10 +30,6 @@ RUN_BYTES = 1 << 20
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+|\n")
 #: Words that split and lower-case like this: printable ASCII, and Latin-1 letters.
 PLAIN = re.compile(r"[!-~\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-#: The signs that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from 256 on.
-_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_REST = [b for b in range(256) if b not in _PRINTABLE]
-BYTE_SIGNS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(_REST)}
 
 
 class Pieces(dict):

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._stage import keep_until_release, shared_dir, shuffles_removed, small_batches, worker_state
-from ._units import WIDE_SPACE, Units, UnitTable
-from ._words import Texts
+from ._units import WIDE_SPACE, ByteLevel, Units, UnitTable
+from ._words import Texts, ranges
 from .packing import vocabulary_path
 
 #: Texts are tokenized in runs of about this many bytes, so that units repeat within one.
@@ -27,32 +27,37 @@ READ_ROWS = 8192
 
 
 class UnitIds(UnitTable):
-    """The ids of each different unit by a byte-level vocabulary, as little-endian integers."""
+    """The ids of each different unit by a byte-level vocabulary."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokens = ByteLevel(path, special=True)
         #: Ids have 2 bytes where the vocabulary allows it, else 4.
-        self.wide = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.wide = 2 if len(self.tokens.sizes) <= 1 << 16 else 4
         #: Special tokens within a text keep their own ids, so such texts are one unit.
-        self.odd = re.compile(b"|".join([WIDE_SPACE, *special]))
+        self.odd = re.compile(b"|".join([WIDE_SPACE, *map(re.escape, self.tokens.special)]))
         super().__init__()
 
     def clear(self) -> None:
         super().clear()
-        self.ids: list[bytes] = []
+        self.ids, self.counts = np.zeros(0, dtype=f"<u{self.wide}"), np.zeros(0, dtype=np.int64)
 
-    def add(self, units: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([u.decode(errors="replace") for u in units], add_special_tokens=False)
-        self.ids += [np.array(e.ids, dtype=f"<u{self.wide}").tobytes() for e in found]
+    def add(self, units: list[bytes], whole: np.ndarray) -> None:
+        ids, counts = self.tokens.encode(units, whole)
+        self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
+        self.counts = np.concatenate([self.counts, counts])
+        self.starts = np.cumsum(self.counts) - self.counts
 
-    def of(self, texts: Texts, a: int, b: int, end: bytes) -> list[bytes]:
+    def of(self, texts: Texts, a: int, b: int, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts ``a .. b`` end to end, each text's followed by ``end_id``, and how many each has."""
         units = Units(texts, a, b, self.odd)
-        every = list(map(self.ids.__getitem__, self.numbers(units).tolist())) if len(units.starts) else []
-        bounds = units.bounds.tolist()
-        return [b"".join(every[s:e]) + end for s, e in zip(bounds, bounds[1:], strict=False)]
+        number = self.numbers(units)
+        each = self.counts[number]
+        counts = np.bincount(units.owner, weights=each, minlength=b - a).astype(np.int64) + 1
+        out = np.full(int(counts.sum()), end_id, dtype=self.ids.dtype)
+        if len(number):
+            at = np.cumsum(each) - each + units.owner  # a text before adds one end
+            out[ranges(at, each)] = self.ids[ranges(self.starts[number], each)]
+        return out, counts
 
 
 def mounted(folder: str) -> Path:
@@ -73,11 +78,11 @@ class _Part:
         self.files["offsets"].write(bytes(8))
         self.docs = self.nulls = self.tokens = 0
 
-    def write(self, doc_ids: pa.Array, counts: np.ndarray, ids: list[bytes]) -> None:
-        self.files["ids"].write(b"".join(ids))
+    def write(self, doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> None:
+        self.files["ids"].write(ids.tobytes())
         self.files["offsets"].write((self.tokens + np.cumsum(counts)).astype("<i8").tobytes())
         self.files["docs"].write(doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-        self.docs += len(ids)
+        self.docs += len(counts)
         self.nulls += doc_ids.null_count
         self.tokens += int(counts.sum())
 
@@ -104,8 +109,7 @@ def _write(path: str, folder: str, end_id: int):
         kept = worker_state()
         if (tokens := kept.get(("ids", path))) is None:
             tokens = kept["ids", path] = UnitIds(path)
-        end, number = end_id.to_bytes(tokens.wide, "little"), TaskContext.get().partitionId()
-        part = None
+        number, part = TaskContext.get().partitionId(), None
         try:
             for batch in batches:
                 if not len(batch):
@@ -113,8 +117,8 @@ def _write(path: str, folder: str, end_id: int):
                 part = part or _Part(folder, number)
                 texts = Texts(batch.column("text"))
                 for a, b in texts.runs(RUN_BYTES):
-                    ids = tokens.of(texts, a, b, end)
-                    part.write(batch.column("doc_id").slice(a, b - a), np.array([len(i) // tokens.wide for i in ids], dtype=np.int64), ids)
+                    ids, counts = tokens.of(texts, a, b, end_id)
+                    part.write(batch.column("doc_id").slice(a, b - a), counts, ids)
             if part:
                 part.publish()
                 row = ([number], [tokens.wide], [part.docs], [part.nulls], [part.tokens])

@@ -100,7 +100,7 @@ def test_a_task_that_runs_again_leaves_the_same_files(spark, docs_of, tmp_path):
 
     first, again, failed = (_Part(str(tmp_path), 3) for _ in range(3))
     for part in (first, again, failed):
-        part.write(pa.array([1, None], pa.int64()), np.array([2, 1]), [b"\x01\x00\x00\x00", b"\x00\x00"])
+        part.write(pa.array([1, None], pa.int64()), np.array([2, 1]), np.array([1, 0, 0], dtype="<u2"))
     first.publish()
     again.publish()
     failed.abandon()
@@ -108,6 +108,22 @@ def test_a_task_that_runs_again_leaves_the_same_files(spark, docs_of, tmp_path):
     assert np.fromfile(tmp_path / "part-000003.offsets", dtype="<i8").tolist() == [0, 2, 3]
 
 
+def test_tables_that_start_anew(monkeypatch, docs_of, words, encode):
+    from quillon.llm import token_files as module
+
+    monkeypatch.setattr(module.UnitIds, "limit", 20)
+    monkeypatch.setattr(module, "RUN_BYTES", 300)
+    rows = [(i, " ".join(words(40, seed=i)) + HARD[i % len(HARD)]) for i in range(12)]
+    assert got(token_files(docs_of(rows))) == brute(rows, encode)
+
+
+def test_other_vocabularies_are_refused():
+    from quillon.llm.token_files import UnitIds
+
+    with pytest.raises(ValueError, match="rules"):
+        UnitIds(vocabulary_path("word_bpe_49k.json"))
+
+
 def test_release_removes_the_files(spark, docs_of):
     found = token_files(docs_of([(1, "one")]))
     assert found.count() == 1
