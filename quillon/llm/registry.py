@@ -17,6 +17,7 @@ from .quality_rules import quality_rules
 from .secret_scan import secret_scan, span_text
 from .source_mixing import mix_sources, word_count
 from .substring_dedup import substring_dedup
+from .token_alignment import align_tokens
 from .token_files import token_files
 
 
@@ -98,6 +99,10 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -111,5 +116,6 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_token_files": op12_token_files,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": PREFIX_TRIE}
