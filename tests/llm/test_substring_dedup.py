@@ -111,6 +111,28 @@ def test_two_texts_under_one_id(docs_of, words):
     assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 70, 0), (1, 80, 0), (2, 71, 70), (3, 81, 80)]
 
 
+def test_a_span_from_two_texts_of_one_source(docs_of, words):
+    """Windows of one passage that stand in different texts under one doc_id."""
+    w = words(100, seed=5)
+    first, second = w[:60] + words(20, seed=6), words(20, seed=7) + w[48:]
+    got = substring_dedup(docs_of([(1, " ".join(first)), (1, " ".join(second)), (2, " ".join(w)), (3, " ".join(w + first))])).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 72, 0), (1, 80, 0), (2, 100, 100), (3, 180, 180)]
+
+
+def test_blocks_that_differ_from_their_source_stay():
+    """A long span counts block by block; the rest of it still counts."""
+    from quillon.llm.substring_dedup import BLOCK_WORDS, _blocks, _confirmed
+
+    own = [str(i).encode() for i in range(5 * BLOCK_WORDS)]
+    other = list(own)
+    other[BLOCK_WORDS + 3] = b"different"
+    cut = {"start": 0, "end": len(own), "source_doc": 1, "source_start": 7}
+    assert _confirmed(cut | {"digests": _blocks(own)}, own, 13) == [{"start": 0, "end": len(own), "source_doc": 1, "source_start": 7}]
+    parts = _confirmed(cut | {"digests": _blocks(other)}, own, 13)
+    assert [(p["start"], p["end"], p["source_start"]) for p in parts] == [(0, BLOCK_WORDS, 7), (2 * BLOCK_WORDS, len(own), 7 + 2 * BLOCK_WORDS)]
+    assert [(p["start"], p["end"]) for p in _confirmed(cut | {"digests": None}, own, 13)] == [(0, len(own))]
+
+
 def test_clashing_columns(docs_of, words):
     docs = docs_of([(1, " ".join(words(20))), (2, " ".join(words(20)))]).selectExpr("*", "1 AS edge", "2 AS version", "3 AS spans")
     assert sorted(r.n_removed for r in substring_dedup(docs).collect()) == [0, 20]
