@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,9 +17,26 @@ ROUNDS = 8
 
 # Kinds in their order and their patterns; the first kind that takes a place keeps it.
 KINDS = ("email", "iban", "card", "ssn", "phone", "date", "ip")
+# The length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> re.Pattern:
+    """By country its number of signs, grouped by fours or not: what follows an IBAN is never part of it."""
+    each = []
+    for n, countries in IBAN_LENGTHS.items():
+        rest = rf"(?:\x20?[A-Z0-9]{{{n % 4}}})" if n % 4 else ""
+        each.append(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}{rest}")
+    return re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(each)})(?![A-Za-z0-9])")
+
+
 PATTERNS = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])"),
-    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "iban": _iban_pattern(),
     "card": re.compile(
         r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])"
     ),
@@ -31,6 +48,8 @@ PATTERNS = {
     "date": re.compile(r"(?<![0-9/.-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9]|[/.-][0-9])"),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"),
 }
+#: Kinds that the digits of a telephone number with a country code are not.
+NOT_IN_PHONES = ("card", "ssn")
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 DATE_FORMATS = ("%Y{0}%m{0}%d", "%d{0}%m{0}%Y", "%m{0}%d{0}%Y")
 # Country calling codes of one and of two digits; all others have three.
@@ -110,7 +129,7 @@ def valid(kind: str, text: str) -> bool:
         return luhn_sum(digits) % 10 == 0 and len(set(digits)) > 1
     if kind == "iban":
         plain = text.replace(" ", "")
-        return 15 <= len(plain) <= 34 and iban_rest(plain) == 1
+        return iban_rest(plain) == 1
     if kind == "ssn":
         return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
     if kind == "phone":
@@ -153,8 +172,11 @@ class Pseudonyms:
     def of(self, kind: str, text: str) -> str:
         """The pseudonym: the first of the value's successors that reads as a value of the same kind and form.
 
-        Walking on until then keeps the map one to one among such values.
+        Walking on until then keeps the map one to one among such values.  A
+        telephone number of other digits is one in any form, so it is not walked on.
         """
+        if kind == "phone":
+            return self._next(kind, text)
         form, new = _form(kind, text), self._next(kind, text)
         while new != text and not (_form(kind, new) == form and find(new) == [(KINDS.index(kind), 0, len(new))]):
             new = self._next(kind, new)
@@ -203,6 +225,8 @@ class Pseudonyms:
 def find(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of each valid value in order; where kinds overlap the first of KINDS stands."""
     taken: list[tuple[int, int, int]] = []
+    phones = [m.span() for m in PATTERNS["phone"].finditer(text) if m[0][0] == "+" and valid("phone", m[0])] if "+" in text else []
+    phone_ends = [end for _, end in phones]
     for k, kind in enumerate(KINDS):
         if kind == "email" and "@" not in text:
             continue
@@ -210,6 +234,8 @@ def find(text: str) -> list[tuple[int, int, int]]:
         fresh = []
         for m in PATTERNS[kind].finditer(text):
             before = bisect_left(starts, m.end())
+            if phones and kind in NOT_IN_PHONES and (at := bisect_right(phone_ends, m.start())) < len(phones) and phones[at][0] < m.end():
+                continue
             if valid(kind, m[0]) and (before == 0 or ends[before - 1] <= m.start()):
                 fresh.append((k, m.start(), m.end()))
         if fresh:
@@ -226,7 +252,10 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     of its form: check digits stay right, dates stay dates, a value has one
     pseudonym in all documents, and the key's owner can go back.  A telephone
     number's country code stays, and its other digits have one pseudonym however
-    they are grouped.  Dates move as days, so one day's forms agree, but for
+    they are grouped; digits of a number with a country code are of no other kind.  The
+    same line written with and without its country code has two pseudonyms, and
+    national numbers that begin with 0 or lack separators are not found.  An
+    IBAN's country gives its length; countries without IBANs have none.  Dates move as days, so one day's forms agree, but for
     month-first dates that would read day first: these move on until they do not.
     Numbers that fail validation are left alone.
 

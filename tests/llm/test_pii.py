@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import re
 import time
 
@@ -124,3 +125,61 @@ def test_edges(docs_of):
     assert sorted((r.doc_id or 0, r.text or "") for r in rows if r.doc_id != 8) == sorted((i or 0, t or "") for i, t in EDGES)
     assert [r.n_private for r in rows if r.doc_id == 8] == [1]
     assert pseudonymize(docs_of([]), KEY).count() == 0
+
+
+# The published structures of some IBANs: n digits, a capitals, c either.
+STRUCTURES = {
+    "BE": "12n", "ES": "20n", "AT": "16n", "PL": "24n", "SE": "20n", "DE": "18n", "FR": "10n11c2n", "GB": "4a14n", "NO": "11n", "MT": "4a5n18c",
+    "NL": "4a10n", "IT": "1a10n12c", "CH": "5n12c", "PT": "21n", "LC": "4a24c", "DK": "14n", "FI": "14n", "IE": "4a14n", "SA": "2n18c", "TR": "22n",
+}
+
+
+def make_iban(country, rng):
+    body = "".join(
+        rng.choice({"n": "0123456789", "a": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "c": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"}[kind])
+        for n, kind in re.findall("([0-9]+)([nac])", STRUCTURES[country])
+        for _ in range(int(n))
+    )
+    rest = 0
+    for c in body + country + "00":  # remainder of the number, sign by sign
+        rest = (rest * (10 if c.isdigit() else 100) + int(c, 36)) % 97
+    return f"{country}{98 - rest:02d}{body}"
+
+
+@pytest.mark.parametrize("country", STRUCTURES)
+def test_ibans_of_each_country_before_any_text(country):
+    rng = random.Random(country)
+    for after in (" IN EUR", " OR", " AND", " 2024", " 12 times", ".", ",\n", " a", " AB12 CD34", ""):
+        plain = make_iban(country, rng)
+        for written in (plain, re.sub("(.{4})(?=.)", r"\1 ", plain)):
+            text = f"Pay {written}{after}"
+            found = find(text)
+            assert (KINDS.index("iban"), 4, 4 + len(written)) in found and len(found) == 1, text
+            new = Pseudonyms(KEY).of("iban", written)
+            assert new[:2] == country and [x == " " for x in new] == [x == " " for x in written]
+            n = new.replace(" ", "")
+            rest = int("".join(str(int(c, 36)) for c in n[4:] + n[:4])) % 97
+            assert rest == 1 and n == Pseudonyms(KEY).of("iban", plain)
+
+
+@pytest.mark.parametrize("text", ["BE68 5390 0754 7034", "BE68539007547034", "ES91 2100 0418 4502 0005 1332", "SE45 5000 0000 0583 9825 7466", "BE51 2222 2222 2222"])
+def test_published_ibans(text):
+    assert [(KINDS[k], s, e) for k, s, e in find(f"Pay {text} IN EUR")] == [("iban", 4, 4 + len(text))]
+
+
+def test_ungrouped_and_grouped_numbers_are_linked():
+    """2,000 numbers with a country code and 11 more digits: no other kind, one pseudonym in each form."""
+    rng = random.Random(4)
+    own = Pseudonyms(KEY)
+    seen = set()
+    for _ in range(2000):
+        d = "".join(rng.choice("0123456789") for _ in range(11))
+        forms = [f"+49{d}", f"+49 {d[:3]} {d[3:7]} {d[7:]}", f"+49-{d[:4]}-{d[4:7]}-{d[7:]}", f"+49 {d[:3]} {d[3:5]} {d[5:7]} {d[7:9]} {d[9:]}"]
+        assert all([(KINDS[k], s, e) for k, s, e in find(f"call {f} NOW")] == [("phone", 5, 5 + len(f))] for f in forms)
+        new = {re.sub("[^0-9+]", "", own.of("phone", f)) for f in forms}
+        assert len(new) == 1 and new.pop() not in seen
+        seen |= new
+
+
+def test_cards_behind_a_sign_that_is_no_country_code():
+    assert [KINDS[k] for k, _, _ in find("+4111111111111111 and +1 4111 1111 1111 1111")] == ["card", "card"]
