@@ -172,11 +172,12 @@ def _keep(k: int):
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("text").alias("version"),
-        F.col("text").cast("binary").alias("text"),
-    )
+    """``doc_id, version, text``; versions, 64-bit hashes of the texts, tell rows of one doc_id apart and are 0 where it stands once."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    counts = plain.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    several = staged(counts.where("rows > 1").select("doc_id", F.lit(True).alias("several")), "several")
+    version = F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0))
+    return plain.join(several, "doc_id", "left").select("doc_id", version.alias("version"), "text")
 
 
 def repeated_edges(docs: DataFrame, k: int = 13, anchor_words: int = 6) -> DataFrame:
@@ -185,7 +186,7 @@ def repeated_edges(docs: DataFrame, k: int = 13, anchor_words: int = 6) -> DataF
     Rows ``(doc_id, version, pos, source_doc, source_version, source_pos)``:
     ``pos`` is the window's first word, ``source_doc`` the least document that
     holds it and ``source_pos`` its first place in the text ``source_version``
-    there.  Versions, 64-bit hashes, tell apart different texts under one doc_id.
+    there.  Versions tell apart different texts under one doc_id.
 
     A k-mer is an edge of the de Bruijn graph, and its source coordinates name
     it.  First each window is reduced to its anchor, the least hash of its runs
