@@ -211,9 +211,13 @@ def repeated_edges(docs: DataFrame, k: int = 13, anchor_words: int = 6) -> DataF
     edges = (
         places.where("first")
         .groupBy("edge", "check")
-        .agg(F.min(F.struct("doc_id", "version", "pos")).alias("source"), F.max("doc_id").alias("hi"))
-        .where("source.doc_id < hi")
-        .selectExpr("edge", "check", "source.doc_id AS source_doc", "source.version AS source_version", "source.pos AS source_pos")
+        .agg(
+            F.min("doc_id").alias("source_doc"),
+            F.max("doc_id").alias("hi"),
+            *[F.min_by(c, "doc_id").alias(f"source_{c}") for c in ("version", "pos")],  # of the same row: both are kept by the same comparisons
+        )
+        .where("source_doc < hi")
+        .drop("hi")
     )
     edges = staged(edges, "sources")
     found = places.drop("first").join(edges, ["edge", "check"]).where("source_doc < doc_id").drop("edge", "check")
