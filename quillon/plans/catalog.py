@@ -12,32 +12,15 @@ from quillon.operators import crowding, evaluation, exposure, features, model, r
 from quillon.operators import position_index as index
 from quillon.functions.semantics import weighted_mean
 
+from . import filings  # noqa: F401  registers its queries
 from .proxy import POSITIONS_SQL, positions, table
+from .registry import ORACLE_SQL, QUERIES, query, rounded
 
-QUERIES = {}
-ORACLE_SQL: dict[str, str] = {}
 #: Greedy matching and an iterative fit have no SQL form; their tests compare them with cases and computations by hand.
 WITHOUT_SQL = ("tranche_panel", "logit_coefficients")
 FLAGSHIP = "position_index"
 
 
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def add(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE_SQL[function.__name__] = sql
-        return function
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of a sum does not show."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.add_position_key(index.final_rates(positions(spark, sf_dir)))
 
