@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: By application: paths of the tables that ``cut`` has left.
 _LEFT: dict[str, set[str]] = {}
+#: By application: tables that ``kept`` has written, by what they are made of.
+_KEPT: dict[str, dict[tuple, DataFrame]] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,8 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` gives, cut once a session for each ``key`` (what it is made of), until ``release``."""
+    tables = _KEPT.setdefault(spark.sparkContext.applicationId, {})
+    if key not in tables:
+        tables[key] = cut(build())
+    return tables[key]
+
+
 def release(spark: SparkSession) -> None:
     """Remove every table this application has cut; call it when results that read them are written."""
+    _KEPT.pop(spark.sparkContext.applicationId, None)
     left = _LEFT.pop(spark.sparkContext.applicationId, set())
     for name in left:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)

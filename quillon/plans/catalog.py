@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.lineage import cut
+from quillon.functions.lineage import cut, kept
 from quillon.operators import credit_events as events
 from quillon.operators import credit_status as credit
 from quillon.operators import crowding, evaluation, exposure, features, model, rates, tranches
@@ -190,6 +190,13 @@ def crowding_hhi(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _percent_sql(column: str, total: str | None = None) -> str:
+    """The average-tie rank of a known value in percent of its quarter's known values, or of all its rows."""
+    total = total or f"count({column}) OVER (PARTITION BY cal_q)"
+    rank = f"rank() OVER (PARTITION BY cal_q ORDER BY {column} NULLS LAST) - 1 + (count(*) OVER (PARTITION BY cal_q, {column}) + 1) / 2"
+    return f"CASE WHEN {column} IS NOT NULL THEN round(100 * ({rank}) / {total}, 4) END"
+
+
 def _tranches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = positions(spark, sf_dir)
     return rows.select("cal_q", F.concat_ws("|", "cal_q", "borrower", "lien").alias("xb_id"), "family", "cik", "FV", "PAR", F.lit(1).alias("xb_tier"))
@@ -242,21 +249,29 @@ t AS (SELECT *, (NOT starts AND now_ AND (NOT before_ OR risen)) AS is_distress_
 SELECT cik, position_key, cal_q, round(pik_share, 6) AS pik_share,
   CASE WHEN starts AND now_ THEN 'contractual_pik' WHEN starts THEN 'stable_cash' WHEN is_distress_amendment THEN 'distress_amendment_pik'
     WHEN before_ AND NOT now_ THEN 'cured_pik' WHEN NOT now_ THEN 'stable_cash' ELSE 'seasoned_pik_continuation' END AS pik_transition_state,
-  is_distress_amendment, (now_ AND max(is_distress_amendment) OVER (PARTITION BY cik, position_key ORDER BY qsort)) AS pik_acquired
+  is_distress_amendment, (now_ AND max(is_distress_amendment) OVER (PARTITION BY cik, position_key ORDER BY qsort)) AS pik_acquired,
+  round(coalesce(PIK_Final, 0) - coalesce(PIK_prev, 0), 6) AS delta_pik, {_percent_sql("pik_share", "count(*) OVER (PARTITION BY cal_q)")} AS P1_pct
 FROM t""")
 def pik_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = crowding.pik_transitions(_aggregated(spark, sf_dir), keys=("cik", "position_key"))
-    return rounded(found.select("cik", "position_key", "cal_q", "pik_share", "pik_transition_state", "is_distress_amendment", "pik_acquired"))
+    return rounded(found.select("cik", "position_key", "cal_q", "pik_share", "pik_transition_state", "is_distress_amendment", "pik_acquired", "delta_pik", F.round("P1_pct", 4).alias("P1_pct")))
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All investments; a borrower is a brand and the first word of a type, an unnamed one in the smallest brand."""
+    """All investments; a borrower is a brand and the first word of a type, an unnamed one in the smallest brand.
+
+    What many queries build on (these rows, the panels, loans and exits) is made once a session and folder.
+    """
+    return kept(spark, ("rows", sf_dir), lambda: _all_rows(spark, sf_dir))
+
+
+def _all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = index.final_rates(positions(spark, sf_dir))
     name = F.concat_ws(" ", "borrower", F.substring_index("lien", " ", 1))
     rows = rows.withColumn("borrower_canonical", F.when(F.col("borrower") != "Brand#11", name)).withColumns(
         {"sector": F.substring_index("lien", " ", -1), "borrower": exposure.borrower_name(F.col("borrower_canonical"))}
     )
-    return cut(rows.drop("rate_cash", "rate_pik", "interest_rate"))  # read many times by what follows
+    return rows.drop("rate_cash", "rate_pik", "interest_rate")
 
 
 def _loans(rows: DataFrame) -> DataFrame:
@@ -276,21 +291,20 @@ def _loans(rows: DataFrame) -> DataFrame:
     return out.withColumns({"lien_group": F.lit("1L"), "link_rule": linked.cast("int"), "price": price})
 
 
-def _monitor(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
-    rows = _rows(spark, sf_dir) if rows is None else rows
-    return exposure.monitor_panel(_loans(rows), rows)
+def _monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    return kept(spark, ("monitor", sf_dir), lambda: exposure.monitor_panel(_loans(rows), rows))
 
 
-def _panel(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
-    rows = _rows(spark, sf_dir) if rows is None else rows
-    return exposure.borrower_quarters(_monitor(spark, sf_dir, rows), rows)
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, ("panel", sf_dir), lambda: exposure.borrower_quarters(_monitor(spark, sf_dir), _rows(spark, sf_dir)))
 
 
 HISTORY_FROM = "1993Q2"
 
 
-def _flags(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
-    return exposure.warning_flags(_panel(spark, sf_dir, rows), HISTORY_FROM)
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, ("flags", sf_dir), lambda: exposure.warning_flags(_panel(spark, sf_dir), HISTORY_FROM))
 
 
 def _upper_sql(column: str, group: str) -> str:
@@ -485,7 +499,7 @@ _EXPOSURES = [f"exposure_{s}" for s in SIGNS]
 
 def _exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
-    return exposure.lender_exposure(rows, _flags(spark, sf_dir, rows), least_borrowers=5)
+    return exposure.lender_exposure(rows, _flags(spark, sf_dir), least_borrowers=5)
 
 
 @query(f"""WITH {_EXPOSURE_SQL}
@@ -599,12 +613,19 @@ ev AS (SELECT borrower, qsort, max(pik) AS pik, max(spread) AS spread, max(matur
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir)
+    return kept(spark, ("linked", sf_dir), lambda: _linked_loans(_rows(spark, sf_dir)))
+
+
+def _linked_loans(rows: DataFrame) -> DataFrame:
     loans = crowding.pik_transitions(_loans(rows), keys=("cik", "chain_id"), percentiles=False)
     return events.loans(loans.withColumn("borrower", F.col("borrower_key")))
 
 
-def _exits(spark: SparkSession, sf_dir: str, linked: DataFrame, cutoffs: events.Cutoffs = events.PRIMARY) -> DataFrame:
+def _exits(spark: SparkSession, sf_dir: str, cutoffs: events.Cutoffs = events.PRIMARY) -> DataFrame:
+    return kept(spark, ("exits", sf_dir, cutoffs), lambda: _ended_loans(spark, sf_dir, _linked(spark, sf_dir), cutoffs))
+
+
+def _ended_loans(spark: SparkSession, sf_dir: str, linked: DataFrame, cutoffs: events.Cutoffs) -> DataFrame:
     rows = _rows(spark, sf_dir).where("borrower is not null").withColumn("cik", F.col("cik").cast("long"))
     equity = rows.where("not price_ok").select("borrower", "qsort", "cik").distinct()
     return events.loan_exits(linked, rows.select("borrower", "qsort", "cik"), credit.lender_status(rows), equity, cutoffs)
@@ -622,21 +643,33 @@ def term_changes_second(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EXITS_SQL} SELECT chain_id, CAST(exit_q AS INT) AS exit_q, round(mark, 6) AS mark, exit_class, exit_reason, equity FROM exits")
 def loan_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_exits(spark, sf_dir, cut(_linked(spark, sf_dir))).drop("cik", "borrower", "qsort"))
+    return rounded(_exits(spark, sf_dir).drop("cik", "borrower", "qsort"))
 
 
 @query(f"WITH {EXITS_SQL} SELECT borrower, CAST(qsort AS INT) AS qsort, pik, spread, maturity, equity, write_down, restructured, concession FROM ev")
 def borrower_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = cut(_linked(spark, sf_dir))
-    return events.borrower_events(events.term_changes(linked), _exits(spark, sf_dir, linked))
+    linked = _linked(spark, sf_dir)
+    return events.borrower_events(events.term_changes(linked), _exits(spark, sf_dir))
+
+
+_SECOND_SQL = """reasons_ AS (
+  SELECT chain_id, CASE WHEN coalesce(non_accrual = 1, false) OR na_next THEN 'non-accrual' WHEN mark <= 0.9 THEN 'marked well below par'
+    WHEN swapped THEN 'replaced by equity' WHEN again AND filed THEN 'new tranche, same BDC' WHEN other AND other_new THEN 'another BDC, new loan that quarter' WHEN other THEN 'another BDC, already lending'
+    WHEN mark >= 0.98 AND filed THEN 'last mark near par' WHEN filed THEN 'neither near nor well below par, or no mark' ELSE 'BDC did not file next quarter' END AS exit_reason FROM facts
+),
+exits_ AS (
+  SELECT *, CASE WHEN exit_reason IN ('non-accrual', 'marked well below par', 'replaced by equity') THEN 'impaired' WHEN exit_reason LIKE '%BDC,%' OR exit_reason LIKE '%, same BDC' THEN 'refinanced'
+    WHEN exit_reason = 'last mark near par' THEN 'repaid' ELSE 'unresolved' END AS exit_class FROM reasons_
+),
+both_ AS (SELECT exit_class, exit_reason, 1 AS a, 0 AS b FROM exits UNION ALL SELECT exit_class, exit_reason, 0, 1 FROM exits_)"""
 
 
-@query(f"""WITH {EXITS_SQL}
-SELECT exit_class, exit_reason, CAST(count(*) AS BIGINT) AS loans, round(count(*) / (SELECT count(*) FROM exits), 6) AS share FROM exits GROUP BY ROLLUP (exit_class, exit_reason)""")
+@query(f"""WITH {EXITS_SQL}, {_SECOND_SQL}
+SELECT exit_class, exit_reason, CAST(sum(a) AS BIGINT) AS loans_primary, CAST(sum(b) AS BIGINT) AS loans_second, round(sum(a) / (SELECT sum(a) FROM both_), 6) AS share_primary,
+  round(sum(b) / (SELECT sum(b) FROM both_), 6) AS share_second FROM both_ GROUP BY ROLLUP (exit_class, exit_reason)""")
 def exit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cut(_exits(spark, sf_dir, cut(_linked(spark, sf_dir))))
-    counted = events.exit_counts(found, found.limit(0), 10**6)
-    return rounded(counted.select("exit_class", "exit_reason", F.col("loans_primary").alias("loans"), F.col("share_primary").alias("share")))
+    counted = events.exit_counts(_exits(spark, sf_dir), _exits(spark, sf_dir, events.SECOND), 10**6)
+    return rounded(counted.select("exit_class", "exit_reason", "loans_primary", "loans_second", "share_primary", "share_second"))
 
 
 @query(f"""WITH {EXITS_SQL},
@@ -652,8 +685,8 @@ v AS (SELECT *, coalesce(flagged, false) AS f, coalesce(flagged, false) OR coale
 SELECT borrower, CAST(qsort AS INT) AS qsort, na_status, CAST(event_q AS INT) AS event_q, CASE WHEN risk THEN CASE WHEN e THEN 1 WHEN clean = 2 THEN 0 END END AS y_event,
   CASE WHEN risk THEN CASE WHEN f THEN 1 WHEN clean = 2 THEN 0 END END AS y_na, CASE WHEN risk THEN CASE WHEN a THEN 1 WHEN clean = 2 THEN 0 END END AS y_all_terms, whole AND NOT e AND n_held < 2 AS exited FROM v""")
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = cut(_linked(spark, sf_dir))
-    exits = cut(_exits(spark, sf_dir, linked))
+    linked = _linked(spark, sf_dir)
+    exits = _exits(spark, sf_dir)
     lenders = _lenders(spark, sf_dir)
     happened = events.borrower_events(events.term_changes(linked), exits)
     status = credit.borrower_status(lenders)
@@ -683,7 +716,7 @@ SELECT b.borrower, CAST(b.qsort AS INT) AS qsort, pik_switch, {_round_sql(("pric
 FROM b LEFT JOIN c ON c.borrower = b.borrower AND c.qsort = b.qsort""")
 def borrower_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir).withColumn("instrument_seniority", F.lit("UNITRANCHE"))
-    found = features.build_features(_monitor(spark, sf_dir, rows), rows)
+    found = features.build_features(exposure.monitor_panel(_loans(rows), rows), rows)
     names = ("pik_switch", "price", "priced_share", "crowding", "dispersion", "d_price", "d_pik_pp", "val_ret", "price_rel", "d_price_adj")
     return rounded(found.select("borrower", "qsort", *names))
 
