@@ -1 +1 @@
-"""streaming of the engine."""
+"""Runs that go on where the last one ended."""
