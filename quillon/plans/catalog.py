@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.lineage import cut, kept
 from quillon.operators import credit_events as events
 from quillon.operators import credit_status as credit
-from quillon.operators import crowding, evaluation, exposure, features, model, rates, tranches
+from quillon.operators import calibration, crowding, evaluation, exposure, features, look_ahead, model, rates, tails, tranches
 from quillon.operators import position_index as index
 from quillon.functions.semantics import weighted_mean
 
@@ -892,3 +892,72 @@ def logit_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = _panel(spark, sf_dir).where("price is not null and na_cost_share is not null and pik_share is not null")
     frame = panel.select("borrower", "qsort", "price", "pik_share", (F.col("na_cost_share") > 0.5).cast("int").alias("y"))
     return rounded(model.coefficient_table(frame, ["price", "pik_share"]))
+
+
+_CUT_AT = 1996 * 4 + 2
+_KNOWN = ("price", "par", "fv", "cost", "C1_families", "C4_d_families", "pik_share", "toggle_par_share", "V1_range", "max_lender_weight")
+
+
+@query(f"""WITH {MONITOR_SQL}, n AS (SELECT count(*) AS n FROM (SELECT DISTINCT borrower, qsort FROM monitor WHERE qsort <= {_CUT_AT}))
+SELECT unnest(['(rows)', {", ".join(repr(c) for c in _KNOWN)}]) AS "column", n AS rows_full, n AS rows_cut, 0 AS rows_differ, {_CUT_AT} AS cut_q FROM n""")
+def look_ahead_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build(rows: DataFrame) -> DataFrame:
+        return exposure.borrower_quarters(exposure.monitor_panel(_loans(rows), rows), rows)
+
+    found = look_ahead.compare_panels(
+        _panel(spark, sf_dir).where(F.col("qsort") <= _CUT_AT), cut(build(_rows(spark, sf_dir).where(F.col("qsort") <= _CUT_AT))), ["borrower", "qsort"], list(_KNOWN)
+    )
+    return found.drop("max_abs_diff").withColumn("cut_q", F.lit(_CUT_AT))
+
+
+def _line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as scored rows: a chance in steps, whether it happened, and a whole weight."""
+    line = table(spark, sf_dir, "lineitem")
+    tie = (F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")
+    happened = (F.col("l_returnflag") == "R").cast("int")
+    sort = F.year("l_shipdate") * 4 + F.quarter("l_shipdate")
+    return line.select(tie.alias("borrower"), sort.alias("qsort"), (F.col("l_discount") * 4 + 0.05).alias("pred"), happened.alias("y"), (F.col("l_linenumber") - 1).cast("double").alias("w"))
+
+
+_SCORES_SQL = """scores AS (SELECT (l_orderkey * 100 + l_linenumber) * 1000000 + l_partkey AS borrower, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) AS INT) AS qsort, l_discount * 4 + 0.05 AS pred,
+  CAST(l_returnflag = 'R' AS INT) AS y, CAST(l_linenumber - 1 AS DOUBLE) AS w FROM lineitem WHERE l_linenumber > 1)"""
+
+
+@query(f"""WITH {_SCORES_SQL}
+SELECT borrower, qsort, CAST(11 - ceil(round(sum(w) OVER (PARTITION BY qsort ORDER BY pred DESC, borrower ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY qsort) * 10, 9)) AS INT) AS decile FROM scores""")
+def weighted_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.weighted_deciles(_line_scores(spark, sf_dir).where("w > 0")).select("borrower", "qsort", "decile")
+
+
+@query(f"""WITH {_SCORES_SQL} SELECT qsort, sum(w * y) AS observed, round(sum(w * pred), 6) AS expected, round(sum(w * y) / sum(w * pred), 6) AS o_e, round(sum(w * (pred - y) ** 2) / sum(w), 6) AS brier,
+  true AS solved FROM scores GROUP BY qsort""")
+def calibration_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``solved``: at the fitted intercept and slope the weighted residuals, and those times the log odds, sum to 0, or the quarter has one outcome alone."""
+    scores = _line_scores(spark, sf_dir).where("w > 0")
+    found = calibration.calibration(scores, ["qsort"]).select("qsort", "observed", "expected", "o_e", "brier")
+    fit = calibration.recalibrations(scores, ["qsort"], True)
+    left = F.col("w") * (F.col("y") - calibration.apply_recalibration(F.col("pred"), F.col("intercept"), F.col("slope")))
+    zero = lambda x: F.abs(F.sum(x)) < 1e-6 * F.sum("w")
+    checked = scores.join(fit, "qsort").groupBy("qsort").agg(F.coalesce(zero(left) & zero(left * calibration.log_odds(F.col("pred"))), F.min("y") == F.max("y")).alias("solved"))
+    return rounded(found.join(checked, "qsort"))
+
+
+_RETURNS_SQL = "returns AS (SELECT CAST(year(l_shipdate) * 4 + quarter(l_shipdate) AS INT) AS qsort, l_extendedprice * (1 - l_discount) / l_quantity AS x FROM lineitem)"
+
+
+def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.col("l_quantity")
+    return table(spark, sf_dir, "lineitem").select((F.year("l_shipdate") * 4 + F.quarter("l_shipdate")).alias("qsort"), value.alias("x"))
+
+
+@query(f"""WITH {_RETURNS_SQL}, m AS (SELECT qsort, median(x) AS med FROM returns GROUP BY qsort)
+SELECT qsort, count(*) AS n, round(any_value(med), 4) AS median, round(1.4826 * median(abs(x - med)), 4) AS mad_sigma, round(skewness(x), 4) AS skew, round(kurtosis(x), 4) AS kurtosis
+FROM returns JOIN m USING (qsort) GROUP BY qsort HAVING count(*) > 3""")
+def robust_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tails.robust_moments(_returns(spark, sf_dir), "x", "qsort").where("n > 3"), 4)
+
+
+@query(f"""WITH {_RETURNS_SQL}, q AS (SELECT DISTINCT qsort FROM returns)
+SELECT q.qsort, round(quantile_cont(r.x, 0.01), 4) AS quantile FROM q JOIN returns r ON r.qsort <> q.qsort GROUP BY q.qsort""")
+def quantiles_without(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tails.quantiles_without(_returns(spark, sf_dir), "x", "qsort", 0.01), 4)
