@@ -12,7 +12,7 @@ from quillon.operators import calibration, crowding, evaluation, exposure, featu
 from quillon.operators import position_index as index
 from quillon.functions.semantics import weighted_mean
 
-from . import filings  # noqa: F401  registers its queries
+from . import filings, repairs  # noqa: F401  they register their queries
 from .proxy import POSITIONS_SQL, positions, table
 from .registry import ORACLE_SQL, QUERIES, query, rounded
 
