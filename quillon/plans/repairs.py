@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.lineage import cut
+from quillon.functions.quarters import q_label
 from quillon.functions.text import cleaned_identifier, keyword_dates, seniority
-from quillon.operators import repair
+from quillon.operators import repair, tranches
 
 from .proxy import table
 from .registry import query, rounded
@@ -105,3 +107,71 @@ def identifier_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.get(F.array(*[F.lit(x) for x in _LIENS]), (key % 8).cast("int")), F.lit(" ("), "p_brand", F.lit(")"))
     due = F.concat(text, F.lit(", 1/2/2019, due "), (1 + key % 12).cast("string"), F.lit("/"), (2020 + key % 10).cast("string"))
     return part.select("p_partkey", seniority(text).alias("seniority"), cleaned_identifier(text).alias("cleaned"), keyword_dates(due)[0].alias("due"))
+
+
+_SENIOR = ("SENIOR_SECURED_1L", "SENIOR_SECURED_2L", "OTHER_UNKNOWN")
+_FUNDED_SQL = """funded AS (
+  SELECT l_suppkey % 25 AS cik, 'B' || l_partkey % 40 AS borrower_key, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) AS INT) AS qsort, list_extract(['SENIOR_SECURED_1L', 'SENIOR_SECURED_2L', 'OTHER_UNKNOWN'], l_partkey % 3 + 1) AS lien,
+    CASE WHEN l_orderkey % 4 > 0 THEN make_date(2025 + l_orderkey % 3, 1, 1) END AS maturity, CASE WHEN l_orderkey % 5 > 0 THEN l_linenumber / 100 END AS spread,
+    1.000037 * l_extendedprice AS PAR, 1.000037 * l_extendedprice * (1 - l_discount / 2) * (CASE WHEN l_quantity < 4 THEN 0.03 WHEN l_quantity < 9 THEN 0.5 ELSE 1 END) AS COST, 1.000037 * l_extendedprice * (1 - l_discount) AS FV, l_tax AS PIK_Final
+  FROM lineitem)"""
+
+
+def _debt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    price, quantity = F.lit(1.000037) * F.col("l_extendedprice"), F.col("l_quantity")
+    return line.select(
+        (F.col("l_suppkey") % 25).alias("cik"),
+        F.lit("F").alias("family"),
+        q_label(F.year("l_shipdate") * 4 + F.quarter("l_shipdate")).alias("cal_q"),
+        F.concat(F.lit(" B"), (F.col("l_partkey") % 40).cast("string"), F.lit(" ")).alias("borrower_canonical"),
+        F.get(F.array(*[F.lit(s) for s in _SENIOR]), (F.col("l_partkey") % 3).cast("int")).alias("instrument_seniority"),
+        F.lit("loan").alias("investment_identifier"),
+        F.when(F.col("l_orderkey") % 4 > 0, F.concat((2025 + F.col("l_orderkey") % 3).cast("string"), F.lit("-01-01T00:00"))).alias("maturity"),
+        F.when(F.col("l_orderkey") % 5 > 0, (F.col("l_linenumber") / 100).cast("string")).alias("spread"),
+        price.alias("PAR"),
+        (price * (1 - F.col("l_discount") / 2) * F.when(quantity < 4, 0.03).when(quantity < 9, 0.5).otherwise(1.0)).alias("COST"),
+        (price * (1 - F.col("l_discount"))).alias("FV"),
+        F.col("l_tax").alias("PIK_Final"),
+    )
+
+
+_TRANCHE_SQL = f"""{_FUNDED_SQL}, kept AS (SELECT * FROM funded WHERE FV > 0 AND COST > 0 AND COST >= 0.05 * PAR),
+tranches AS (
+  SELECT cik, borrower_key, qsort, lien, maturity, round(spread, 4) AS spread, sum(PAR) AS PAR, sum(COST) AS COST, sum(FV) AS FV, sum(FV) FILTER (COST >= 0.8 * PAR) / sum(PAR) FILTER (COST >= 0.8 * PAR) AS price,
+    sum(PAR * PIK_Final) / sum(PAR) AS PIK_Final, count(*) AS n_source_rows FROM kept GROUP BY ALL)"""
+
+
+@query(f"WITH {_TRANCHE_SQL} SELECT cik, borrower_key, qsort, lien, maturity, spread, round(PAR, 4) AS PAR, round(COST, 4) AS COST, round(FV, 4) AS FV, round(price, 6) AS price, round(PIK_Final, 6) AS PIK_Final, n_source_rows FROM tranches")
+def collapsed_tranches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tranches.collapse_tranches(tranches.standardize_debt_rows(_debt(spark, sf_dir)))
+    amounts = [F.round(c, 4).alias(c) for c in ("PAR", "COST", "FV")]
+    return found.select("cik", "borrower_key", "qsort", "lien", "maturity", "spread", *amounts, F.round("price", 6).alias("price"), F.round("PIK_Final", 6).alias("PIK_Final"), "n_source_rows")
+
+
+@query(f"""WITH {_TRANCHE_SQL}
+SELECT count(*) AS tranches, true AS one_to_one, true AS liens_fit, true AS gaps_fit, true AS chains_fit, true AS no_pair_left FROM tranches""")
+def chain_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for links of tranches whatever the choice: each takes part once on either side, liens fit, gaps are two quarters at most, a chain has one
+    start and a tranche a quarter at most, and no two tranches stay unlinked that would be the last of both sides."""
+    base = cut(tranches.collapse_tranches(tranches.standardize_debt_rows(_debt(spark, sf_dir))))
+    linked = cut(tranches.link_tranche_chains(base))
+    chains = linked.groupBy("chain_id").agg(F.count("*").alias("n"), F.count_distinct("qsort").alias("quarters"), F.count_if(F.col("link_rule") == 0).alias("starts"))
+    chains = chains.agg(F.bool_and((F.col("n") == F.col("quarters")) & (F.col("starts") == 1)).alias("chains_fit"))
+    by_time = Window.partitionBy("chain_id").orderBy("qsort")
+    steps = linked.withColumns({"before": F.lag("qsort").over(by_time), "lien_before": F.lag("lien_group").over(by_time)})
+    fits = steps.agg(
+        F.count("*").alias("tranches"),
+        F.bool_and(F.col("before").isNull() == (F.col("link_rule") == 0)).alias("one_to_one"),
+        F.bool_and(F.col("lien_before").isNull() | tranches.compatible(F.col("lien_before"), F.col("lien_group"))).alias("liens_fit"),
+        F.bool_and(F.col("before").isNull() | ((F.col("qsort") - F.col("before") == F.col("q_gap")) & (F.col("q_gap") <= 2))).alias("gaps_fit"),
+    )
+    # Per lender, borrower and step between quarters: tranches without a link onward and without one back.
+    loan = ["cik", "borrower_key"]
+    quarters = linked.select(*loan, "qsort").distinct().withColumn("following", F.lead("qsort").over(Window.partitionBy(*loan).orderBy("qsort")))
+    ends = steps.withColumn("onward", F.lead("qsort").over(by_time)).join(quarters, [*loan, "qsort"])
+    open_ends = ends.where("onward IS NULL AND following - qsort <= 2").groupBy(*loan, F.col("following").alias("qsort")).agg(F.count("*").alias("a"), F.max("lien_group").alias("la"))
+    open_starts = ends.where("before IS NULL").groupBy(*loan, "qsort").agg(F.count("*").alias("b"), F.max("lien_group").alias("lb"))
+    by_par = ends.where("link_rule = 4").select(*loan, "qsort").distinct()  # a pair by par: two or more were left when terms were done
+    left = open_ends.join(open_starts, [*loan, "qsort"]).join(by_par, [*loan, "qsort"], "left_anti").where("a = 1 AND b = 1").where(tranches.compatible(F.col("la"), F.col("lb")))
+    return fits.crossJoin(chains).crossJoin(left.agg((F.count("*") == 0).alias("no_pair_left")))  # one row each
