@@ -14,6 +14,9 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows per Arrow batch: a batch stays small even when texts are long.
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BATCH_ROWS = 500
+#: And bytes per batch, which both the JVM and the worker hold.
+_BATCH_SIZE = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_BYTES = 8 << 20
 #: A join whose smaller side has partitions of at most this size hashes them, by their measured size, instead of sorting both.
 _HASH_JOIN = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
 _HASH_JOIN_SIZE = "48m"
@@ -39,6 +42,7 @@ def small_batches(spark: SparkSession) -> None:
     """Bound the memory of Python workers, and let small measured partitions be hashed, in the plans made from now on."""
     if int(spark.conf.get(_BATCH)) > _BATCH_ROWS:
         spark.conf.set(_BATCH, str(_BATCH_ROWS))
+    spark.conf.set(_BATCH_SIZE, f"{_BATCH_BYTES}b")
     spark.conf.set(_HASH_JOIN, _HASH_JOIN_SIZE)
 
 
