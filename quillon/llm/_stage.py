@@ -95,6 +95,12 @@ def release(spark: SparkSession) -> None:
         _remove(spark, path)
 
 
-def worker_state() -> dict:
-    """What a Python worker keeps from task to task (Spark reuses workers); called in tasks."""
-    return vars(sys.modules.setdefault("quillon_worker_state", types.ModuleType("quillon_worker_state")))
+def worker_state(owner: str) -> dict:
+    """What a Python worker keeps for ``owner`` from task to task (Spark reuses workers); called in tasks.
+
+    What it has kept for another operator is let go first, so that a worker never holds two operators' tables.
+    """
+    held = vars(sys.modules.setdefault("quillon_worker_state", types.ModuleType("quillon_worker_state")))
+    if held.get("owner") != owner:
+        held |= {"owner": owner, "kept": {}}
+    return held["kept"]

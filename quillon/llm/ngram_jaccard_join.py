@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from ._stage import drop, small_batches, staged
+from ._stage import drop, small_batches, staged, worker_state
 from ._words import Texts, Words, window_hashes
 from .components import connected_components
 
@@ -67,6 +67,7 @@ def _signatures(n: int, bands: int, rows: int, seed: int):
     )
 
     def run(batches):
+        worker_state("ngram_jaccard_join")
         for batch in batches:
             ids, texts = batch.column("doc_id"), Texts(batch.column("text"))
             for a, b in texts.runs():
@@ -93,6 +94,7 @@ def _sets(n: int):
     """The digest and the n-gram set of each text; other columns pass through."""
 
     def run(batches):
+        worker_state("ngram_jaccard_join")
         for batch in batches:
             texts = Texts(batch.column("text"))
             carried = [c for c in batch.schema.names if c != "text"]
@@ -167,6 +169,7 @@ def _block_links(threshold: float):
         return out
 
     def run(batches):
+        worker_state("ngram_jaccard_join")
         held: list[tuple] = []
 
         def flush(found):
@@ -329,6 +332,7 @@ def with_digest(docs: DataFrame, n: int = 5, name: str = "digest") -> DataFrame:
     fields = [f"{c} {f.dataType.simpleString()}" for c, f in zip(inner, docs.schema, strict=True)]
 
     def run(batches):
+        worker_state("ngram_jaccard_join")
         for batch in batches:
             texts = Texts(batch.column("_text"))
             for a, b in texts.runs():

@@ -133,7 +133,7 @@ def _tokenize(path: str, end_id: int):
     )
 
     def run(batches):
-        kept = worker_state()
+        kept = worker_state("packing")
         if (tokens := kept.get(path)) is None:
             tokens = kept[path] = WordTokens(path)
         before, wide = 0, int(tokens.kind[-1])

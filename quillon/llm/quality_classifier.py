@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ._stage import drop, small_batches, staged
+from ._stage import drop, small_batches, staged, worker_state
 from ._words import chunks, split_words
 
 #: Hash buckets for words and for word shapes; together with the length features the size of the model.
@@ -153,6 +153,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, sample: int = 16_384,
     schema = pa.schema([("grade", pa.int32()), ("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))])
 
     def run(batches):
+        worker_state("quality_classifier")
         for batch in batches:
             found = [features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -233,6 +234,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5)
             return value
 
     def run(batches):
+        worker_state("quality_classifier")
         held = Weights()
         for batch in batches:
             texts = batch.column("_text").to_pylist()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import small_batches, staged
+from ._stage import small_batches, staged, worker_state
 
 # Kinds in their order, patterns and least lengths.
 KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
@@ -96,6 +96,7 @@ def credential_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[
 
 def _scan(carry: list[str]):
     def run(batches):
+        worker_state("secret_scan")
         for batch in batches:
             base, parts = [], []
             for text in batch.column("text").to_pylist():

@@ -150,7 +150,7 @@ def _tokenize(a_path: str, b_path: str):
     schema = pa.schema([(n, pa.string() if n == "groups_sha256" else pa.binary() if n in ("codes", "times") else pa.int64()) for n in names])
 
     def run(batches):
-        kept = worker_state()
+        kept = worker_state("token_alignment")
         if (links := kept.get(("links", a_path, b_path))) is None:
             links = kept["links", a_path, b_path] = UnitLinks(a_path, b_path)
         task, seen = TaskContext.get().partitionId(), 0

@@ -106,7 +106,7 @@ def _write(path: str, folder: str, end_id: int):
     schema = pa.schema([("part", pa.int32()), ("id_bytes", pa.int32()), ("n_docs", pa.int64()), ("n_null", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches):
-        kept = worker_state()
+        kept = worker_state("token_files")
         if (tokens := kept.get(("ids", path))) is None:
             tokens = kept["ids", path] = UnitIds(path)
         number, part = TaskContext.get().partitionId(), None
