@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import quarters
 from quillon.functions.lineage import cut, kept
 from quillon.operators import credit_events as events
 from quillon.operators import credit_status as credit
@@ -961,3 +962,32 @@ def robust_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT q.qsort, round(quantile_cont(r.x, 0.01), 4) AS quantile FROM q JOIN returns r ON r.qsort <> q.qsort GROUP BY q.qsort""")
 def quantiles_without(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tails.quantiles_without(_returns(spark, sf_dir), "x", "qsort", 0.01), 4)
+
+
+@query(f"""WITH {EXITS_SQL},
+u AS (SELECT qsort, pik, spread, maturity, 0 AS equity, write_down, 1 AS observed FROM changes WHERE linked UNION ALL SELECT exit_q, 0, 0, 0, 1, 0, 0 FROM exits WHERE equity = 1)
+SELECT CAST(qsort AS INT) AS qsort, sum(pik) AS pik, sum(spread) AS spread, sum(maturity) AS maturity, sum(equity) AS equity, sum(write_down) AS write_down, sum(greatest(pik, spread, maturity, equity, write_down)) AS "any",
+  sum(observed) AS loans_observed FROM u GROUP BY ROLLUP (qsort) HAVING sum(observed) > 0""")
+def restructuring_by_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = events.restructuring_by_quarter(events.term_changes(_linked(spark, sf_dir)), _exits(spark, sf_dir), 10**6)
+    return found.select("qsort", "pik", "spread", "maturity", "equity", "write_down", "any", "loans_observed")
+
+
+_CASES = ("brand#12 promo", " Brand#13 SMALL ")
+
+
+@query(f"""WITH {POSITIONS_SQL}, named AS (SELECT *, upper(borrower || ' ' || split_part(lien, ' ', 1)) AS name FROM final WHERE borrower <> 'Brand#11'),
+books AS (SELECT cik, cal_q, sum(COST) AS book FROM final WHERE COST > 0 GROUP BY ALL)
+SELECT name AS borrower, cal_q, cik, family, bdc_type, count(*) AS positions, max(non_accrual) AS non_accrual, round(sum(FV) / sum(PAR), 6) AS mark, round(sum(PIK_Final * PAR) / sum(PAR), 6) AS pik_rate,
+  round(sum(COST) / any_value(book), 6) AS weight_in_bdc_book FROM named JOIN books USING (cik, cal_q) WHERE name IN ('BRAND#12 PROMO', 'BRAND#13 SMALL') GROUP BY ALL""")
+def case_study_lenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, lenders = exposure.case_studies(_panel(spark, sf_dir), _rows(spark, sf_dir), list(_CASES))
+    return rounded(lenders.select("borrower", "cal_q", "cik", "family", "bdc_type", "positions", "non_accrual", "mark", "pik_rate", "weight_in_bdc_book"))
+
+
+@query("""SELECT o_orderkey, last_day(make_date(year(o_orderdate), quarter(o_orderdate) * 3, 1)) AS cal_qe, year(o_orderdate) || 'Q' || quarter(o_orderdate) AS cal_q,
+  year(o_orderdate + INTERVAL 9 MONTH) || 'Q' || quarter(o_orderdate + INTERVAL 9 MONTH) AS later,
+  year(o_orderdate + INTERVAL 3 MONTH) || 'Q' || quarter(o_orderdate + INTERVAL 3 MONTH) || '-' || year(o_orderdate + INTERVAL 6 MONTH) || 'Q' || quarter(o_orderdate + INTERVAL 6 MONTH) AS ahead FROM orders""")
+def calendar_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quarters.add_calendar_quarter(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate")
+    return found.select("o_orderkey", "cal_qe", "cal_q", quarters.q_next(F.col("cal_q"), 3).alias("later"), quarters.window_label(quarters.qsort(F.col("cal_q")), 2).alias("ahead"))
