@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections import Counter
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -186,7 +187,7 @@ class Skeleton:
 
 
 class Tree:
-    """A skeleton read back: tag, children, size and subtree hash of each slot."""
+    """A skeleton read back: tag, children, size and hash of each slot's subtree, and of what is below it."""
 
     def __init__(self, skeleton: str) -> None:
         lines = [line.partition(" ") for line in skeleton.split("\n")]
@@ -194,133 +195,223 @@ class Tree:
         self.labels = [own for _, _, own in lines]
         self.tags = [own.partition(".")[0] for own in self.labels]
         self.children: list[list[int]] = [[] for _ in range(n)]
-        self.size, self.hash, self.keys = [1] * n, [0] * n, [0] * n
+        self.size, self.hash, self.below, self.keys = [1] * n, [0] * n, [0] * n, [0] * n
         for i in range(1, n):
             above = int(lines[i][0])
             self.children[above].append(i)
             self.keys[i] = xxhash.xxh3_64_intdigest(f"{self.keys[above]}/{self.labels[i]}") - 2**63
         for i in range(n - 1, -1, -1):
-            self.hash[i] = hash((self.labels[i], *(self.hash[c] for c in self.children[i])))
+            self.below[i] = hash(tuple(self.hash[c] for c in self.children[i]))
+            self.hash[i] = hash((self.labels[i], self.below[i]))
             self.size[i] += sum(self.size[c] for c in self.children[i])
 
 
-#: Pairs of sisters that are aligned in one piece.
+#: Pairs of sisters whose best values are held at once while matches are read off; what is found does not depend on it.
 PIECE_PAIRS = 1 << 16
 
 
-def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest run of pairs, ordered by the first, whose second rises too."""
-    tails: list[int] = []
-    ends, back = [], [-1] * len(pairs)
-    for k, (_, j) in enumerate(pairs):
-        at = bisect_left(tails, j)
-        if at:
-            back[k] = ends[at - 1]
-        if at == len(tails):
-            tails.append(j)
-            ends.append(k)
-        else:
-            tails[at], ends[at] = j, k
-    out, k = [], ends[-1] if ends else -1
-    while k >= 0:
-        out.append(pairs[k])
-        k = back[k]
-    return out[::-1]
+def sister_pieces(rows: list[int], cols: list[int], row_hashes: list, col_hashes: list) -> list[tuple[list[int], list[int]]]:
+    """Two lists of sisters cut, in order, into pieces that may be aligned apart, as no match is better for them.
+
+    Equal subtrees at either end are pieces of one pair; all between is one piece, however long.
+    """
+    n, head, tail = min(len(rows), len(cols)), 0, 0
+    while head < n and row_hashes[rows[head]] == col_hashes[cols[head]]:
+        head += 1
+    while tail < n - head and row_hashes[rows[-1 - tail]] == col_hashes[cols[-1 - tail]]:
+        tail += 1
+    pieces = [([r], [c]) for r, c in zip(rows[:head], cols[:head], strict=True)]
+    pieces.append((rows[head : len(rows) - tail], cols[head : len(cols) - tail]))
+    pieces += [([r], [c]) for r, c in zip(rows[len(rows) - tail :], cols[len(cols) - tail :], strict=True)]
+    return [(x, y) for x, y in pieces if x and y]
 
 
-def sister_pieces(rows: list[int], cols: list[int], row_labels: list, col_labels: list) -> list[tuple[list[int], list[int]]]:
-    """Two lists of sisters cut, in order, into pieces that are aligned apart.
+def best_values(last: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The next row of the table of best values: a row's ``values`` with each column, taken once, in order, or left out."""
+    out = last.copy()
+    np.maximum.accumulate(np.maximum(last[:-1] + values, last[1:]), out=out[1:])
+    return np.maximum(out, last[0], out=out)
 
-    Lists of up to PIECE_PAIRS pairs are one piece.  Longer ones are cut at
-    sisters whose label stands once in either list, as far as these keep their
-    order, and what is still too long into equal shares; the pairs to compare
-    then grow with the length, not with its square.
+
+class Sisters:
+    """Two lists of sisters, and their order-keeping alignment of greatest value; every pair that may be part of one is looked at.
+
+    A pair of equal tags counts ``unit``, 1 more for equal labels, and what the best
+    match below it counts, which is the same for all pairs with the same two lists of children.
     """
-    if len(rows) * len(cols) <= PIECE_PAIRS:
-        return [(rows, cols)]
-    counts = [Counter(labels[x] for x in own) for own, labels in ((rows, row_labels), (cols, col_labels))]
-    at = {col_labels[c]: j for j, c in enumerate(cols)}
-    once = [(i, at[row_labels[r]]) for i, r in enumerate(rows) if counts[0][row_labels[r]] == 1 == counts[1][row_labels[r]]]
-    pieces, i, j = [], 0, 0
-    for k, m in [*_rising(once), (len(rows), len(cols))]:
-        own, other = rows[i:k], cols[j:m]
-        share = max(4, PIECE_PAIRS // max(len(own), len(other), 1))
-        n = max(1, -(-max(len(own), len(other)) // share)) if len(own) * len(other) > PIECE_PAIRS else 1
-        pieces += [(own[len(own) * p // n : len(own) * (p + 1) // n], other[len(other) * p // n : len(other) * (p + 1) // n]) for p in range(n)]
-        pieces.append((rows[k : k + 1], cols[m : m + 1]))
-        i, j = k + 1, m + 1
-    return [(x, y) for x, y in pieces if x and y]
+
+    def __init__(self, a: Tree, b: Tree, rows: list[int], cols: list[int], unit: int, kind: type) -> None:
+        self.a, self.b, self.rows, self.cols, self.unit, self.kind = a, b, rows, cols, unit, kind
+        self.groups = [{(t.tags[x], t.below[x]): x for x in own} for t, own in ((a, rows), (b, cols))]
+        number = {g: k for k, g in enumerate(self.groups[1])}
+        self.group_of = np.array([number[b.tags[c], b.below[c]] for c in cols])
+        place: dict[str, list[int]] = {}
+        for j, c in enumerate(cols):
+            place.setdefault(b.labels[c], []).append(j)
+        self.same = [place.get(a.labels[r], ()) for r in rows]
+        self.known: dict[tuple[str, int], np.ndarray] = {}
+        self.step = max(PIECE_PAIRS // len(cols), isqrt(len(rows)), 1)
+
+    def open_pairs(self, done: dict[tuple[int, int], int]):
+        """A pair for each two lists of children that have to be aligned first."""
+        a, b = self.a, self.b
+        for (tag, below), r in self.groups[0].items():
+            for (other, beneath), c in self.groups[1].items():
+                if tag == other and below != beneath and a.children[r] and b.children[c] and (below, beneath) not in done:
+                    yield r, c
+
+    def evaluate(self, done: dict[tuple[int, int], int]) -> None:
+        for (tag, below), r in self.groups[0].items():
+            gains = [self.unit + below_gain(self.a, self.b, r, c, self.unit, done) if tag == t else 0 for (t, _), c in self.groups[1].items()]
+            self.known[tag, below] = np.array(gains, dtype=self.kind)[self.group_of]
+
+    def values(self, i: int, lo: int, hi: int) -> np.ndarray:
+        """What row i counts with the columns ``lo .. hi`` (0: no match)."""
+        out = self.known[self.a.tags[self.rows[i]], self.a.below[self.rows[i]]][lo:hi]
+        own = [j - lo for j in self.same[i] if lo <= j < hi]
+        if own:
+            out = out.copy()
+            out[own] += 1
+        return out
+
+    def bounds(self) -> np.ndarray:
+        """For every ``step``-th row and each column: no alignment that parts there counts more."""
+        parts = range(self.step, len(self.rows), self.step)
+        if not parts:
+            return np.zeros((0, len(self.cols) + 1), dtype=np.int64)
+        of_rows = np.array([int(self.known[self.a.tags[r], self.a.below[r]].max()) for r in self.rows], dtype=np.int64)
+        of_cols = np.max(list(self.known.values()), axis=0).astype(np.int64)
+        rows, cols = (np.concatenate([[0], np.cumsum(x)]) for x in (of_rows, of_cols))
+        points = np.array([(i, j) for i, own in enumerate(self.same) for j in own], dtype=np.int64).reshape(-1, 2)
+        out = []
+        for i in parts:
+            before = points[:, 0] < i
+            left, right = (np.concatenate([[0], np.cumsum(np.bincount(points[x, 1], minlength=len(cols) - 1))]) for x in (before, ~before))
+            equal = left + right[-1] - right
+            out.append(np.minimum(rows[i], cols) + np.minimum(rows[-1] - rows[i], cols[-1] - cols) + equal)
+        return np.array(out)
+
+    def bands(self, bounds: np.ndarray, least: int) -> list[tuple[int, int]]:
+        """The columns, for each ``step`` rows, of all alignments that count ``least`` or more."""
+        m = len(self.cols)
+        first, last = [0], [m]
+        for own in bounds >= least:
+            inside = np.flatnonzero(own)
+            first.append(int(inside[0]) if len(inside) else m)
+            last.append(int(inside[-1]) if len(inside) else 0)
+        if len(first) == 1:
+            return [(0, m)]
+        lows = np.maximum.accumulate(first).tolist()
+        highs = np.minimum.accumulate([*last[1:], m][::-1])[::-1].tolist()
+        return list(zip(lows, highs, strict=True))
+
+    def table(self, bands: list[tuple[int, int]], rows: int) -> tuple[int, list[np.ndarray]]:
+        """The best value of the first ``rows`` rows within ``bands`` (-1 if these do not meet), and the row before each ``step`` rows."""
+        last, kept, low = np.zeros(1, dtype=self.kind), [], 0
+        for k, (lo, hi) in enumerate(bands):
+            if lo > hi or lo - low >= len(last):
+                return -1, []
+            last = last[lo - low : hi - low + 1]
+            last = np.concatenate([last, np.full(hi - lo + 1 - len(last), last[-1])])
+            low = lo
+            kept.append(last)
+            for i in range(k * self.step, min(rows, (k + 1) * self.step)):
+                last = best_values(last, self.values(i, lo, hi))
+        return int(last[-1]), kept
+
+    def best(self) -> int:
+        """The greatest value.
+
+        A first table holds what may reach the bounds.  What it finds is an
+        alignment, so a second one for that value misses no better one.
+        """
+        bounds = self.bounds()
+        hoped = int(bounds.max(axis=1).min()) if len(bounds) else 0
+        found = self.table(self.bands(bounds, hoped), len(self.rows))[0]
+        return found if found >= hoped else self.table(self.bands(bounds, found), len(self.rows))[0]
+
+    def pairs(self, best: int) -> list[tuple[int, int]]:
+        """The pairs of an alignment that counts ``best``, the greatest value: rows are computed again, read from the end on."""
+        bands = self.bands(self.bounds(), best)
+        _, kept = self.table(bands, (len(bands) - 1) * self.step)
+        out, j = [], len(self.cols)
+        for k in range(len(kept) - 1, -1, -1):
+            lo, first = bands[k][0], k * self.step
+            table = [kept[k][: j - lo + 1]]
+            for i in range(first, min(len(self.rows), first + self.step)):
+                table.append(best_values(table[-1], self.values(i, lo, j)))
+            for at in range(len(table) - 1, 0, -1):
+                here, above, i = table[at], table[at - 1], first + at - 1
+                if here[j - lo] == above[j - lo]:
+                    continue
+                gains = self.values(i, lo, j)
+                while not gains[j - lo - 1] or here[j - lo] != above[j - lo - 1] + gains[j - lo - 1]:
+                    j -= 1
+                j -= 1
+                out.append((self.rows[i], self.cols[j]))
+        return out
+
+
+def below_gain(a: Tree, b: Tree, x: int, y: int, unit: int, done: dict[tuple[int, int], int]) -> int:
+    if a.below[x] == b.below[y]:
+        return (a.size[x] - 1) * (unit + 1)
+    return done[a.below[x], b.below[y]] if a.children[x] and b.children[y] else 0
 
 
 def simple_tree_matching(a: Tree, b: Tree) -> tuple[int, list[tuple[int, int]]]:
     """Size of the largest order-keeping match of two trees whose roots match, and the matched slots.
 
-    Children are aligned by dynamic programming over the matches of their
-    subtrees.  Equal subtrees at either end of two lists of children are matched
-    at once, which loses nothing; very long lists are aligned in pieces (``sister_pieces``).
+    Of the largest matches it is one with the most equal labels.  Children are
+    aligned by dynamic programming over the matches of their subtrees, by the
+    same rule in lists of any length.  Equal subtrees at either end of two lists
+    are matched at once, which loses nothing (``sister_pieces``).
     Depth is no limit: pairs wait on a list.
     """
-    done: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-    begun: dict[tuple[int, int], tuple] = {}
-
-    def ends(x: int, y: int) -> tuple[list[tuple[int, int]], list[tuple[list[int], list[int]]]]:
-        rows, cols = a.children[x], b.children[y]
-        n, pairs, head = min(len(rows), len(cols)), [], 0
-        while head < n and a.hash[rows[head]] == b.hash[cols[head]]:
-            pairs.append((rows[head], cols[head]))
-            head += 1
-        tail = 0
-        while tail < n - head and a.hash[rows[-1 - tail]] == b.hash[cols[-1 - tail]]:
-            pairs.append((rows[-1 - tail], cols[-1 - tail]))
-            tail += 1
-        return pairs, sister_pieces(rows[head : len(rows) - tail], cols[head : len(cols) - tail], a.labels, b.labels)
-
-    def align(rows: list[int], cols: list[int], chosen: list[tuple[int, int]]) -> int:
-        best = [[0] * (len(cols) + 1) for _ in range(len(rows) + 1)]
-        for i, r in enumerate(rows):
-            for j, c in enumerate(cols):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + value(r, c))
-        i, j = len(rows), len(cols)
-        while i and j:
-            size = value(rows[i - 1], cols[j - 1])
-            if size and best[i][j] == best[i - 1][j - 1] + size:
-                chosen.append((rows[i - 1], cols[j - 1]))
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        return best[-1][-1]
-
-    def value(x: int, y: int) -> int:
-        if a.tags[x] != b.tags[y]:
-            return 0
-        return a.size[x] if a.hash[x] == b.hash[y] else done[x, y][0]
-
     if a.tags[0] != b.tags[0]:
         return 0, []
-    waiting = [(0, 0)]
+    unit = 1 + min(len(a.labels), len(b.labels))
+    kind = np.int32 if unit * (unit + 1) < 1 << 31 else np.int64
+    done: dict[tuple[int, int], int] = {}
+
+    def align(x: int, y: int) -> tuple[int, list[tuple[int, int]], Sisters | None]:
+        """What equal ends count, these, and the sisters between them."""
+        pieces = sister_pieces(a.children[x], b.children[y], a.hash, b.hash)
+        equal = [(r[0], c[0]) for r, c in pieces if len(r) == len(c) == 1 and a.hash[r[0]] == b.hash[c[0]]]
+        between = [(r, c) for r, c in pieces if len(r) > 1 or len(c) > 1 or a.hash[r[0]] != b.hash[c[0]]]
+        return sum(a.size[r] for r, _ in equal) * (unit + 1), equal, Sisters(a, b, *between[0], unit, kind) if between else None
+
+    waiting, begun = [(0, 0)], {}
     while waiting:
         x, y = waiting[-1]
-        if (x, y) in done or a.hash[x] == b.hash[y]:
+        key = a.below[x], b.below[y]
+        if key in done or key[0] == key[1]:
             waiting.pop()
             continue
-        if (x, y) not in begun:
-            begun[x, y] = ends(x, y)
-            equal, pieces = begun[x, y]
-            first = [(r, c) for rows, cols in pieces for r in rows for c in cols if a.tags[r] == b.tags[c] and a.hash[r] != b.hash[c] and (r, c) not in done]
+        if key not in begun:
+            begun[key] = align(x, y)
+            sisters = begun[key][2]
+            first = list(sisters.open_pairs(done)) if sisters else []
             if first:
                 waiting += first
                 continue
-        equal, pieces = begun.pop((x, y))
-        chosen = list(equal)
-        done[x, y] = 1 + sum(align(rows, cols, chosen) for rows, cols in pieces) + sum(a.size[r] for r, _ in equal), chosen
+        total, _, sisters = begun.pop(key)
+        if sisters:
+            sisters.evaluate(done)
+            total += sisters.best()
+        done[key] = total
         waiting.pop()
     pairs, open_pairs = [], [(0, 0)]
     while open_pairs:
         x, y = open_pairs.pop()
         pairs.append((x, y))
-        open_pairs += zip(a.children[x], b.children[y], strict=True) if a.hash[x] == b.hash[y] else done[x, y][1]
+        if a.below[x] == b.below[y]:
+            open_pairs += zip(a.children[x], b.children[y], strict=True)
+            continue
+        count, equal, sisters = align(x, y)
+        open_pairs += equal
+        if sisters:
+            sisters.evaluate(done)
+            open_pairs += sisters.pairs(done[a.below[x], b.below[y]] - count)
     return len(pairs), pairs
 
 

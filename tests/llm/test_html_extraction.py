@@ -1,4 +1,5 @@
 import itertools
+import random
 import time
 
 import pytest
@@ -175,3 +176,44 @@ def test_pieces_keep_order_and_lose_no_sister(rows, cols):
     assert size == len(pairs) <= 1 + min(len(rows), len(cols))
     whole = simple_tree_matching(sisters(rows), sisters(cols))[0]
     assert size <= whole
+
+
+def plain_alignment(a, b):
+    """The largest order-keeping match of leaves by tag, and the most equal labels in one of that size: every pair is looked at."""
+    best = [(0, 0)] * (len(b.labels))
+    for x in range(1, len(a.labels)):
+        last, best = best, [(0, 0)]
+        for y in range(1, len(b.labels)):
+            size, same = last[y - 1]
+            taken = (size + 1, same + (a.labels[x] == b.labels[y])) if a.tags[x] == b.tags[y] else (0, 0)
+            best.append(max(taken, last[y], best[y - 1]))
+    return best[-1]
+
+
+def mixed_sisters(n, seed):
+    rng = random.Random(seed)
+    names = [f"{('div', 'p', 'section')[i % 3]}.n{i}" for i in range(n)]
+    rng.shuffle(names)
+    return tree([(0, x) for x in names])
+
+
+@pytest.mark.parametrize("n", [60, 250, 300, 420])
+def test_sisters_of_any_number_are_aligned_by_one_rule(n):
+    a, b = mixed_sisters(n, 1), mixed_sisters(n + 7, 2)
+    size, pairs = simple_tree_matching(a, b)
+    assert size == len(pairs)
+    assert (size - 1, sum(a.labels[x] == b.labels[y] for x, y in pairs if x)) == plain_alignment(a, b)
+
+
+@given(small_tree, small_tree, st.integers(2, 40))
+@settings(max_examples=60, deadline=None)
+def test_matches_do_not_depend_on_what_is_held_at_once(a, b, n):
+    from quillon.llm import html_extraction as module
+
+    before, lists = module.PIECE_PAIRS, (mixed_sisters(n, 1), mixed_sisters(n + 3, 2))
+    whole = [simple_tree_matching(a, b), simple_tree_matching(*lists)]
+    try:
+        for module.PIECE_PAIRS in (1, 30):
+            assert [simple_tree_matching(a, b), simple_tree_matching(*lists)] == whole
+    finally:
+        module.PIECE_PAIRS = before
