@@ -20,6 +20,8 @@ CLASSES = {
     "punctuation": r"[!-/:-@\[-`{-~&&[^#*$%&|<>]]",
 }
 OTHER = "other"
+#: Characters of no class above that most texts are made of: taken out once, before classes are counted.
+PLAIN = "[a-z]+"
 WINDOW = 5
 
 
@@ -112,16 +114,34 @@ def _word_distance(shares: Column, reference: Column) -> Column:
     return _distance(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b))
 
 
+#: Lists of common words by hash, for each word.
+SLOTS = 8
+
+
+def slot_of(word: Column, slots: Column) -> Column:
+    return F.pmod(F.xxhash64(word), slots).cast("int")
+
+
+def is_common(word: Column) -> Column:
+    return F.array_contains(F.get("_slots", slot_of(word, F.size("_slots"))), word)
+
+
 def word_references(common: DataFrame) -> DataFrame:
     """One row: ``_every``, the common words of all languages, and ``_refs``, each language's places in it and shares.
 
-    ``none`` is the distance of a text without any common word of the language.
+    ``_slots`` holds the words of ``_every`` by hash, so that a word is looked up
+    in one short list (``is_common``).  ``none`` is the distance of a text
+    without any common word of the language.
     """
     return (
         common.agg(F.collect_list(F.struct("lang", "common", "common_share")).alias("r"))
         .select("r", F.array_sort(F.array_distinct(F.flatten("r.common"))).alias("_every"))
         .select(
             "_every",
+            F.transform(
+                F.sequence(F.lit(0), F.size("_every") * SLOTS),
+                lambda k: F.filter("_every", lambda x: slot_of(x, F.size("_every") * SLOTS + 1) == k),
+            ).alias("_slots"),
             F.transform(
                 "r",
                 lambda x: F.struct(
@@ -140,17 +160,17 @@ def document_counts(docs: DataFrame, references: DataFrame, carry: tuple[str, ..
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def of_words(w: Column) -> Column:
-        listed = F.filter(w, lambda x: F.array_contains(F.col("_every"), x))
+        listed = F.filter(w, is_common)
         hist = let(listed, lambda f: F.transform(F.col("_every"), lambda c: (F.size(f) - F.size(F.array_remove(f, c))).cast("long")))
         return F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), hist.alias("common_counts"))
 
-    joined = docs.crossJoin(F.broadcast(references.select("_every")))
+    joined = docs.crossJoin(F.broadcast(references.select("_every", "_slots"))).withColumn("_rest", F.regexp_replace(text, PLAIN, ""))
     return joined.select(
         *carry,
         "lang",
         let(words_of(F.col("text")), of_words).alias("_w"),
         F.length(text).cast("long").alias("n_code_points"),
-        *[kept_length(text, kind).alias(f"n_{name}") for name, kind in CLASSES.items()],
+        *[kept_length(F.col("_rest"), kind).alias(f"n_{name}") for name, kind in CLASSES.items()],
         duplicate_lines(F.col("text")).alias("n_dup_lines"),
     ).select("*", "_w.*")
 

@@ -103,3 +103,29 @@ def test_edges(docs_of, words):
     assert quality_rules(docs_of([])).count() == 0
     no_lang = docs_of([(1, " ".join(words(60)))], lang=None).selectExpr("*", "1 AS common", "2 AS n_upper")
     assert quality_rules(no_lang).first().kept
+
+
+def test_common_words_are_found_by_hash(spark):
+    """Short lists hold each common word once; exactly these words are found, and no list is long."""
+    from pyspark.sql import functions as F
+
+    from quillon.llm.quality_rules import is_common, word_references
+
+    listed = [[f"w{i}é" for i in range(60)], [f"w{i}é" for i in range(50, 70)], []]
+    common = spark.createDataFrame([(str(k), w, [0.01] * len(w)) for k, w in enumerate(listed)], "lang string, common array<string>, common_share array<double>")
+    refs = word_references(common)
+    row = refs.first()
+    assert sorted(w for s in row._slots for w in s) == row._every == sorted({w for own in listed for w in own})
+    assert max(map(len, row._slots)) <= 5
+    asked = [f"w{i}é" for i in range(-5, 80)] + ["", "W1é", "w1"]
+    found = spark.createDataFrame([(w,) for w in asked], "w string").crossJoin(refs).where(is_common(F.col("w"))).collect()
+    assert sorted(r.w for r in found) == row._every
+    none = word_references(common.limit(0))
+    assert none.first()._slots == [[]] and none.select(is_common(F.lit("a")).alias("x")).first().x is False
+
+
+def test_character_classes_of_odd_texts(spark, docs_of):
+    """Symbols and words' characters among lower-case letters, capitals, digits and signs of many alphabets."""
+    odd = ["abcz{az`", "ÀÉß ſ ı k", "٣4५ x%y|z", "a#b*c$d%e&f|g<h>i", "🙂a𝐀b c d", "zzz", "a\x0bz\x1cz", "ABC-xyz_[]\\^", "\x00a\x7f"]
+    got = {i: g for i, g, _ in rows_of(quality_rules(docs_of(list(enumerate(odd)))))}
+    assert got == {i: base(t) for i, t in enumerate(odd)}
