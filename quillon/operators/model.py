@@ -31,6 +31,8 @@ UNITS = {
 RISK = {"price": -1, "d_price": -1, "max_drawdown": 1, "pik_switch": 1, "dispersion": 1, "crowding": 1}
 ZERO_IF_MISSING = ("dispersion", "dispersion_std")
 HORIZON, LEAST_QUARTERS, RESAMPLES = 2, 3, 500
+# A last step that moves a row's log odds by more than this has found no maximum; a condition beyond this is a singular curvature.
+SEPARATED_MOVE, DEPENDENT = 0.01, 1e14
 
 
 def model_frame(panel: DataFrame, columns: list[str], outcome: str = "y_event", only_shared: bool = False, labelled: bool = True) -> DataFrame:
@@ -55,7 +57,12 @@ def design(column: str, caps: dict | None = None) -> Column:
 
 @dataclass
 class Logit:
-    """P(y = 1) = 1 / (1 + exp(-(beta[0] + beta[1:] . x))); ``cov`` is clustered, ``fit`` is McFadden's pseudo R2."""
+    """P(y = 1) = 1 / (1 + exp(-(beta[0] + beta[1:] . x))); ``cov`` is clustered, ``fit`` is McFadden's pseudo R2.
+
+    Where predictors separate the outcomes (``separated``) the likelihood has no
+    maximum: chances and ``fit`` are those it tends to, ``beta`` is but a point
+    on the way, and ``cov`` is not known.
+    """
 
     columns: list[str]
     beta: np.ndarray
@@ -64,6 +71,15 @@ class Logit:
     rows: int
     clusters: int
     events: int
+    separated: bool = False
+
+
+class NoLogit(ValueError):
+    """These rows determine no logit; ``status`` names the cause in a word or two."""
+
+    def __init__(self, message: str, status: str, rows: int, clusters: int, events: int):
+        super().__init__(message)
+        self.status, self.rows, self.clusters, self.events = status, rows, clusters, events
 
 
 def _eta(x: list[Column], beta: np.ndarray) -> Column:
@@ -78,6 +94,27 @@ def _loglik(eta: Column, y: Column) -> Column:
     return y * eta - (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))))
 
 
+def _dependent(hessian: np.ndarray) -> bool:
+    """Whether the columns of a curvature, each brought to length 1, are one too few in double precision."""
+    lengths = np.sqrt(np.diag(hessian))
+    return not (lengths > 0).all() or np.linalg.cond(hessian / np.outer(lengths, lengths)) > DEPENDENT
+
+
+def _newton(hessian: np.ndarray, slope: np.ndarray) -> np.ndarray | None:
+    try:
+        return np.linalg.solve(hessian, slope)
+    except np.linalg.LinAlgError:
+        return None
+
+
+def _odds(x: float) -> float:
+    """exp(x), infinite beyond the doubles."""
+    try:
+        return math.exp(x)
+    except OverflowError:
+        return math.inf
+
+
 def fit_logit(frame: DataFrame, columns: list[str], group: str = "borrower", caps: dict | None = None, units: dict[str, float] | None = None, steps: int = 200) -> Logit:
     """Maximum likelihood without a penalty, by Newton steps that are halved while they lose; standard errors clustered by ``group``.
 
@@ -92,7 +129,7 @@ def fit_logit(frame: DataFrame, columns: list[str], group: str = "borrower", cap
     first = rows.agg(F.count("*").alias("n"), F.sum("y").alias("events"), F.countDistinct("g").alias("groups")).first()
     n, events = first.n, first.events or 0.0
     if not 0 < events < n:
-        raise ValueError("a logit needs rows of both outcomes")
+        raise NoLogit("a logit needs rows of both outcomes", "one outcome", n, first.groups, int(events))
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
 
     def moments(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -109,8 +146,12 @@ def fit_logit(frame: DataFrame, columns: list[str], group: str = "borrower", cap
     beta = np.zeros(p)
     beta[0] = math.log(events / (n - events))
     value, slope, hessian = moments(beta)
+    if _dependent(hessian):
+        raise NoLogit("a logit needs predictors that vary, none a combination of others", "collinear", n, first.groups, int(events))
     for _ in range(steps):
-        step = np.linalg.solve(hessian, slope)
+        step = _newton(hessian, slope)
+        if step is None:
+            break
         size = 1.0
         while True:
             new = moments(beta + size * step)
@@ -122,6 +163,12 @@ def fit_logit(frame: DataFrame, columns: list[str], group: str = "borrower", cap
         value, slope, hessian = new
         if done:
             break
+    # At a maximum the next step is next to none; without one each step moves the log odds of some row by about 1, however far it has come.
+    step = _newton(hessian, slope)
+    share = events / n
+    fit = 1 - value / (n * (share * math.log(share) + (1 - share) * math.log(1 - share)))
+    if step is None or rows.agg(F.max(F.abs(_eta(x, step)))).first()[0] > SEPARATED_MOVE:
+        return Logit(list(columns), beta, np.full((p, p), np.nan), fit, n, first.groups, int(events), True)
     bread = np.linalg.inv(hessian)
     q = _chance(_eta(x, beta))
     scores = rows.groupBy("g").agg(*[F.sum(c * (y - q)).alias(f"s{i}") for i, c in enumerate(x)])
@@ -129,10 +176,8 @@ def fit_logit(frame: DataFrame, columns: list[str], group: str = "borrower", cap
     meat = np.zeros((p, p))
     for (i, j), v in zip(pairs, found, strict=True):
         meat[i, j] = meat[j, i] = v
-    share = events / n
-    none = n * (share * math.log(share) + (1 - share) * math.log(1 - share))
     cov = first.groups / (first.groups - 1) * bread @ meat @ bread if first.groups > 1 else np.full((p, p), np.nan)
-    return Logit(list(columns), beta, cov, 1 - value / none, n, first.groups, int(events))
+    return Logit(list(columns), beta, cov, fit, n, first.groups, int(events))
 
 
 def score(frame: DataFrame, model: Logit, caps: dict | None = None, name: str = "pred") -> DataFrame:
@@ -141,17 +186,28 @@ def score(frame: DataFrame, model: Logit, caps: dict | None = None, name: str =
 
 
 def coefficient_table(frame: DataFrame, columns: list[str], caps: dict | None = None, units: dict[str, float] | None = None) -> DataFrame:
-    """A row per term: coefficient per unit, clustered error, z, p, interval and odds ratio."""
+    """A row per term: coefficient per unit, clustered error, z, p, interval and odds ratio, and what the fit rests on.
+
+    ``status`` is ``fitted``, or why the likelihood has no single maximum: ``one outcome``, ``separated`` or
+    ``collinear``.  Coefficients are unknown then (null), rows, borrowers and events are counted all the same.
+    """
     units = UNITS if units is None else units
-    model = fit_logit(frame, columns, caps=caps, units=units)
+    try:
+        model = fit_logit(frame, columns, caps=caps, units=units)
+        found = (model.rows, model.clusters, model.events, model.fit, "separated" if model.separated else "fitted")
+    except NoLogit as e:
+        found = (e.rows, e.clusters, e.events, None, e.status)
     rows = []
     for i, term in enumerate(["const", *columns]):
-        b, se = float(model.beta[i]), float(math.sqrt(model.cov[i, i]))
-        z = b / se
-        low, high = b - 1.96 * se, b + 1.96 * se
-        rows.append((term, float(units.get(term, 1.0)) if i else None, b, se, z, math.erfc(abs(z) / math.sqrt(2)), low, high, math.exp(b), math.exp(low), math.exp(high), model.rows, model.clusters, model.events, model.fit))
+        known = [None] * 9
+        if found[-1] == "fitted":
+            b, se = float(model.beta[i]), math.sqrt(max(float(model.cov[i, i]), 0.0))
+            z = b / se if se else None
+            low, high = b - 1.96 * se, b + 1.96 * se
+            known = [b, se, z, None if z is None else math.erfc(abs(z) / math.sqrt(2)), low, high, _odds(b), _odds(low), _odds(high)]
+        rows.append((term, float(units.get(term, 1.0)) if i else None, *known, *found))
     fields = "term string, per double, coef double, se_cluster double, z double, p_value double, ci_low double, ci_high double, odds_ratio double, or_ci_low double, or_ci_high double"
-    return frame.sparkSession.createDataFrame(rows, fields + ", n_obs long, n_borrowers long, n_events long, pseudo_r2 double")
+    return frame.sparkSession.createDataFrame(rows, fields + ", n_obs long, n_borrowers long, n_events long, pseudo_r2 double, status string")
 
 
 def split_predictions(frame: DataFrame, columns: list[str], train_end: int, tests: list[int], caps: dict | None = None) -> DataFrame:

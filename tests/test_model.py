@@ -97,3 +97,47 @@ def test_equal_weight_score(spark):
 def test_regression_scores(spark):
     got = model.regression_scores(spark.createDataFrame([(1.0, 1.5), (2.0, 2.0), (4.0, 3.0)], "y double, p double"), "y", "p", 2.0).first()
     assert got.r2 == pytest.approx(1 - 1.25 / 5) and got.rmse == pytest.approx(math.sqrt(1.25 / 3)) and got.rmse_benchmark == pytest.approx(math.sqrt(5 / 3))
+
+
+@pytest.mark.parametrize("y, events", [(0, 0), (1, 600)])
+def test_table_of_one_outcome_counts_and_knows_no_coefficient(frame, y, events):
+    got = model.coefficient_table(frame.withColumn("y", F.lit(y)), ["price", "d_price"]).collect()
+    assert [(r.term, r.per, r.n_obs, r.n_borrowers, r.n_events, r.status) for r in got] == [
+        (t, per, 600, 90, events, "one outcome") for t, per in (("const", None), ("price", 0.10), ("d_price", 0.05))
+    ]
+    assert all(r[c] is None for r in got for c in ("coef", "se_cluster", "z", "p_value", "ci_low", "ci_high", "odds_ratio", "or_ci_low", "or_ci_high", "pseudo_r2"))
+    empty = model.coefficient_table(frame.where("y > 1"), ["price"]).collect()
+    assert [(r.term, r.coef, r.n_obs, r.n_borrowers, r.n_events) for r in empty] == [("const", None, 0, 0, 0), ("price", None, 0, 0, 0)]
+
+
+def test_separated_outcomes_have_no_coefficient(frame):
+    high = F.col("price") > 0.9
+    whole = frame.withColumn("y", high.cast("int"))
+    one_row = frame.withColumn("y", (F.col("price") < frame.agg(F.max("price")).first()[0]).cast("int"))
+    # Above the price all rows are events, below it both outcomes occur at either change of price.
+    part = frame.withColumn("y", F.when(high, 1).otherwise(F.col("qsort") % 2)).withColumn("price", F.when(high, 1.0).otherwise(0.8))
+    for labelled in (whole, one_row, part):
+        got = model.coefficient_table(labelled, ["price", "d_price"]).collect()
+        assert {r.status for r in got} == {"separated"} and all(r.coef is None and r.or_ci_high is None and 0 < r.pseudo_r2 < 1 + 1e-9 for r in got)
+    fitted = model.fit_logit(whole, ["price", "d_price"])
+    assert fitted.separated and model.score(whole, fitted).where(F.abs(F.col("pred") - F.col("y")) > 0.01).count() == 0
+
+
+def test_outcomes_that_barely_overlap_are_fitted(spark):
+    rows = [(f"b{i % 20}", 1, 0.70 + i / 1000, float(i % 7 - 3) / 50, int(i >= 100)) for i in range(200)]
+    rows += [("b3", 1, 0.803, 0.0, 0), ("b4", 1, 0.797, 0.01, 1)]
+    got = {r.term: r for r in model.coefficient_table(spark.createDataFrame(rows, "borrower string, qsort int, price double, d_price double, y int"), ["price", "d_price"]).collect()}
+    beta, cov, _ = by_hand(rows, (0.10, 0.05))
+    assert {r.status for r in got.values()} == {"fitted"} and got["price"].coef > 50
+    assert [got[t].coef for t in ("const", "price", "d_price")] == pytest.approx(beta, rel=1e-6) and got["price"].se_cluster == pytest.approx(math.sqrt(cov[1, 1]), rel=1e-5)
+
+
+def test_odds_beyond_the_doubles_are_infinite(frame):
+    got = {r.term: r for r in model.coefficient_table(frame.withColumn("y", 1 - F.col("y")), ["price"], units={"price": 1000.0}).collect()}
+    assert got["price"].coef > 1000 and got["price"].odds_ratio == math.inf and got["price"].status == "fitted"
+
+
+def test_predictors_that_tell_nothing_apart_are_named(frame):
+    for other in (F.lit(0.1), F.lit(0.0), F.col("price") / 10):
+        got = model.coefficient_table(frame.withColumn("d_price", other), ["price", "d_price"], caps={}, units={}).collect()
+        assert [(r.coef, r.status, r.n_obs) for r in got] == [(None, "collinear", 600)] * 3
