@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOLERANCE = 1e-9
+# Values differ that are further apart than this, and than this part of the larger: sums of doubles taken in another order part in their last digits.
+TOLERANCE, ROUNDING = 1e-9, 1e-12
 
 
 def compare_panels(full: DataFrame, cut: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """``column, rows_full, rows_cut, rows_differ, max_abs_diff``: row ``(rows)`` counts keys that one panel lacks, the others differences in rows of both.
 
-    Values are compared as numbers; one that is known on one side alone differs.  Both panels meet in one join.
+    Values are compared as numbers, up to rounding; one that is known on one side alone differs.  Both panels meet in one join.
     """
     a = full.select(*keys, F.lit(True).alias("_a"), *[F.col(c).cast("double").alias(f"_a{i}") for i, c in enumerate(columns)])
     b = cut.select(*keys, F.lit(True).alias("_b"), *[F.col(c).cast("double").alias(f"_b{i}") for i, c in enumerate(columns)])
@@ -23,7 +24,8 @@ def compare_panels(full: DataFrame, cut: DataFrame, keys: list[str], columns: li
     for i in range(len(columns)):
         x, y = F.col(f"_a{i}"), F.col(f"_b{i}")
         apart = F.abs(x - y)
-        aggregates += [F.count_if(shared & ((x.isNull() != y.isNull()) | (apart > TOLERANCE))).alias(f"d{i}"), F.max(F.when(shared, apart)).alias(f"m{i}")]
+        differs = (apart > TOLERANCE) & (F.try_divide(apart, F.greatest(F.abs(x), F.abs(y))) > ROUNDING)
+        aggregates += [F.count_if(shared & ((x.isNull() != y.isNull()) | differs)).alias(f"d{i}"), F.max(F.when(shared, apart)).alias(f"m{i}")]
     one = both.agg(*aggregates)
 
     def row(name: str, left: str, right: str, differ: str, most) -> F.Column:

@@ -86,6 +86,27 @@ def test_planted_look_ahead_is_found(spark):
     assert (apart[0].rows_differ, apart[1].rows_differ, apart[1].max_abs_diff) == (8, 64, 0.5)
 
 
+def test_order_of_a_sum_is_no_look_ahead(spark):
+    rng = random.Random(6)
+    lists = [[rng.uniform(900, 90_000) for _ in range(900)] for _ in range(40)]
+    ahead, back = [sum_in_order(x) for x in lists], [sum_in_order(x[::-1]) for x in lists]
+    assert sum(abs(a - b) > look_ahead.TOLERANCE for a, b in zip(ahead, back, strict=True)) > 20
+    small = [0.5 + 2e-9 * (i % 2) for i in range(40)]  # a share is held to 1e-9
+    far = [math.inf, math.nan, None, *[a * (1 + 1e-10) for a in ahead[3:]]]
+    schema = "id int, summed double, share double, far double, none double"
+    full = spark.createDataFrame([(i, a, 0.5, a, 0.0) for i, a in enumerate(ahead)], schema)
+    early = spark.createDataFrame([(i, b, s, f, 0.0) for i, (b, s, f) in enumerate(zip(back, small, far, strict=True))], schema)
+    got = {r.column: r.rows_differ for r in look_ahead.compare_panels(full, early, ["id"], ["summed", "share", "far", "none"]).collect()}
+    assert got == {"(rows)": 0, "summed": 0, "share": 20, "far": 40, "none": 0}
+
+
+def sum_in_order(values):
+    total = 0.0
+    for v in values:  # the built-in sum makes up for rounding
+        total += v
+    return total
+
+
 def test_robust_moments_and_quantiles_without_a_group(spark):
     import pandas as pd
 
